@@ -9,10 +9,10 @@ The first segments of such a chain have a quota below one, so they agree exactly
 chains prune what the key brings together, before the full Hamming check. With two bits and five segments the key
 has 25 or more bits, so random fingerprints hardly ever meet.
 
-Copies share a fingerprint and are one node. Nodes that agree in a key are at first one *bucket*; a bucket of more
-than `BLOCK` nodes is split by the next segment with one of its bits masked (a chain of one segment more, whose
-quota is one), so no bucket's pairs are emitted whole. Components grow over the links by large-star/small-star
-steps, after each partition has reduced its links to a spanning forest.
+Copies share a fingerprint and are one node. Most keys are met by one node only and go first. Nodes of a crowded key
+are dealt anew by the longest chain whose quota is one: its bits with one of them masked. Such a key leaves twelve
+or thirteen bits open, so it holds a bounded number of distinct fingerprints, however many documents there are.
+Components then grow over the links (see components.py).
 
 Null and empty texts have fingerprint zero and link like any other. Documents without an id keep a null id; a
 component's id is the smallest id that isn't null.
@@ -20,21 +20,25 @@ component's id is the smallest id that isn't null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import repeat
+from operator import or_
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import cut, workers
+from folioforge.llm.components import components
 
 SEED, SHINGLE, BITS = 42, 3, 64
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
+#: Nodes of a bucket whose pairs are compared straight away; larger buckets are dealt anew by longer chains.
+BUCKET = 64
 
 
 def fingerprint(text: str | None) -> int:
@@ -78,43 +82,87 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _mask(*masks: int) -> F.Column:
-    total = 0
-    for x in masks:
-        total |= x
-    return F.lit(_signed(total)).cast("long")
+def _lit(bits: int) -> F.Column:
+    return F.lit(_signed(bits)).cast("long")
+
+
+def _union(masks: Iterable[int]) -> int:
+    return reduce(or_, masks, 0)
+
+
+def _keys(m: int, budget: int, length: int) -> list:
+    """The join keys of chains of `length` segments: their bits, or, where the quota is one, these with one bit masked."""
+    seg, out = segments(m), []
+    for i in range(m):
+        chain = _union(seg[(i + k) % m][1] for k in range(length))
+        masked = [1 << j for j in range(BITS) if chain >> j & 1] if length * budget // m else [0]
+        out += [F.struct(F.lit(i * BITS + x.bit_length()).alias("slot"), F.col("fp").bitwiseAND(_lit(chain & ~x)).alias("key")) for x in masked]
+    return out
 
 
 def links(nodes: DataFrame, budget: int = 2, m: int = 5) -> DataFrame:
     """Pairs (a, b), a < b as signed integers, of the distinct fingerprints in column fp that differ in 1 to budget bits.
 
-    Every pair comes once from each segment whose chains stay within their quotas.
+    A pair may come from several segments, so it can repeat.
     """
-    seg = segments(m)
-    exact = next(k for k in range(m) if (k + 1) * budget // m >= 1)  # segments of a chain whose quota is zero
-    if not exact:
-        raise ValueError(f"{m} segments give no exact chain for {budget} bits; take more than {budget}")
-    wide = [seg[(i + exact) % m] for i in range(m)]
-    sides = []
-    for i in range(m):
-        chain = [seg[(i + k) % m][1] for k in range(exact)]
-        shift, mask = wide[i]
-        bits = bin(mask).count("1")
-        # the chain with one segment more may differ in one bit: one of the segment's bits is masked
-        variants = [F.struct(F.lit(i * 64 + j).alias("slot"), F.col("fp").bitwiseAND(_mask(*chain, mask & ~(1 << (shift + j)))).alias("key")) for j in range(bits)]
-        sides += variants
-    keyed = nodes.select("fp", F.explode(F.array(*sides)).alias("k")).select("fp", "k.slot", "k.key")
-    return keyed, exact
+    exact = max(k for k in range(1, m) if k * budget // m == 0)
+    almost = max(k for k in range(1, m) if k * budget // m <= 1)
+    keyed = nodes.select("fp", F.explode(F.array(*_keys(m, budget, exact))).alias("k")).select("fp", "k.slot", "k.key")
+    buckets = keyed.groupBy("slot", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    keyed = cut(keyed.join(buckets, ["slot", "key"]), "simhash-keys")
+    crowded = keyed.filter(F.col("n") > BUCKET).select("fp").distinct()
+    longer = crowded.select("fp", F.explode(F.array(*_keys(m, budget, almost))).alias("k")).select("fp", "k.slot", "k.key")
+    return _pairs(keyed.filter(F.col("n") <= BUCKET), budget, m).union(_pairs(longer, budget, m))
+
+
+def _pairs(keyed: DataFrame, budget: int, m: int) -> DataFrame:
+    a, b = (keyed.select("slot", "key", F.col("fp").alias(x)) for x in "ab")
+    return a.join(b, ["slot", "key"]).filter((F.col("a") < F.col("b")) & near(F.col("a"), F.col("b"), budget, m)).select("a", "b")
 
 
 def near(a: F.Column, b: F.Column, budget: int, m: int) -> F.Column:
-    """Whether some chain's every prefix stays within its quota, and the whole within the budget."""
+    """Whether some segment's chains all stay within their quotas, and then the whole within the budget."""
     seg, x = segments(m), a.bitwiseXOR(b)
     rings = F.lit(False)
     for i in range(m):
         within = F.lit(True)
         for length in range(1, m):
-            chain = _mask(*(seg[(i + k) % m][1] for k in range(length)))
+            chain = _lit(_union(seg[(i + k) % m][1] for k in range(length)))
             within = within & (F.bit_count(x.bitwiseAND(chain)) <= length * budget // m)
         rings = rings | within
     return rings & (F.bit_count(x) <= budget)
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = 2) -> DataFrame:
+    """Per document (key, fp, root, component_id): its fingerprint and its component's smallest key."""
+    fps = cut(fingerprints(docs, key, text), "simhash-fps")
+    nodes = cut(fps.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("copies")), "simhash-nodes")
+    roots = components(cut(links(nodes, budget), "simhash-links"))
+    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("members")).filter("members > 1")
+    groups = named.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    found = fps.join(groups, "fp", "left")
+    alone = F.col("root").isNull()
+    return found.select(key, "fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without near-copies: of each component, the one with the smallest key stays.
+
+    Of repeated rows with this key one stays; of components that have no key at all, one document of each.
+    """
+    found = cut(near_duplicates(docs, key, text), "simhash-components")
+    first = found.filter(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("rows"))
+    first = cut(first, "simhash-first")
+    kept = docs.join(first.filter("rows = 1").select(key), key, "left_semi")
+    if not first.filter("rows > 1").isEmpty():
+        kept = kept.unionByName(docs.join(first.filter("rows > 1").select(key), key, "left_semi").dropDuplicates([key]))
+    nameless = found.filter(F.col(key).isNull() & F.col("component_id").isNull())
+    if not nameless.isEmpty():
+        rows = docs.filter(F.col(key).isNull())
+        with_fp = rows.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("body"), F.lit(None).cast("long").alias("id"))
+        hashed = with_fp.withColumn("md5", F.md5(F.coalesce("body", F.lit("")))).dropDuplicates(["md5"])
+        fps = fingerprints(hashed, "md5", "body")
+        roots = nameless.groupBy("fp").agg(F.min("root").alias("root"))
+        kept = kept.unionByName(hashed.join(fps, "md5").join(roots, "fp").dropDuplicates(["root"]).select("row.*"))
+    return kept.select(*docs.columns)
