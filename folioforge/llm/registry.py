@@ -6,7 +6,7 @@ import importlib
 import importlib.util
 
 #: Modules with a query each: QUERY is its name, query(spark, sf_dir) its DataFrame, ORACLE_SQL its SQL or None.
-MODULES = ("q01_bpe", "q02_simhash", "q03_pii", "q04_language", "q05_rules", "q07_media", "q08_mixing", "q09_classifier")
+MODULES = ("q01_bpe", "q02_simhash", "q03_pii", "q04_language", "q05_rules", "q06_rollups", "q07_media", "q08_mixing", "q09_classifier")
 
 
 def queries() -> dict:
