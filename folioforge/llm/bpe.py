@@ -212,22 +212,27 @@ def vocabulary(path: str, pattern: str) -> Bpe:
     return Bpe(load_ranks(path), pattern)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with an array column `ids` of each whole text's token ids; a column of that name is replaced."""
+def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", lossless: str = "lossless") -> DataFrame:
+    """docs with an array column `ids` of each whole text's token ids, and whether these decode to the text's bytes.
+
+    Columns of these names are replaced.
+    """
     workers(docs.sparkSession)
-    docs = docs.drop(ids) if ids != text else docs
-    keep = [c for c in docs.columns]
+    docs = docs.drop(*({ids, lossless} - {text}))
+    keep = list(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path, pattern)
         for batch in batches:
-            packed = [bpe.packed(t or "") for t in batch.column(keep.index(text)).to_pylist()]
+            texts = [t or "" for t in batch.column(keep.index(text)).to_pylist()]
+            packed = [bpe.packed(t) for t in texts]
+            same = [bpe.decode(memoryview(p).cast("I")) == t.encode("utf-8", "surrogatepass") for p, t in zip(packed, texts, strict=True)]
             offsets = [0, *itertools.accumulate(len(p) // 4 for p in packed)]
             values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(packed))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], [*keep, ids])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), pa.array(same, pa.bool_())], [*keep, ids, lossless])
 
     fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return docs.mapInArrow(run, ", ".join([*fields, f"`{ids}` array<int>"]))
+    return docs.mapInArrow(run, ", ".join([*fields, f"`{ids}` array<int>", f"`{lossless}` boolean"]))
 
 
 def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "text") -> DataFrame:

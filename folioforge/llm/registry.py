@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 
 #: Modules with a query each: QUERY is its name, query(spark, sf_dir) its DataFrame, ORACLE_SQL its SQL or None.
 MODULES = ("q01_bpe", "q02_simhash", "q03_pii", "q04_language", "q05_rules", "q06_rollups", "q07_media", "q08_mixing", "q09_classifier")
@@ -19,12 +18,3 @@ def oracle_sql() -> dict[str, str]:
 
 def _modules():
     return [importlib.import_module(f"folioforge.llm.{m}") for m in MODULES]
-
-
-def pipeline():
-    """The pipeline's run function and SQL; corpus_pipeline lies at the top of the repository."""
-    if importlib.util.find_spec("corpus_pipeline") is None:
-        return None
-    import corpus_pipeline
-
-    return corpus_pipeline.run, corpus_pipeline.ORACLE_SQL
