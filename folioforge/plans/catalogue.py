@@ -2,28 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from folioforge.plans import queries_aggregate, queries_browse, queries_search, queries_text  # noqa: F401
+from folioforge.plans.registry import ORACLES, QUERIES
 
-QUERIES, ORACLES = {}, {}
-
-
-def register(name: str, sql: str | None = None):
-    """Decorator: files a query builder under a name, beside its SQL."""
-
-    def add(build):
-        QUERIES[name] = build
-        if sql:
-            ORACLES[name] = sql
-        return build
-
-    return add
-
-
-@register(
-    "insights_tag_counts",
-    "SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS tag FROM part) GROUP BY tag",
-)
-def insights_tag_counts(spark, sf_dir):
-    """Tag histogram (A5)."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return part.select(F.explode(F.split("p_name", " ")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+__all__ = ["ORACLES", "QUERIES"]

@@ -1 +1 @@
-"""Part of folioforge."""
+"""Sources and sinks."""

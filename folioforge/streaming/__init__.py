@@ -1 +1 @@
-"""Part of folioforge."""
+"""Structured Streaming forms of the incremental operators."""
