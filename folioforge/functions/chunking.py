@@ -32,7 +32,7 @@ def pack_sentences(text, most: int = 1000) -> Column:
 
 def pack_paragraphs(text, most: int = 500) -> Column:
     """Chunks of paragraphs while their words stay at or below `most` (X8); a chunk joins its paragraphs by blank lines."""
-    paragraphs = F.filter(F.transform(F.split(F.coalesce(col(text), F.lit("")), "\n\n"), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(F.coalesce(col(text), F.lit("")), "\n\n"), lambda p: F.trim(p)), lambda p: p != "")
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"))
 
     def step(acc: Column, p: Column) -> Column:

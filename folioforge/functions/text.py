@@ -244,7 +244,7 @@ def tokens(text) -> Column:
 def mend_latin1(text) -> Column:
     """Text that was read as Latin-1 though it is UTF-8; left as it is if it isn't."""
     c = col(text)
-    return F.when(c.rlike(r"^[\x00-\xff]*$"), F.coalesce(F.try_validate_utf8(F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")), c)).otherwise(c)
+    return F.when(c.rlike(r"^[\x00-\xff]*$"), F.coalesce(F.try_validate_utf8(F.encode(c, "ISO-8859-1").cast("string")), c)).otherwise(c)
 
 
 def chm_path(path) -> Column:

@@ -13,7 +13,7 @@ from folioforge.functions import text as T
 def html_folder(spark: SparkSession, path: str) -> DataFrame:
     """(path, html) of each page of an unpacked help archive, bytes repaired."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.htm*").option("recursiveFileLookup", "true").load(path)
-    text = F.coalesce(F.try_validate_utf8(F.decode("content", "UTF-8")), F.decode("content", "ISO-8859-1"))
+    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
     return raw.select(T.chm_path(F.url_decode("path")).alias("path"), text.alias("html"))
 
 
