@@ -107,4 +107,5 @@ def sample(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", size: str = "
     times = mixed.select(F.col(key).alias("mix_key"), F.when(F.col(size) > 0, F.col(taken) / F.col(size)).otherwise(F.floor(F.col("target") / F.col("source_size"))).cast("int").alias("mix_times"))
     times = times.groupBy("mix_key").agg(F.max("mix_times").alias("mix_times")).filter("mix_times > 0")
     joined = docs.join(times, docs[key].eqNullSafe(times.mix_key))
-    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*(docs[c] for c in docs.columns))
+    rows = F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("row")
+    return joined.select(rows, F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select("row.*")
