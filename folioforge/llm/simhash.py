@@ -20,6 +20,7 @@ component's id is the smallest id that isn't null.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import repeat
@@ -35,25 +36,37 @@ from folioforge.llm.common import cut, workers
 from folioforge.llm.components import components
 
 SEED, SHINGLE, BITS = 42, 3, 64
+#: Bytes of a text that are parted into words at once, and where a block may end.
+BLOCK, SPACE = 1 << 20, re.compile(rb"[\x20\x09-\x0D]")
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 #: Nodes of a bucket whose pairs are compared straight away; larger buckets are dealt anew by longer chains.
 BUCKET = 64
 
 
+def _blocks(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in blocks; each begins with the last words of the one before, so no shingle is lost."""
+    at, carry = 0, []
+    while at < len(data):
+        found = SPACE.search(data, at + BLOCK)
+        end = found.start() if found else len(data)
+        words = carry + data[at:end].split()
+        yield words
+        at, carry = end, words[-(SHINGLE - 1) :]
+
+
 def fingerprint(text: str | None) -> int:
     """The 64-bit SimHash of a whole text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    if len(words) < SHINGLE:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False))
-    hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(SEED))), dtype=np.uint8).reshape(-1, 8)
-    ones = np.zeros(BITS, dtype=np.int64)
-    for i in range(0, len(hashes), CHUNK):
-        ones += np.unpackbits(hashes[i : i + CHUNK], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+    ones, n, words = np.zeros(BITS, dtype=np.int64), 0, []
+    for words in _blocks((text or "").encode("utf-8", "surrogatepass").lower()):
+        shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False))
+        hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(SEED))), dtype=np.uint8).reshape(-1, 8)
+        n += len(hashes)
+        for i in range(0, len(hashes), CHUNK):
+            ones += np.unpackbits(hashes[i : i + CHUNK], axis=1).sum(axis=0, dtype=np.int64)
+    if not n:
+        return xxhash.xxh64_intdigest(b" ".join(words), SEED) if words else 0
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -38,6 +38,12 @@ def test_fingerprints():
         assert simhash.fingerprint(t) == plain(t)
 
 
+def test_blocks_lose_no_shingle(monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 9)
+    for t in ("", "one", "one two", "a b c d e f g h i j k l m n", "  lead and   trail  ", "x" * 50 + " y z " + "w" * 30):
+        assert simhash.fingerprint(t) == plain(t)
+
+
 def test_corpus(spark):
     held(simhash.near_duplicates(table(spark, SF, "documents")).collect())
 
