@@ -41,14 +41,25 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """The same rows, read back from a Parquet table in the shared folder.
 
-    Later jobs neither recompute them nor depend on the executors that made them.
+    Later jobs neither recompute them nor depend on the executors that made them. Spark removes the shuffle files of a
+    finished job when the driver's JVM collects its garbage, so that is asked for here.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/folioforge/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` wrote and nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """Whether a document is of the held-out fold: crc32 of its id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
