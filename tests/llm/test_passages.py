@@ -82,5 +82,40 @@ def test_verify_wants_similarity():
     assert P.verify(a, b, [(50, 50)]) == []
 
 
+def near(a, b, i, j, least=P.LEAST, similarity=P.SIMILARITY):
+    """Whether any two stretches of a and b, equally far around i and j, are near-duplicates."""
+    for p in range(min(i, j) + 1):
+        for q in range(min(len(a) - i, len(b) - j)):
+            x, y = set(a[i - p : i + q + 1].tolist()), set(b[j - p : j + q + 1].tolist())
+            if p + q + 1 >= least and len(x & y) >= similarity * len(x | y):
+                return True
+    return False
+
+
+def test_verify_like_brute_force_on_short_near_duplicates():
+    rng = random.Random(7)
+    found = 0
+    for n in (50, 54, 60, 75, 84, 89, 100):
+        for edits in (1, 1, 1, 2, 3):
+            words = [str(rng.random()) for _ in range(n)]
+            other = list(words)
+            for k in rng.sample(range(n), edits):
+                other[k] = "edited"
+            (a,), (b,) = P.grams(" ".join(words), P.SHINGLE), P.grams(" ".join(other), P.SHINGLE)
+            for i in np.flatnonzero(a == b)[::9].tolist():
+                got = P.verify(a, b, [(i, i)])
+                assert bool(got) == near(a, b, i, i), (n, edits, i)
+                found += bool(got)
+    assert found > 50
+
+
+def test_verify_crosses_an_edit_between_two_short_runs():
+    words = [f"w{i}" for i in range(60)]
+    (a,), (b,) = P.grams(" ".join(words), P.SHINGLE), P.grams(" ".join(words[:29] + ["x"] + words[30:]), P.SHINGLE)
+    assert P.verify(a, b, [(10, 10)]) == P.verify(a, b, [(40, 40)]) == [(0, 55, 0, 55)]
+    (b,) = P.grams(" ".join(words[:30] + ["put", "in"] + words[30:]), P.SHINGLE)
+    assert P.verify(a, b, [(10, 10)]) == [(0, 55, 0, 57)]
+
+
 def test_empty(spark):
     assert P.classes(odd.empty(spark)).count() == 0
