@@ -82,6 +82,25 @@ def test_verify_wants_similarity():
     assert P.verify(a, b, [(50, 50)]) == []
 
 
+def test_runs_are_told_apart_by_their_words():
+    words = [str(k % 7) for k in range(60)]
+    runs, at = P.Runs(" ".join(words)), np.arange(40)
+    for size in (1, 9, 16):
+        got = runs(at, size).tolist()
+        want = [tuple(words[k : k + size + 4]) for k in at]
+        assert all((x == y) == (u == v) for x, u in zip(got, want) for y, v in zip(got, want))
+
+
+def test_overlapping_excerpts_stay_linked(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(1000, 2200, 3):
+        source = [str(rng.random()) for _ in range(90)]
+        rows += [(k, " ".join(source[:60])), (k + 1, " ".join(source)), (k + 2, " ".join(source[30:]))]
+    got = {r["doc_id"]: r["class_id"] for r in P.classes(odd.documents(spark, rows)).collect()}
+    assert [got[i] for i in range(1000, 2200)] == [i - (i - 1000) % 3 for i in range(1000, 2200)]
+
+
 def near(a, b, i, j, least=P.LEAST, similarity=P.SIMILARITY):
     """Whether any two stretches of a and b, equally far around i and j, are near-duplicates."""
     for p in range(min(i, j) + 1):
