@@ -101,6 +101,19 @@ def test_overlapping_excerpts_stay_linked(spark):
     assert [got[i] for i in range(1000, 2200)] == [i - (i - 1000) % 3 for i in range(1000, 2200)]
 
 
+def test_passages_around_a_frequent_line(spark):
+    rng = random.Random(12)
+    text = lambda n: [str(rng.random()) for _ in range(n)]
+    line, rows = text(40), []
+    for k in range(1000, 1060, 3):
+        shared = text(5) + line + text(5)
+        rows += [(k + m, " ".join(text(20) + shared + text(20))) for m in range(3)]
+    rows += [(2000 + k, " ".join(text(30) + line + text(30))) for k in range(60)]
+    got = {r["doc_id"]: r["class_id"] for r in P.classes(odd.documents(spark, rows)).collect()}
+    assert [got[i] for i in range(1000, 1060)] == [i - (i - 1000) % 3 for i in range(1000, 1060)]
+    assert all(got[2000 + k] == 2000 + k for k in range(60))
+
+
 def near(a, b, i, j, least=P.LEAST, similarity=P.SIMILARITY):
     """Whether any two stretches of a and b, equally far around i and j, are near-duplicates."""
     for p in range(min(i, j) + 1):
