@@ -90,12 +90,16 @@ def _thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
         bins = inside.groupBy("src", F.shiftright("hash", shift).alias("bin")).agg(F.sum("size").alias("n"))
         up_to = Window.partitionBy("src").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # at most 2 ** RADIX bins
         bins = bins.withColumn("sum", F.sum("n").over(up_to))
-        bins = bins.join(now.select(F.col("src").alias("s"), "want"), F.col("src").eqNullSafe(F.col("s"))).filter("sum <= want" if level + 1 < LEVELS else "sum - n / 2 <= want")
-        done = bins.groupBy("src").agg(F.max("bin").alias("bin"), F.max("sum").alias("got")).withColumnRenamed("src", "s")
+        bins = bins.join(now.select(F.col("src").alias("s"), "want"), F.col("src").eqNullSafe(F.col("s")))
+        fits = F.expr("sum <= want" if level + 1 < LEVELS else "sum - n / 2 <= want")
+        done = bins.groupBy("src").agg(F.max(F.when(fits, F.col("bin"))).alias("bin"), F.max(F.when(fits, F.col("sum"))).alias("got"), F.min(F.when(~fits, F.col("bin"))).alias("next")).withColumnRenamed("src", "s")
+        after = F.when(F.col("got").isNull(), F.col("threshold")).otherwise(F.shiftleft(F.col("bin") + 1, shift))
+        if level + 1 < LEVELS:  # the first bin that doesn't fit is split, also if empty ones lie before it
+            after = F.when(F.col("next").isNotNull(), F.shiftleft("next", shift)).otherwise(after)
         now = now.join(done, F.col("src").eqNullSafe(F.col("s")), "left").select(
             *targets.drop("mix_source").columns,
             "src",
-            F.when(F.col("got").isNull(), F.col("threshold")).otherwise(F.shiftleft(F.col("bin") + 1, shift)).alias("threshold"),
+            after.alias("threshold"),
             (F.col("want") - F.coalesce("got", F.lit(0))).alias("want"),
         )
         now = cut(now, "mix-threshold")

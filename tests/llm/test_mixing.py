@@ -62,6 +62,16 @@ def test_sample_takes_what_the_mix_says(spark):
     assert mixing.sample(odd.documents(spark), mixing.mix(odd.documents(spark))).columns == odd.documents(spark).columns
 
 
+def test_threshold_weighs_the_next_document_behind_empty_bins(spark):
+    shift = mixing.HASH_BITS - mixing.RADIX
+    rows = [(s, n, k << shift) for s in ("a", None) for n, k in ((10, 100), (10, 500), (100, 900))]
+    rows = spark.createDataFrame(rows, "mix_source string, size long, hash long")
+    for want, taken in ((80.0, 120), (60.0, 20), (5.0, 10), (3.0, 0), (120.0, 120)):
+        targets = spark.createDataFrame([(s, 120, want, 0, want) for s in ("a", None)], "mix_source string, source_size long, target double, whole long, extra double")
+        got = {r["src"]: r["threshold"] for r in mixing._thresholds(rows, targets).collect()}
+        assert {s: sum(r["size"] for r in rows.collect() if r["mix_source"] == s and r["hash"] < t) for s, t in got.items()} == {"a": taken, None: taken}
+
+
 def test_ranks(spark):
     names = ["b", None, "é", "a", "Z", "aa"]
     got = {r["x"]: r["rank"] for r in mixing.ranked(spark.createDataFrame([(n,) for n in names], "x string"), "x").collect()}
