@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,7 +60,8 @@ def split_recursively(text: str | None, size: int = 1000, overlap: int = 200, se
     finer = separators[separators.index(sep) + 1 :] if sep in separators else ()
     pieces = list(text) if sep == "" else [p for i, x in enumerate(text.split(sep)) if (p := x if i == 0 else sep + x)]
     out: list[str] = []
-    run: list[str] = []
+    run: deque[str] = deque()
+    held = 0  # characters in run
 
     def flush() -> None:
         if chunk := "".join(run).strip():
@@ -68,14 +71,16 @@ def split_recursively(text: str | None, size: int = 1000, overlap: int = 200, se
         if len(p) > size and finer:
             if run:
                 flush()
-                run = []
+                run.clear()
+                held = 0
             out += split_recursively(p, size, overlap, finer)
             continue
-        if run and sum(map(len, run)) + len(p) > size:
+        if run and held + len(p) > size:
             flush()
-            while run and (sum(map(len, run)) > overlap or sum(map(len, run)) + len(p) > size):
-                run = run[1:]
-        run = [*run, p]
+            while run and (held > overlap or held + len(p) > size):
+                held -= len(run.popleft())
+        run.append(p)
+        held += len(p)
     flush()
     return out
 

@@ -196,7 +196,7 @@ def citation_title(cite) -> Column:
     return F.when(c.rlike(r"\(\d{4}\)\.\s*(.+?)\.\s*"), strip(after)).otherwise(F.coalesce(strip(F.try_element_at(parts, F.lit(1))), strip(F.left(c, F.lit(100)))))
 
 
-def local_doi(college, year, program, key, prefix: str = "plp") -> Column:
+def local_doi(prefix: str, college, year, program, key) -> Column:
     """prefix/college.year.program.00001; what is null reads None."""
     text = lambda c: F.coalesce(col(c).cast("string"), F.lit("None"))
     n = text(key)

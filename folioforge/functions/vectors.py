@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from zlib import crc32
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,3 +43,34 @@ def min_max(x, over) -> Column:
     """x between 0 and 1 within a window; 1 for all if they are equal (Q5)."""
     low, high = F.min(col(x)).over(over), F.max(col(x)).over(over)
     return F.when(high == low, 1.0).otherwise((col(x) - low) / (high - low))
+
+
+def embedder(encode: Callable[[list[str]], list[list[float]]], batch: int = 64):
+    """A Pandas UDF from text to vector (Q24): `encode` gives the vectors of a list of texts, `batch` at a time.
+
+    A null or blank text has a null vector and isn't sent.
+    """
+
+    @F.pandas_udf("array<float>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+        some = texts[texts.notna() & (texts.fillna("").str.strip() != "")]
+        for k in range(0, len(some), batch):
+            part = some.iloc[k : k + batch]
+            for at, vector in zip(part.index, encode(part.tolist()), strict=True):
+                out.at[at] = vector
+        return out
+
+    return vectors
+
+
+def hashed_terms(texts: list[str], size: int = 64) -> list[list[float]]:
+    """Vectors of unit length that count a text's terms by their hash: an encoder that needs no model."""
+    out = []
+    for text in texts:
+        v = [0.0] * size
+        for term in re.findall(r"[^\W_]+", text.lower()):
+            v[crc32(term.encode()) % size] += 1.0
+        length = sum(x * x for x in v) ** 0.5
+        out.append([x / length for x in v] if length else v)
+    return out

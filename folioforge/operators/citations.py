@@ -35,7 +35,7 @@ def merge_lines(lines: DataFrame) -> DataFrame:
 def best_match(citations: DataFrame, papers: DataFrame, threshold: float = 0.15, least: float = 0.10) -> DataFrame:
     """The most similar other paper of each citation(qid, source, title, qvec), if it reaches both bounds."""
     asked = citations.filter(F.length("title") >= 10)
-    best = best_per_row(asked, papers, 1, allowed=F.col("source") != F.col("id"))
+    best = best_per_row(asked, papers, 1, unlike="source")
     return best.filter((F.col("similarity") >= threshold) & (F.col("similarity") >= least) & (F.col("similarity") > 0))
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.sources.scratch import file_system
+
 
 def get_or_create(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """old and those of new whose keys it lacks (M1)."""
@@ -30,10 +34,8 @@ def toggle(df: DataFrame, where, column: str) -> DataFrame:
 
 
 def set_where(df: DataFrame, where, **values) -> DataFrame:
-    """df with columns set where a condition holds."""
-    for name, value in values.items():
-        df = df.withColumn(name, F.when(where, value).otherwise(F.col(name)))
-    return df
+    """df with columns set where a condition holds (M4, M6, M11); the condition is that of the old values."""
+    return df.withColumns({name: F.when(where, value).otherwise(F.col(name)) for name, value in values.items()})
 
 
 def delete(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
@@ -78,3 +80,20 @@ def recents(events: DataFrame, most: int = 10) -> DataFrame:
 def outcome_counts(df: DataFrame, outcome: str, *kinds: str) -> DataFrame:
     """How many rows had each outcome."""
     return df.agg(*(F.count_if(F.col(outcome) == k).alias(k) for k in kinds))
+
+
+def in_batches(df: DataFrame, change: Callable[[DataFrame], DataFrame], folder: str, key: str = "id", size: int = 100) -> DataFrame:
+    """change(df) made in batches of about `size` rows, each of which is one transaction.
+
+    A batch is written whole to a folder of its own and then committed by an empty file with its number. Run again after
+    a crash it makes only the batches that aren't committed, so each counts once. Batches are by a hash of the key.
+    """
+    spark = df.sparkSession
+    fs, path = file_system(spark, folder)
+    many = max(1, -(-df.count() // size))
+    for k in range(many):
+        if not fs.exists(path(f"{folder}/commits/{k}-{many}")):
+            part = df.filter(F.pmod(F.xxhash64(key), F.lit(many)) == k)
+            change(part).write.mode("overwrite").parquet(f"{folder}/data/{k}-{many}")
+            fs.create(path(f"{folder}/commits/{k}-{many}"), True).close()
+    return spark.read.parquet(*(f"{folder}/data/{k}-{many}" for k in range(many)))

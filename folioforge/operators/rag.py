@@ -63,7 +63,7 @@ def multi_query(chunks: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     """Distinct chunks among the k nearest of each query(qid, qvec)."""
     from folioforge.operators.search import best_per_row
 
-    return best_per_row(queries, chunks, k).dropDuplicates(["id"]).select("id", "paper_id")
+    return chunks.join(best_per_row(queries, chunks, k).select("id").distinct(), "id", "left_semi").select("id", "paper_id")
 
 
 def full_text(chunks: DataFrame, sep: str = " ") -> DataFrame:

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +18,8 @@ from folioforge.functions import vectors as V
 
 #: BM25's parameters (Robertson and Zaragoza 2009).
 K1, B = 1.2, 0.75
+#: Rows of a block of vectors.
+BLOCK = 1024
 
 
 def keyword(chunks: DataFrame, q: str, top_k: int = 5, most: int | None = None) -> DataFrame:
@@ -37,26 +46,44 @@ def postings(chunks: DataFrame) -> DataFrame:
 def bm25(chunks: DataFrame, q: str) -> DataFrame:
     """(id, rank) of the chunks that have every term of q, by BM25 (Q4, F14). No terms, no rows.
 
-    Statistics of the corpus are two aggregates; per chunk only the query's terms are counted, so nothing is exploded.
+    Statistics of the corpus are one aggregate over all texts. Terms are counted where a text contains them, by one scan
+    of it; only the rows with every term are ranked.
     """
     terms = sorted({t for t in chunks.sparkSession.range(1).select(T.tokens(F.lit(q)).alias("t")).first()["t"]})
     if not terms:
         return chunks.select("id", F.lit(0.0).alias("rank")).limit(0)
-    counted = chunks.select("id", T.tokens("text").alias("terms")).select("id", F.size("terms").alias("length"), *(F.size(F.filter("terms", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)))
-    stats = counted.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
+    body = F.lower("text")
+    alone = lambda t: F.regexp_count(body, F.lit(rf"(?<![\p{{L}}\p{{N}}]){T.literal(t)}(?![\p{{L}}\p{{N}}])"))
+    has = [F.contains(body, F.lit(t)) for t in terms]
+    length = F.coalesce(F.regexp_count(body, F.lit(r"[\p{L}\p{N}]+")), F.lit(0))
+    counts = [F.when(here, alone(t)).otherwise(0).alias(f"tf{i}") for i, (t, here) in enumerate(zip(terms, has, strict=True))]
+    stats = chunks.select(length.alias("length"), *counts).agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
+    counted = chunks.filter(reduce(and_, has)).select("id", length.alias("length"), *counts)
     rank = F.lit(0.0)
     for i in range(len(terms)):
         tf, df = F.col(f"tf{i}").cast("double"), F.col(f"df{i}")
         idf = F.log(1 + (F.col("docs") - df + 0.5) / (df + 0.5))
         rank = rank + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    every = F.lit(True)
-    for i in range(len(terms)):
-        every = every & (F.col(f"tf{i}") > 0)
+    every = reduce(and_, (F.col(f"tf{i}") > 0 for i in range(len(terms))))
     return counted.filter(every).crossJoin(F.broadcast(stats)).select("id", rank.alias("rank"))  # stats is one row
 
 
-def _is(term: str):
-    return lambda x: x == term
+def ranked_by_postings(index: DataFrame, q: str) -> DataFrame:
+    """(id, rank) as `bm25` gives it, from kept postings(id, term, tf, length): only the query's terms are read.
+
+    The corpus' size and mean length are taken from the index too; a text without any term isn't in it.
+    """
+    terms = sorted({t for t in index.sparkSession.range(1).select(T.tokens(F.lit(q)).alias("t")).first()["t"]})
+    if not terms:
+        return index.select("id", F.lit(0.0).alias("rank")).limit(0)
+    corpus = index.groupBy("id").agg(F.first("length").alias("length")).agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    hits = index.filter(F.col("term").isin(*terms))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row a term
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf").cast("double")
+    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus)).groupBy("id").agg(F.sum(part).alias("rank"), F.count("*").alias("n"))
+    return scored.filter(F.col("n") == len(terms)).select("id", "rank")
 
 
 def similarity(vec, query: list[float]) -> Column:
@@ -69,15 +96,65 @@ def nearest(rows: DataFrame, query: list[float], k: int, least: float | None = N
     return best if least is None else best.filter(F.col("similarity") >= least)
 
 
-def best_per_row(left: DataFrame, right: DataFrame, k: int, key: str = "qid", other: str = "id", allowed: Column | None = None) -> DataFrame:
-    """For each row of left(key, qvec) the k most similar rows of right(other, vec): similarity join with top k.
+def best_per_row(left: DataFrame, right: DataFrame, k: int, key: str = "qid", other: str = "id", unlike: str | None = None) -> DataFrame:
+    """(key, other, similarity, rank) of the k most similar rows of right(other, vec) for each row of left(key, qvec):
+    similarity join with top k (J10, J11). Rows whose `unlike`, a column of left, equals `other` don't count.
 
-    Left rows are compared block-wise against right by a broadcast nested loop, which is right for a bounded left side;
-    WindowGroupLimit keeps k rows of each key before the shuffle.
+    Both sides are put in blocks, and each pair of blocks is one matrix product, which leaves only the best k of a row
+    and what ties with them. So nothing is compared row by row, and no more than k rows (and ties) of a pair of blocks
+    are shuffled by key.
     """
-    pairs = left.join(right, allowed if allowed is not None else F.lit(True)).withColumn("similarity", V.cosine("qvec", "vec")).filter("similarity is not null")
-    w = Window.partitionBy(key).orderBy(F.desc("similarity"), other)
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    asked = _blocks(left.select(F.col(key).alias("key"), F.col(unlike or key).alias("unlike"), F.col("qvec").alias("vec")), "q")
+    rows = _blocks(right.select(F.col(other).alias("key"), F.col(other).alias("unlike"), "vec"), "r")
+    apart = unlike is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                keys, others, found = _nearest_of_blocks(x.values, y.values, k, apart)
+                yield pa.RecordBatch.from_arrays([keys, others, pa.array(found)], ["key", "other", "similarity"])
+
+    kinds = [side.schema[name].dataType.simpleString() for side, name in ((left, key), (right, other))]
+    pairs = asked.crossJoin(rows)  # blocks, each of up to BLOCK rows
+    best = pairs.select("q", "r").mapInArrow(run, f"key {kinds[0]}, other {kinds[1]}, similarity double")
+    w = Window.partitionBy("key").orderBy(F.desc("similarity"), "other")
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("key").alias(key), F.col("other").alias(other), "similarity", "rank")
+
+
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    """Arrays of up to BLOCK rows (key, unlike, vec), in one column; rows without a vector are left out."""
+    rows = rows.filter(F.col("vec").isNotNull()).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    block = F.floor(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) / BLOCK)
+    return rows.groupBy("part", block.alias("block")).agg(F.collect_list(F.struct("key", "unlike", "vec")).alias(name)).select(name)
+
+
+def _nearest_of_blocks(x: pa.StructArray, y: pa.StructArray, k: int, apart: bool) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Keys of x, keys of y and similarity of the best k (and ties) in y of each row of x; those of other lengths apart."""
+    a, b = x.field("vec"), y.field("vec")
+    at, to, out = [], [], []
+    sizes = np.asarray(pc.list_value_length(a)), np.asarray(pc.list_value_length(b))
+    for size in np.unique(sizes[0]):
+        i, j = np.flatnonzero(sizes[0] == size), np.flatnonzero(sizes[1] == size)
+        if not size or not len(j):
+            continue
+        p, q = (np.asarray(v.take(pa.array(m)).flatten(), dtype=np.float64).reshape(-1, size) for v, m in ((a, i), (b, j)))
+        p_norm, q_norm = (np.sqrt((m * m).sum(axis=1)) for m in (p, q))
+        s = p @ q.T / np.where(p_norm, p_norm, np.nan)[:, None] / np.where(q_norm, q_norm, np.nan)[None, :]
+        if apart:
+            mine, theirs = x.field("unlike").take(pa.array(i)), y.field("unlike").take(pa.array(j))
+            s[np.asarray(mine)[:, None] == np.asarray(theirs)[None, :]] = np.nan
+        s = np.where(np.isfinite(s), s, -2.0)
+        least = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
+        row, column = np.nonzero((s >= least[:, None] - 1e-9) & (s > -2.0))
+        at.append(i[row])
+        to.append(j[column])
+        # added up in one order whatever the block, so that equal vectors tie
+        dots = np.zeros(len(row))
+        for c in range(size):
+            dots += p[row, c] * q[column, c]
+        out.append(dots / (p_norm[row] * q_norm[column]))
+    at, to, out = (np.concatenate(z) if z else np.zeros(0, t) for z, t in ((at, np.int64), (to, np.int64), (out, np.float64)))
+    return x.field("key").take(pa.array(at)), y.field("key").take(pa.array(to)), out
 
 
 def hybrid(chunks: DataFrame, q: str, query: list[float], s: SearchSettings | None = None) -> DataFrame:
@@ -97,7 +174,10 @@ def hybrid(chunks: DataFrame, q: str, query: list[float], s: SearchSettings | No
 def semantic(chunks: DataFrame, q: str, query: list[float], s: SearchSettings | None = None) -> DataFrame:
     """hybrid, or if no chunk has the terms, the nearest chunks by vector alone, several to a paper (Q2, Q3)."""
     s = s or SearchSettings()
-    if not bm25(chunks, q).isEmpty():
+    terms = chunks.sparkSession.range(1).select(T.tokens(F.lit(q)).alias("t")).first()["t"]
+    body = F.lower("text")
+    every = reduce(and_, (F.contains(body, F.lit(t)) & F.array_contains(T.tokens("text"), t) for t in terms), F.lit(bool(terms)))
+    if not chunks.filter(every).isEmpty():  # stops at the first chunk
         return hybrid(chunks, q, query, s)
     return nearest(chunks, query, s.top_k, s.min_score).select("paper_id", "id", F.round("similarity", 4).alias("score"))
 

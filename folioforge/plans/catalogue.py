@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioforge.plans import queries_aggregate, queries_browse, queries_search, queries_text  # noqa: F401
+from folioforge.plans import queries_aggregate, queries_browse, queries_files, queries_search, queries_streams, queries_text  # noqa: F401
 from folioforge.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

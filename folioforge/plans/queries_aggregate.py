@@ -140,12 +140,15 @@ def citation_upsert_max(spark, d):
     return citations.upsert(e.filter("seq % 2 = 0"), e.filter("seq % 2 = 1"))
 
 
-@register("citation_weighted_score", q(EDGES, select="SELECT source, matched, seq, round(0.7 * (score / 100000) + 0.2 * (seq % 3) / 2 + 0.1 * (matched % 2), 6) AS score FROM e WHERE 0.7 * (score / 100000) + 0.2 * (seq % 3) / 2 + 0.1 * (matched % 2) >= 0.75"))
+WEIGHTED = "CAST(0.7 AS DOUBLE) * (score / CAST(100000 AS DOUBLE)) + CAST(0.2 AS DOUBLE) * ((seq % 3) / CAST(2 AS DOUBLE)) + CAST(0.1 AS DOUBLE) * CAST(matched % 2 AS DOUBLE)"
+
+
+@register("citation_weighted_score", q(EDGES, select=f"SELECT source, matched, seq, {WEIGHTED} AS score FROM e WHERE {WEIGHTED} >= CAST(0.75 AS DOUBLE)"))
 def citation_weighted_score(spark, d):
     """Q18."""
     e = S.edges(spark, d)
     score = citations.weighted(F.col("score") / 100000, (F.col("seq") % 3) / 2, F.col("matched") % 2)
-    return e.filter(score >= 0.75).select("source", "matched", "seq", F.round(score, 6).alias("score"))
+    return e.filter(score >= 0.75).select("source", "matched", "seq", score.alias("score"))
 
 
 @register("view_counts", q(RECENT, select="SELECT item, count(*) AS views FROM v WHERE event_type = 'view' GROUP BY item"))

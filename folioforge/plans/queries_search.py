@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from folioforge.config import SearchSettings
 from folioforge.functions import vectors as V
+from folioforge.functions.text import contains_ci, occurrences
 from folioforge.operators import citations, rag, search
 from folioforge.plans.queries_aggregate import PAPERS, q
 from folioforge.plans.registry import register
 from folioforge.sources import tables as S
+from folioforge.sources.scratch import fresh
 
 #: Chunks with a vector: documents and embeddings of the same number.
 CHUNKS = "c AS (SELECT doc_id AS id, source AS paper_id, text, embedding AS vec FROM documents JOIN embeddings ON doc_id = vec_id)"
@@ -49,8 +51,6 @@ def keyword_search(spark, d):
 @register("keyword_counts", "SELECT doc_id AS id, len(regexp_extract_all(text, '(?i)the')) AS n FROM documents")
 def keyword_counts(spark, d):
     """Q1: occurrences of every document."""
-    from folioforge.functions.text import occurrences
-
     return S.chunks(spark, d).select("id", occurrences("text", "the").alias("n"))
 
 
@@ -66,6 +66,15 @@ def postings(spark, d):
     return search.postings(S.chunks(spark, d)).select("id", "length", "term", "tf")
 
 
+@register("fts_by_postings", q(CHUNKS.replace(" JOIN embeddings ON doc_id = vec_id", "").replace("embedding AS vec", "NULL AS vec"), TERMS, "y AS (SELECT * FROM w WHERE len(terms) > 0)", bm25_sql(["and", "the"], "y"), select="SELECT id, round(rank, 6) AS rank FROM r ORDER BY rank DESC, id LIMIT 20"))
+def fts_by_postings(spark, d):
+    """Q4 from a kept index, which is written by term and read for the query's terms only."""
+    path = fresh(spark, "postings")
+    search.postings(S.chunks(spark, d)).repartition("term").sortWithinPartitions("term").write.parquet(path)
+    ranked = search.ranked_by_postings(spark.read.parquet(path), "The and")
+    return ranked.orderBy(F.desc("rank"), "id").limit(20).select("id", F.round("rank", 6).alias("rank"))
+
+
 @register(
     "hybrid_search",
     q(
@@ -115,7 +124,7 @@ def knn_per_query_top3(spark, d):
     """J10, W1."""
     v = S.vectors(spark, d)
     asked = v.filter("id % 50 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-    return search.best_per_row(asked, v, 3, allowed=F.col("qid") != F.col("id")).select("qid", "id", F.round("similarity", 4).alias("similarity"))
+    return search.best_per_row(asked, v, 3, unlike="qid").select("qid", "id", F.round("similarity", 4).alias("similarity"))
 
 
 @register("related_items", q(E0, f"k AS (SELECT id, paper_id, {SIM} AS sim FROM e WHERE paper_id <> 0 ORDER BY sim DESC, id LIMIT 25)", select="SELECT 'paper ' || paper_id AS title, round(max(sim), 4) AS similarity FROM k GROUP BY paper_id HAVING max(sim) >= 0.1 ORDER BY max(sim) DESC, title LIMIT 5"))
@@ -129,7 +138,7 @@ def related_items(spark, d):
     "tag_extraction",
     q(
         E0, "g AS (SELECT CASE id WHEN 0 THEN 'deep' WHEN 1 THEN 'deep learning' WHEN 2 THEN 'learning' ELSE 'tag' || id END AS name, vec FROM e WHERE id < 12)",
-        "p AS (SELECT e.id AS qid, g.name, list_cosine_similarity(e.vec, g.vec) AS sim FROM e JOIN g ON true WHERE e.id % 10 = 0)",
+        "p AS (SELECT e.id AS qid, g.name, list_cosine_similarity(e.vec, g.vec) AS sim FROM e JOIN g ON true)",
         "b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, name) AS n FROM p) WHERE n <= 5)",
         select="SELECT qid, name, round(sim, 4) AS similarity, CAST(n AS INTEGER) AS rank FROM b WHERE sim >= 0.1 AND NOT EXISTS (SELECT 1 FROM b o WHERE o.qid = b.qid AND o.name <> b.name AND contains(o.name, b.name))",
     ),
@@ -139,18 +148,18 @@ def tag_extraction(spark, d):
     v = S.vectors(spark, d)
     name = F.when(F.col("id") == 0, "deep").when(F.col("id") == 1, "deep learning").when(F.col("id") == 2, "learning").otherwise(F.concat(F.lit("tag"), F.col("id").cast("string")))
     tags = v.filter("id < 12").select(name.alias("name"), "vec", F.lit(True).alias("is_active"))
-    docs = v.filter("id % 10 = 0").select(F.col("id").alias("qid"), F.coalesce(F.lit(None).cast("array<float>"), "vec").alias("qvec"))
+    docs = v.select(F.col("id").alias("qid"), F.coalesce(F.lit(None).cast("array<float>"), "vec").alias("qvec"))
     return search.extract_tags(docs, tags, SearchSettings(tag_min_score=0.1)).select("qid", "name", F.round("similarity", 4).alias("similarity"), "rank")
 
 
 @register(
     "citation_best_match",
-    q(E0, "p AS (SELECT a.id AS qid, b.id, list_cosine_similarity(a.vec, b.vec) AS sim FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 5 = 1)", select="SELECT qid, id, round(sim, 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS n FROM p) WHERE n = 1 AND sim >= 0.15"),
+    q(E0, "p AS (SELECT a.id AS qid, b.id, list_cosine_similarity(a.vec, b.vec) AS sim FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 50 = 0)", select="SELECT qid, id, round(sim, 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS n FROM p) WHERE n = 1 AND sim >= 0.15"),
 )
 def citation_best_match(spark, d):
     """Q17, Q19, J10, F17."""
     v = S.vectors(spark, d)
-    cites = v.filter("id % 5 = 1").select(F.col("id").alias("qid"), F.col("id").alias("source"), F.lit("a title of enough letters").alias("title"), F.col("vec").alias("qvec"))
+    cites = v.filter("id % 50 = 0").select(F.col("id").alias("qid"), F.col("id").alias("source"), F.lit("a title of enough letters").alias("title"), F.col("vec").alias("qvec"))
     return citations.best_match(cites, v.select("id", "vec")).select("qid", "id", F.round("similarity", 4).alias("similarity"))
 
 
@@ -174,11 +183,11 @@ def rerank_overlap(spark, d):
 TURNS = "t AS (SELECT conv_id * 1000 + turn AS id, conv_id AS paper_id, CAST(floor(turn / 2 + 1) AS INTEGER) AS page, turn AS chunk_id, text FROM conversations)"
 
 
-@register("rag_context_expand", q(TURNS, select="SELECT DISTINCT c.id, c.paper_id, c.page FROM t c JOIN t h ON c.paper_id = h.paper_id AND c.page BETWEEN greatest(1, h.page - 1) AND h.page + 1 WHERE h.id % 7 = 0"))
+@register("rag_context_expand", q(TURNS, select="SELECT DISTINCT c.id, c.paper_id, c.page FROM t c JOIN t h ON c.paper_id = h.paper_id AND c.page BETWEEN greatest(1, h.page - 1) AND h.page + 1 WHERE contains(lower(h.text), 'tion')"))
 def rag_context_expand(spark, d):
     """J8, F12, U2, W2."""
     t = S.turns(spark, d)
-    return rag.expand(t.filter("id % 7 = 0"), t).select("id", "paper_id", "page")
+    return rag.expand(t.filter(contains_ci("text", "tion")), t).select("id", "paper_id", "page")
 
 
 @register(

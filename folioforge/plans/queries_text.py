@@ -40,9 +40,9 @@ def escape_highlight(spark, d):
     return S.chunks(spark, d).select("id", F.md5(T.escape_highlight("text", "and")).alias("html_md5"))
 
 
-@register("snippet_first_sentence")
+@register("snippet_first_sentence", "SELECT doc_id AS id, regexp_replace(coalesce(trim(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+'), lambda p: contains(lower(p), 'the'))[1]), ''), '(the)', '<mark>\\1</mark>', 'gi') AS snippet FROM documents")
 def snippet_first_sentence(spark, d):
-    """Q10; DuckDB's engine has no look-behind."""
+    """Q10."""
     return S.chunks(spark, d).select("id", T.snippet("text", "the").alias("snippet"))
 
 
@@ -66,11 +66,11 @@ def date_formats(spark, d):
     return e.select("event_id", F.date_format("ts", "MMM dd, yyyy").alias("short"), F.year("ts").alias("year"))
 
 
-@register("local_doi", q(PAPERS, select="SELECT id, 'plp/' || CASE WHEN id % 5 = 0 THEN 'None' ELSE college END || '.' || year || '.' || program || '.' || CASE WHEN length(CAST(id AS VARCHAR)) < 5 THEN lpad(CAST(id AS VARCHAR), 5, '0') ELSE CAST(id AS VARCHAR) END AS doi FROM p"))
+@register("local_doi", q(PAPERS, select="SELECT id, 'repo/' || CASE WHEN id % 5 = 0 THEN 'None' ELSE college END || '.' || year || '.' || program || '.' || CASE WHEN length(CAST(id AS VARCHAR)) < 5 THEN lpad(CAST(id AS VARCHAR), 5, '0') ELSE CAST(id AS VARCHAR) END AS doi FROM p"))
 def local_doi(spark, d):
     """X22."""
     p = S.papers(spark, d).withColumn("college", F.when(F.col("id") % 5 != 0, F.col("college")))
-    return p.select("id", T.local_doi("college", "year", "program", "id").alias("doi"))
+    return p.select("id", T.local_doi("repo", "college", "year", "program", "id").alias("doi"))
 
 
 @register("chunk_short_filter", "SELECT doc_id AS id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) < 60")
@@ -80,15 +80,36 @@ def chunk_short_filter(spark, d):
     return c.select("id", F.size(T.words("text")).cast("long").alias("words"))
 
 
-@register("chunk_greedy")
+#: What a packer has done and holds, as DuckDB folds it over a list whose items are such structs too.
+FOLD = "list_reduce(l, lambda a, x: CASE WHEN {fits} THEN {{'done': a.done, 'now': {longer}, 'n': a.n + x.n}} ELSE {{'done': list_append(a.done, {full}), 'now': {alone}, 'n': x.n}} END, {{'done': CAST([] AS VARCHAR[]), 'now': '', 'n': CAST(0 AS BIGINT)}})"
+UNROLL = "SELECT id, CAST(unnest(range(0, len(chunks))) AS INTEGER) AS chunk_id, unnest(chunks) AS text FROM c"
+
+
+@register(
+    "chunk_greedy",
+    q(
+        "s AS (SELECT doc_id AS id, list_transform(string_split(text, '. '), lambda x: {'done': CAST([] AS VARCHAR[]), 'now': x, 'n': CAST(0 AS BIGINT)}) AS l FROM documents)",
+        "f AS (SELECT id, " + FOLD.format(fits="length(a.now) + length(x.now) < 1000", longer="a.now || x.now || '. '", full="trim(a.now)", alone="x.now || '. '") + " AS f FROM s)",
+        "c AS (SELECT id, list_filter(list_append(f.done, trim(f.now)), lambda c: c <> '') AS chunks FROM f)",
+        select=UNROLL,
+    ),
+)
 def chunk_greedy(spark, d):
-    """X4, W5; tests hold it against plain Python."""
+    """X4, W5."""
     return S.chunks(spark, d).select("id", F.posexplode(chunking.pack_sentences("text")).alias("chunk_id", "text"))
 
 
-@register("chunk_wordbudget")
+@register(
+    "chunk_wordbudget",
+    q(
+        "s AS (SELECT doc_id AS id, list_transform(list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\\n\\n'), lambda p: trim(p)), lambda p: p <> ''), lambda x: {'done': CAST([] AS VARCHAR[]), 'now': x, 'n': CAST(len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')) AS BIGINT)}) AS l FROM documents)",
+        "f AS (SELECT id, " + FOLD.format(fits="a.n + x.n <= 120 OR a.n = 0", longer="CASE WHEN a.n > 0 THEN a.now || chr(10) || chr(10) || x.now ELSE x.now END", full="a.now", alone="x.now") + " AS f FROM s)",
+        "c AS (SELECT id, list_filter(list_append(f.done, f.now), lambda c: c <> '') AS chunks FROM f)",
+        select=UNROLL,
+    ),
+)
 def chunk_wordbudget(spark, d):
-    """X8; tests hold it against plain Python."""
+    """X8."""
     return S.chunks(spark, d).select("id", F.posexplode(chunking.pack_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")), 120)).alias("chunk_id", "text"))
 
 
@@ -124,12 +145,22 @@ def last_pages(spark, d):
     return pages.last_pages(paged(spark, d)).select("doc", "page")
 
 
-@register("page_attribution", q(PAGES, select="SELECT doc, page AS chunk_id, page FROM g WHERE length(text) >= 30"))
+@register(
+    "page_attribution",
+    q(
+        PAGES, "w AS (SELECT doc, string_agg(text, '' ORDER BY page) AS whole FROM g GROUP BY doc)",
+        "s AS (SELECT doc, page, coalesce(sum(length(text)) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, length(text) AS n FROM g)",
+        "c AS (SELECT doc, CAST(unnest(range(0, (length(whole) + 149) // 150)) AS INTEGER) AS chunk_id, whole FROM w)",
+        select="SELECT c.doc, c.chunk_id, s.page, md5(substr(whole, chunk_id * 150 + 1, 200)) AS text_md5 FROM c JOIN s ON s.doc = c.doc AND chunk_id * 150 >= start AND chunk_id * 150 < start + n WHERE length(substr(whole, chunk_id * 150 + 1, 200)) >= 60",
+    ),
+)
 def page_attribution(spark, d):
-    """A long chunk cut from the start of a page is found on that page."""
+    """Chunks of 200 characters that overlap by 50 and run over the ends of pages, with the page each begins on."""
     p = paged(spark, d)
-    chunks = p.filter("length(text) >= 30").select("doc", F.col("page").alias("chunk_id"), "text")
-    return pages.page_of_chunks(p, chunks).select("doc", "chunk_id", "page")
+    whole = p.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "").alias("whole"))
+    cuts = whole.select("doc", "whole", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("whole") - 1) / 150).cast("int")))).alias("chunk_id"))
+    chunks = cuts.select("doc", "chunk_id", F.substring("whole", F.col("chunk_id") * 150 + 1, F.lit(200)).alias("text")).filter("length(text) >= 60")
+    return pages.page_of_chunks(p, chunks).select("doc", "chunk_id", "page", F.md5("text").alias("text_md5"))
 
 
 @register("section_classify", f"SELECT title, (contains(lower(title), 'abstract') OR starts_with(lower(title), 'chapter i') OR starts_with(lower(title), 'chapter v')) AND NOT regexp_matches(lower(title), 'figure|table|appendix|bibliography|references') AS valid, CASE WHEN contains(lower(title), 'abstract') THEN 'abstract' WHEN regexp_matches(trim(lower(title)), '^chapter\\s*i\\b') THEN 'introduction' WHEN regexp_matches(trim(lower(title)), '^chapter\\s*ii\\b') OR contains(lower(title), 'review of related') OR contains(lower(title), 'related studies') THEN 'rrl' WHEN regexp_matches(trim(lower(title)), '^chapter\\s*iii\\b') THEN 'methodology' WHEN regexp_matches(trim(lower(title)), '^chapter\\s*iv\\b') THEN 'results' WHEN regexp_matches(trim(lower(title)), '^chapter\\s*v\\b') THEN 'conclusion' ELSE 'other' END AS kind FROM {values(TITLES)} v(title)")
@@ -166,21 +197,21 @@ def year_extract_all(spark, d):
 
 @register("html_title_extract", "SELECT page_id, trim(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)) AS title, len(regexp_extract_all(html, '<a ')) AS links FROM pages")
 def html_title_extract(spark, d):
-    """S16 by patterns."""
+    """Headings and links by patterns; the parser of S16 runs in html_sections."""
     p = S.table(spark, d, "pages")
     return p.select("page_id", F.trim(F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1)).alias("title"), F.regexp_count("html", F.lit("<a ")).cast("long").alias("links"))
 
 
-@register("html_strip_boilerplate")
+@register("html_strip_boilerplate", "SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\\b[^>]*>.*?</script>', '<gone>', 'gs'), '<style\\b[^>]*>.*?</style>', '<gone>', 'gs'), '<nav\\b[^>]*>.*?</nav>', '<gone>', 'gs'), '<footer\\b[^>]*>.*?</footer>', '<gone>', 'gs'), '<aside\\b[^>]*>.*?</aside>', '<gone>', 'gs'), '<header\\b[^>]*>.*?</header>', '<gone>', 'gs'), '<noscript\\b[^>]*>.*?</noscript>', '<gone>', 'gs'), '<template\\b[^>]*>.*?</template>', '<gone>', 'gs'), '<div class=\"ad\">.*?</div>', '<gone>', 'gs'), '<!--.*?-->|<[^>]*>'), lambda x: trim(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM pages")
 def html_strip_boilerplate(spark, d):
-    """Visible text of pages; tests hold it against fixtures."""
+    """Visible text of pages, beside S15; the SQL does by patterns what the parser does."""
     p = S.table(spark, d, "pages")
     return p.select("page_id", files.visible(p).alias("text"))
 
 
 @register("rest_listing", q(PAPERS, select="SELECT id, '{\"id\":' || id || ',\"title\":\"' || title || '\",\"year\":' || year || '}' AS json FROM p"))
 def rest_listing(spark, d):
-    """S22."""
+    """Objects beside their keys; S22 itself runs in rest_rows."""
     p = S.papers(spark, d).select("id", "title", "year")
     return p.select("id", F.to_json(F.struct("id", "title", "year")).alias("json"))
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,60 @@ from folioforge.functions import html
 from folioforge.functions import text as T
 
 
+def documents(spark: SparkSession, path: str, parse: Callable[[bytes], Iterable[str]], pattern: str = "*.pdf") -> DataFrame:
+    """(doc, page, text) of the files below a folder (S6): `parse` gives the page texts of a file; pages count from 1.
+
+    A file that can't be parsed raises; its path is in the message. One file is in memory at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    texts = list(parse(content.as_py()))
+                except Exception as e:
+                    raise ValueError(f"{doc}: {e}") from e
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(texts), pa.string()), pa.array(range(1, len(texts) + 1), pa.int32()), pa.array(texts, pa.string())], ["doc", "page", "text"])
+
+    return _binary(spark, path, pattern).mapInArrow(run, "doc string, page int, text string")
+
+
+def figures(spark: SparkSession, path: str, extract: Callable[[bytes], Iterable[tuple[int, str, bytes]]], pattern: str = "*.pdf") -> DataFrame:
+    """(doc, page, name, content) of the images in files (S9): `extract` gives (page, extension, bytes) of each.
+
+    Names are page{page}_img{number}.{extension}; images of a page count from 1.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                of_page: Counter = Counter()
+                for page, extension, image in extract(content.as_py()):
+                    of_page[page] += 1
+                    name = f"page{page}_img{of_page[page]}.{extension}"
+                    yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([page], pa.int32()), pa.array([name]), pa.array([image], pa.binary())], ["doc", "page", "name", "content"])
+
+    return _binary(spark, path, pattern).mapInArrow(run, "doc string, page int, name string, content binary")
+
+
+def unpacked(spark: SparkSession, path: str, unpack: Callable[[bytes], Iterable[tuple[str, bytes]]], pattern: str = "*.chm") -> DataFrame:
+    """(archive, path, content) of the files in archives (S11): `unpack` gives (path, bytes) of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for name, inner in unpack(content.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([name]), pa.array([inner], pa.binary())], ["archive", "path", "content"])
+
+    found = _binary(spark, path, pattern).mapInArrow(run, "archive string, path string, content binary")
+    return found.withColumn("path", T.chm_path(F.url_decode("path")))
+
+
+def _binary(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    read = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return read.select(F.col("path").alias("doc"), "content")
+
+
 def html_folder(spark: SparkSession, path: str) -> DataFrame:
     """(path, html) of each page of an unpacked help archive, bytes repaired."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.htm*").option("recursiveFileLookup", "true").load(path)

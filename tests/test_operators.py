@@ -57,3 +57,43 @@ def test_answer_context(spark):
     chunks = spark.createDataFrame([(i, 1, i // 2 + 1, i, f"t{i}", [float(i), 1.0]) for i in range(8)], "id long, paper_id long, page int, chunk_id int, text string, vec array<float>")
     got = rag.answer_context(chunks, 1, "t0", [0.0, 1.0], k=1).first()
     assert got["chunks"] == 4 and got["pages"] == 2 and got["context"].count("PAGE") == 2
+
+
+def test_best_per_row_like_brute_force(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(search, "BLOCK", 7)
+    rng = random.Random(2)
+    vectors = [(i, [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(4)]) for i in range(120)] + [(500, None), (501, [0.0] * 4), (502, [1.0, 2.0]), (503, [])]
+    right = spark.createDataFrame(vectors, "id long, vec array<float>").repartition(3)
+    left = right.filter("id % 5 = 0 or id >= 500").selectExpr("id as qid", "vec as qvec").repartition(2)
+
+    def cosine(x, y):
+        n = (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5
+        return sum(a * b for a, b in zip(x, y)) / n if n else None
+
+    for unlike in (None, "qid"):
+        want = {}
+        for i, x in vectors:
+            if (i % 5 and i < 500) or not x:
+                continue
+            near = [(-c, j) for j, y in vectors if y and len(y) == len(x) and (j != i or not unlike) and (c := cosine(x, y)) is not None]
+            for rank, (c, j) in enumerate(sorted((round(c, 9), j) for c, j in near)[:3], 1):
+                want[i, rank] = (j, -c)
+        got = {(r["qid"], r["rank"]): (r["id"], round(r["similarity"], 9)) for r in search.best_per_row(left, right, 3, unlike=unlike).collect()}
+        assert {k: v[1] for k, v in got.items()} == pytest.approx({k: v[1] for k, v in want.items()})
+        assert sum(got[k][0] == want[k][0] for k in want) >= len(want) - 3  # the last digit may break a tie otherwise
+
+
+def test_postings_rank_like_texts(spark):
+    rows = [(1, "the river and the bank"), (2, "River"), (3, ""), (4, None), (5, "the riverbank, the bank: THE bank"), (6, "bank river x-river")]
+    c = spark.createDataFrame(rows, "id long, text string").filter("text <> ''")
+    for q in ("river bank", "the", "nothing", "x river", "a.b"):
+        a, b = ({r["id"]: round(r["rank"], 9) for r in d.collect()} for d in (search.bm25(c, q), search.ranked_by_postings(search.postings(c), q)))
+        assert a == b
+
+
+def test_fallback_wants_whole_terms(spark):
+    c = spark.createDataFrame([(1, 1, "riverbank", [1.0, 0.0]), (2, 2, "lake", [0.0, 1.0])], "id long, paper_id long, text string, vec array<float>")
+    assert [r["id"] for r in search.semantic(c, "river", [0.0, 1.0], SearchSettings(min_score=0.2)).collect()] == [2]
+    assert [r["id"] for r in search.semantic(c, "riverbank", [0.0, 1.0], SearchSettings(min_score=0.2)).collect()] == [1]
