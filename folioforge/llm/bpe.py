@@ -21,9 +21,11 @@ import itertools
 import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from folioforge.llm.common import workers
@@ -42,8 +44,11 @@ LEAF = 1 << 14
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """Token bytes to rank, from a rank file."""
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return ranks_of(Path(path).read_bytes())
+
+
+def ranks_of(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
 
 
 class Bpe:
@@ -212,17 +217,29 @@ def vocabulary(path: str, pattern: str) -> Bpe:
     return Bpe(load_ranks(path), pattern)
 
 
+@lru_cache(maxsize=2)
+def sent(ranks: bytes, pattern: str) -> Bpe:
+    """The vocabulary of a rank file's bytes; a worker makes it once."""
+    return Bpe(ranks_of(ranks), pattern)
+
+
+def shipped(docs: DataFrame, path: str) -> Broadcast[bytes]:
+    """The rank file at the driver's path, sent to the executors: it has a fixed size."""
+    workers(docs.sparkSession)
+    return docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", lossless: str = "lossless") -> DataFrame:
     """docs with an array column `ids` of each whole text's token ids, and whether these decode to the text's bytes.
 
     Columns of these names are replaced.
     """
-    workers(docs.sparkSession)
+    ranks = shipped(docs, path)
     docs = docs.drop(*({ids, lossless} - {text}))
     keep = list(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary(path, pattern)
+        bpe = sent(ranks.value, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(keep.index(text)).to_pylist()]
             packed = [bpe.packed(t) for t in texts]
@@ -237,12 +254,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
 
 def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """docs with `text` decoded from the token ids; null ids are no ids. Bytes that are no UTF-8 become U+FFFD."""
-    workers(docs.sparkSession)
+    ranks = shipped(docs, path)
     docs = docs.drop(text) if ids != text else docs
     keep = list(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary(path, pattern)
+        bpe = sent(ranks.value, pattern)
         for batch in batches:
             out = [bpe.decode(x or []).decode("utf-8", "replace") for x in batch.column(keep.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*keep, text])
@@ -257,11 +274,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
     ids_sha256 is over the ids as little-endian unsigned 32-bit integers, decoded_sha256 over the decoded bytes;
     `lossless` tells whether these are the text's. Only digests leave the worker, so the ids are never shuffled.
     """
-    workers(docs.sparkSession)
+    ranks = shipped(docs, path)
     kind = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, sha = vocabulary(path, pattern), hashlib.sha256
+        bpe, sha = sent(ranks.value, pattern), hashlib.sha256
         for batch in batches:
             n, ids, decoded, same = [], [], [], []
             for t in batch.column(1):

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
 import uuid
+import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.sources.scratch import fresh, remove, shared_folder, write_files
+
+__all__ = ["WORD", "cut", "held_out", "release", "shared_folder", "table", "whole_row", "workers"]
+
 #: The repository root, so that Python workers can import this package wherever the driver was started.
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -23,21 +28,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def workers(spark: SparkSession) -> None:
-    """Lets Python workers find this package, and keeps Arrow batches of long texts small."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    """Lets Python workers find this package, and keeps Arrow batches of long texts small.
+
+    In local mode they import it where it lies; on a cluster it is sent to the executors, by way of the shared folder.
+    """
+    context = spark.sparkContext
+    if context.master.split("[")[0] == "local":
+        context.environment.setdefault("PYTHONPATH", ROOT)
+    elif not any(x.startswith("folioforge-") for x in context._python_includes):
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as z:
+            for file in sorted(Path(ROOT, "folioforge").rglob("*.py")):
+                z.write(file, file.relative_to(ROOT))
+        name = f"folioforge-{uuid.uuid4().hex}.zip"
+        context.addPyFile(f"{write_files(spark, fresh(spark, 'package'), {name: packed.getvalue()})}/{name}")
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. One is made only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="folioforge-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """The same rows, read back from a Parquet table in the shared folder.
 
@@ -45,19 +53,22 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     finished job when the driver's JVM collects its garbage, so that is asked for here.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/folioforge/{name}-{uuid.uuid4().hex}"
+    path = fresh(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_row(docs: DataFrame, name: str = "row") -> Column:
+    """All columns of docs as one struct, so that columns beside it can't clash with them."""
+    return F.struct(*(F.col("`{}`".format(c.replace("`", "``"))) for c in docs.columns)).alias(name)
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables that `cut` wrote and nothing will read again."""
     for df in tables:
-        spark = df.sparkSession
         for file in df.inputFiles()[:1]:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            remove(df.sparkSession, file.rsplit("/", 1)[0])
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

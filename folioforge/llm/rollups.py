@@ -1,10 +1,15 @@
 """Delta-maintained token counts: additive totals by source, language and tokenizer version.
 
 A batch of changes is reduced to signed sums: an insert adds a document and its tokens, a delete takes both away, a
-revised count adds the difference of the tokens. The sums are written to a folder of their own; then the batch is
-committed by creating a file with its name, which fails if there is one. So a batch counts once however often it is
-delivered, a failed attempt leaves nothing that is read, and any number of writers may run at once. Totals are the
-sums over the committed batches; `compact` replaces them by one.
+revised count adds the difference of the tokens. An attempt at a batch writes the sums to a folder of its own, whole,
+and then creates an empty file whose name has the batch and that folder. The name is all that counts, so there is no
+moment at which a batch is claimed but has no sums: a crash before the file leaves nothing that is read, and the batch
+can be delivered again. If several attempts at a batch come through, their sums are the same and readers take the one
+with the least name, so a batch counts once however often it is delivered and however many writers there are.
+
+`compact` adds the totals up in one folder beside a list of the batches in it, and then creates an empty file that
+names the two. Readers take the compaction with the most batches and add the batches that it doesn't have; batches that
+arrive meanwhile are such batches.
 
 Null sources, languages and versions are groups of their own. A null count is 0 tokens. A revision of a document that
 moves to another group is a delete and an insert. A group whose documents and tokens are both 0 isn't listed. Rows
@@ -15,13 +20,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.bpe import vocabulary
-from folioforge.llm.common import workers
+from folioforge.llm.bpe import sent, shipped
 from folioforge.llm.textstats import words_of
 
 KEYS = ("source", "lang", "tokenizer")
@@ -38,7 +43,7 @@ def signed(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals in a folder that driver and executors share."""
+    """Totals in a folder that driver and executors share: data/, commits/<batch>~<attempt>, compactions/<attempt>."""
 
     SCHEMA = "source string, lang string, tokenizer string, documents long, tokens long"
 
@@ -48,62 +53,62 @@ class Rollup:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _names(self, kind: str) -> list[str]:
+        home = self._path(f"{self.folder}/{kind}")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(home)) if self._fs.exists(home) else []
+
+    def _mark(self, kind: str, name: str) -> None:
+        """Creates an empty file; that it exists is all it says."""
+        self._fs.create(self._path(f"{self.folder}/{kind}/{name}"), True).close()
+
     def _commits(self) -> dict[str, str]:
-        """Committed batches and the folder of each; as many as there are batches since the last compaction."""
-        home = self._path(f"{self.folder}/commits")
-        if not self._fs.exists(home):
-            return {}
-        found = {}
-        for s in self._fs.listStatus(home):
-            stream = self._fs.open(s.getPath())
-            try:
-                found[s.getPath().getName()] = bytes(stream.readAllBytes()).decode()
-            finally:
-                stream.close()
+        """Committed batches, by their names in file names, and the attempt that counts of each."""
+        found: dict[str, str] = {}
+        for name in self._names("commits"):
+            batch, attempt = name.rsplit("~", 1)
+            found.setdefault(batch, attempt)
         return found
 
+    def _compacted(self) -> tuple[str | None, set[str]]:
+        """The compaction that counts, and the batches in it; as many names as there were batches."""
+        best: tuple[str | None, set[str]] = None, set()
+        for attempt in self._names("compactions"):
+            batches = {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{self.folder}/batches/{attempt}").collect()}
+            if best[0] is None or len(batches) > len(best[1]):
+                best = attempt, batches
+        return best
+
     def committed(self, batch: str) -> bool:
-        return self._fs.exists(self._path(f"{self.folder}/commits/{batch}"))
+        return quote(batch, safe="") in self._commits()
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds a batch; False, and nothing happens, if it is committed already."""
         if self.committed(batch):
             return False
-        data = f"data/{uuid.uuid4().hex}"
-        signed(changes).write.parquet(f"{self.folder}/{data}")
-        return self._claim(batch, data)
-
-    def _claim(self, batch: str, data: str) -> bool:
-        self._fs.mkdirs(self._path(f"{self.folder}/commits"))
-        try:
-            stream = self._fs.create(self._path(f"{self.folder}/commits/{batch}"), False)
-        except Exception as e:  # py4j wraps Java's; only an existing file means that another writer was first
-            if not self.committed(batch):
-                raise
-            self._fs.delete(self._path(f"{self.folder}/{data}"), True)
-            del e
-            return False
-        stream.write(bytearray(data.encode()))
-        stream.close()
+        attempt = uuid.uuid4().hex
+        signed(changes).write.parquet(f"{self.folder}/data/{attempt}")
+        self._mark("commits", f"{quote(batch, safe='')}~{attempt}")
         return True
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, documents, tokens) over all committed batches."""
-        data = sorted({d for d in self._commits().values() if d})
+        return self._totals(self._commits(), *self._compacted()).filter("documents <> 0 or tokens <> 0")
+
+    def _totals(self, commits: dict[str, str], base: str | None, inside: set[str]) -> DataFrame:
+        data = [*([base] if base else []), *(a for b, a in sorted(commits.items()) if b not in inside)]
         if not data:
             return self.spark.createDataFrame([], self.SCHEMA)
-        rows = self.spark.read.schema(self.SCHEMA).parquet(*(f"{self.folder}/{d}" for d in data))
-        return rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).filter("documents <> 0 or tokens <> 0")
+        rows = self.spark.read.schema(self.SCHEMA).parquet(*(f"{self.folder}/data/{d}" for d in data))
+        return rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
 
-    def compact(self) -> Rollup:
-        """A rollup in a new folder with the same totals and the same batches, whose sums are one table."""
-        to = Rollup(self.spark, f"{self.folder}-{uuid.uuid4().hex[:8]}")
-        batches = sorted(self._commits())
-        data = f"data/{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{to.folder}/{data}")
-        for i, batch in enumerate(batches):
-            to._claim(batch, data if i == 0 else "")
-        return to
+    def compact(self) -> None:
+        """Adds up what is committed so far. Commits, totals and other compactions may go on meanwhile."""
+        commits, (base, inside) = self._commits(), self._compacted()
+        attempt = uuid.uuid4().hex
+        self._totals(commits, base, inside).write.parquet(f"{self.folder}/data/{attempt}")
+        batches = self.spark.createDataFrame([(b,) for b in sorted(inside | set(commits))], "batch string")
+        batches.coalesce(1).write.parquet(f"{self.folder}/batches/{attempt}")
+        self._mark("compactions", attempt)
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str, version: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -111,11 +116,11 @@ def token_counts(docs: DataFrame, path: str, pattern: str, version: str, key: st
 
     Versions are `version`, the byte-level BPE at path, and "words". rough is a quarter of the bytes, or of the words.
     """
-    workers(docs.sparkSession)
+    ranks = shipped(docs, path)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary(path, pattern)
+        bpe = sent(ranks.value, pattern)
         for batch in batches:
             exact, rough = [], []
             for t in batch.column(3):

@@ -37,9 +37,11 @@ def test_batches_count_once_and_compact(spark, tmp_path):
     assert [r.commit("1", first), r.commit("1", first), r.commit("2", then), r.commit("2", then), r.commit("3", first.limit(0))] == [True, False, True, False, True]
     want = {("a", None, "v", 1, 6), (None, "en", "v", 1, 0)}
     assert {tuple(x) for x in r.totals().collect()} == want
-    c = r.compact()
-    assert {tuple(x) for x in c.totals().collect()} == want and not c.commit("2", then)
-    assert c.commit("4", then.limit(1)) and {tuple(x) for x in c.totals().collect()} == {("a", None, "v", 1, 7), (None, "en", "v", 1, 0)}
+    r.compact()
+    assert {tuple(x) for x in r.totals().collect()} == want and not r.commit("2", then)
+    assert r.commit("4/~ 4", then.limit(1)) and not r.commit("4/~ 4", then) and {tuple(x) for x in r.totals().collect()} == {("a", None, "v", 1, 7), (None, "en", "v", 1, 0)}
+    r.compact()
+    assert {tuple(x) for x in r.totals().collect()} == {("a", None, "v", 1, 7), (None, "en", "v", 1, 0)}
 
 
 def test_a_failed_attempt_leaves_nothing(spark, tmp_path):
@@ -49,3 +51,49 @@ def test_a_failed_attempt_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="unknown change"):
         r.commit("1", spark.createDataFrame([("odd", "a", "b", "v", 1, 1)], DDL))
     assert not r.committed("1") and r.totals().count() == 0
+
+
+class Crash(Exception):
+    pass
+
+
+def crash(*a, **k):
+    raise Crash
+
+
+def test_a_crash_between_any_two_steps_loses_and_doubles_nothing(spark, tmp_path, monkeypatch):
+    import pytest
+
+    r = Rollup(spark, str(tmp_path / "r"))
+    first = spark.createDataFrame([("insert", "a", "en", "v", None, 5)], DDL)
+    then = spark.createDataFrame([("insert", "b", "en", "v", None, 3)], DDL)
+    one, both = {("a", "en", "v", 1, 5)}, {("a", "en", "v", 1, 5), ("b", "en", "v", 1, 3)}
+    totals = lambda: {tuple(x) for x in r.totals().collect()}
+    with monkeypatch.context() as m:  # the sums are written, the commit isn't
+        m.setattr(Rollup, "_mark", crash)
+        with pytest.raises(Crash):
+            r.commit("1", first)
+    assert not r.committed("1") and totals() == set()
+    assert r.commit("1", first) and totals() == one
+    with monkeypatch.context() as m:  # the same of a compaction
+        m.setattr(Rollup, "_mark", crash)
+        with pytest.raises(Crash):
+            r.compact()
+    assert totals() == one
+    mark = Rollup._mark
+    with monkeypatch.context() as m:  # a batch arrives between what a compaction reads and what it commits
+
+        def late(self, kind, name):
+            m.setattr(Rollup, "_mark", mark)
+            assert r.commit("2", then)
+            mark(self, kind, name)
+
+        m.setattr(Rollup, "_mark", late)
+        r.compact()
+    assert totals() == both
+    with monkeypatch.context() as m:  # two writers pass the first look, and both come through
+        m.setattr(Rollup, "committed", lambda *a: False)
+        assert r.commit("2", then) and r.commit("3", then) and r.commit("3", then)
+    assert totals() == {("a", "en", "v", 1, 5), ("b", "en", "v", 2, 6)}
+    r.compact()
+    assert totals() == {("a", "en", "v", 1, 5), ("b", "en", "v", 2, 6)}
