@@ -84,7 +84,7 @@ def test_verify_wants_similarity():
 
 def test_runs_are_told_apart_by_their_words():
     words = [str(k % 7) for k in range(60)]
-    runs, at = P.Runs(" ".join(words)), np.arange(40)
+    runs, at = P.Runs(P._words(" ".join(words))), np.arange(40)
     for size in (1, 9, 16):
         got = runs(at, size).tolist()
         want = [tuple(words[k : k + size + 4]) for k in at]
@@ -133,21 +133,124 @@ def test_verify_like_brute_force_on_short_near_duplicates():
             other = list(words)
             for k in rng.sample(range(n), edits):
                 other[k] = "edited"
-            (a,), (b,) = P.grams(" ".join(words), P.SHINGLE), P.grams(" ".join(other), P.SHINGLE)
-            for i in np.flatnonzero(a == b)[::9].tolist():
+            a, b = P.shingles(" ".join(words)), P.shingles(" ".join(other))
+            seeds = np.flatnonzero(a == b)[::9].tolist()
+            around = [near(a, b, i, i) for i in seeds]
+            for i, here in zip(seeds, around, strict=True):  # all passages on the chain of runs through i, so also those beside it
                 got = P.verify(a, b, [(i, i)])
-                assert bool(got) == near(a, b, i, i), (n, edits, i)
+                assert any(around) or not got, (n, edits, i)
+                assert any(p <= i <= q for p, q, _, _ in got) or not here, (n, edits, i)
+                assert all(min(q - p, v - u) + 1 >= P.LEAST and P._similar(a[p : q + 1], b[u : v + 1], P.SIMILARITY) for p, q, u, v in got)
                 found += bool(got)
     assert found > 50
 
 
 def test_verify_crosses_an_edit_between_two_short_runs():
     words = [f"w{i}" for i in range(60)]
-    (a,), (b,) = P.grams(" ".join(words), P.SHINGLE), P.grams(" ".join(words[:29] + ["x"] + words[30:]), P.SHINGLE)
+    a, b = P.shingles(" ".join(words)), P.shingles(" ".join(words[:29] + ["x"] + words[30:]))
     assert P.verify(a, b, [(10, 10)]) == P.verify(a, b, [(40, 40)]) == [(0, 55, 0, 55)]
-    (b,) = P.grams(" ".join(words[:30] + ["put", "in"] + words[30:]), P.SHINGLE)
+    b = P.shingles(" ".join(words[:30] + ["put", "in"] + words[30:]))
     assert P.verify(a, b, [(10, 10)]) == [(0, 55, 0, 57)]
 
 
+def test_both_ways_to_follow_runs_agree():
+    rng = random.Random(3)
+    for _ in range(60):
+        words = [str(rng.random()) for _ in range(rng.randint(60, 300))]
+        other = list(words)
+        for _ in range(rng.randint(0, 9)):
+            at, n = rng.randrange(len(other)), rng.randint(0, 12)
+            other[at : at + n] = [str(rng.random()) for _ in range(rng.randint(0, 12))]
+        if rng.random() < 0.3:  # a block that moves
+            other = other[40:] + other[:40]
+        a, b = P._Text(P.shingles(" ".join(words))), P._Text(P.shingles(" ".join(other)))
+        assert a.once and b.once
+        quick, slow = P._Alike(a, b), P._Repeating(a, b)
+        for i, j in list(zip(quick.in_a.tolist(), quick.in_b.tolist(), strict=True))[::7]:
+            for most in (4.0, 15.0, 60.0):
+                assert quick.chain(i, j, most).tolist() == slow.chain(i, j, most).tolist()
+
+
+def repeated(word, n):
+    return [word] * n
+
+
+def test_a_run_of_one_word_makes_one_window():
+    s = P.shingles(" ".join(repeated("the", 500) + [str(k) for k in range(60)] + repeated("of", 300)))
+    assert len(P.windows(s)) < 40
+
+
+def test_passages_of_repeated_words_are_found(spark):
+    rng = random.Random(17)
+    text = lambda n: [str(rng.random()) for _ in range(n)]
+    rows, k = [], 1000
+    for _ in range(12):
+        tail = text(40)
+        w = text(1)[0]
+        cases = [(repeated(w, 80), repeated(w, 55)), (repeated(w, 100) + tail, repeated(w, 12) + tail), (tail + repeated(w, 90), tail + repeated(w, 11)), (repeated(w, 30) + tail, repeated(w, 200) + tail)]
+        for k, (x, y) in enumerate(cases, k):
+            v = f"{k}"
+            rows += [(2 * k, " ".join(text(20) + [v if q == w else q + v for q in x] + text(20))), (2 * k + 1, " ".join(text(9) + [v if q == w else q + v for q in y] + text(30)))]
+        k += 1
+    got = {r["doc_id"]: r["class_id"] for r in P.classes(odd.documents(spark, rows)).collect()}
+    assert all(got[i] == i - i % 2 for i, _ in rows)
+
+
+def shingled(words):
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_recall_of_near_duplicates(spark):
+    """Planted passages of 50 to 400 words with words replaced, put in or left out at all places, from 0.8 on."""
+    rng = random.Random(23)
+    text = lambda n: [str(rng.random())[2:9] for _ in range(n)]
+    rows, kinds = [], {}
+    while len(kinds) < 600:
+        words = text(rng.choice((50, 55, 60, 80, 110, 160, 200, 300, 400)))
+        other, kind = list(words), rng.choice(("replaced", "put in", "left out"))
+        edits = sorted(rng.sample(range(len(words)), rng.randint(1, 8)), reverse=True)
+        if rng.random() < 0.3:  # evenly spread edits leave the shortest runs
+            edits = [round(len(words) * (m + 1) / (len(edits) + 1)) for m in range(len(edits))][::-1]
+        for at in edits:
+            other[at : at + (kind != "put in")] = [] if kind == "left out" else text(1)
+        x, y = shingled(words), shingled(other)
+        if min(len(words), len(other)) < 50 or len(x & y) < 0.8 * len(x | y):
+            continue
+        k = 1000 + 2 * len(kinds)
+        kinds[k] = (kind, len(words), len(edits))
+        around = (0, 0, 0, 0) if rng.random() < 0.3 else [rng.randint(0, 60) for _ in range(4)]
+        rows += [(k, " ".join(text(around[0]) + words + text(around[1]))), (k + 1, " ".join(text(around[2]) + other + text(around[3])))]
+    got = {r["doc_id"]: r["class_id"] for r in P.classes(odd.documents(spark, rows)).collect()}
+    lost = [v for k, v in kinds.items() if got[k + 1] != k]
+    assert len(lost) <= 0.03 * len(kinds), lost
+    assert all(got[k] == k for k in kinds)
+
+
+def test_exact_repeats_around_a_common_template(spark):
+    rng = random.Random(31)
+    text = lambda n: [str(rng.random())[2:9] for _ in range(n)]
+    template, rows = text(45), []
+    for k in range(1000, 1300, 2):
+        head, tail = text(rng.randint(5, 6)), text(rng.randint(5, 6))
+        rows += [(k + m, " ".join(text(20 * m) + head + template + tail + text(20 * m))) for m in range(2)]
+    got = {r["doc_id"]: r["class_id"] for r in P.classes(odd.documents(spark, rows)).collect()}
+    assert sum(got[k + 1] == got[k] for k in range(1000, 1300, 2)) == 150
+
+
+def test_texts_with_one_hash_are_told_apart(spark, monkeypatch):
+    docs = odd.documents(spark, planted())
+    want = sorted(map(tuple, P.classes(docs).select("doc_id", "class_id").collect()), key=repr)
+    real, calls = P.F.xxhash64, []
+
+    def narrow(*c):
+        if len(c) == 1 and isinstance(c[0], str):
+            calls.append(c)
+            return real(*c) % 7
+        return real(*c)
+
+    monkeypatch.setattr(P.F, "xxhash64", narrow)
+    assert sorted(map(tuple, P.classes(docs).select("doc_id", "class_id").collect()), key=repr) == want and calls
+
+
 def test_empty(spark):
     assert P.classes(odd.empty(spark)).count() == 0
