@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from zlib import crc32
+from functools import lru_cache
+from hashlib import md5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -64,13 +65,18 @@ def embedder(encode: Callable[[list[str]], list[list[float]]], batch: int = 64):
     return vectors
 
 
+@lru_cache(maxsize=1 << 16)
+def _bucket(term: str, size: int) -> int:
+    return int.from_bytes(md5(term.encode("utf-8", "replace"), usedforsecurity=False).digest()[:2], "big") % size
+
+
 def hashed_terms(texts: list[str], size: int = 64) -> list[list[float]]:
     """Vectors of unit length that count a text's terms by their hash: an encoder that needs no model."""
     out = []
     for text in texts:
         v = [0.0] * size
         for term in re.findall(r"[^\W_]+", text.lower()):
-            v[crc32(term.encode()) % size] += 1.0
+            v[_bucket(term, size)] += 1.0
         length = sum(x * x for x in v) ** 0.5
         out.append([x / length for x in v] if length else v)
     return out

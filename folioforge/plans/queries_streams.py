@@ -67,7 +67,15 @@ def batched_updates(spark, d):
     return dml.in_batches(rows, lambda df: df.withColumn("name", F.upper("name")), fresh(spark, "batched"), size=max(100, rows.count() // 8))
 
 
-@register("embed_texts")
+@register(
+    "embed_texts",
+    q(
+        "t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents)",
+        "b AS (SELECT id, CAST(('0x' || substr(md5(term), 1, 4)) AS INTEGER) % 64 AS place, CAST(count(*) AS DOUBLE) AS n FROM t GROUP BY ALL)",
+        select="SELECT id, CAST(place AS INTEGER) AS place, round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS FLOAT) AS DOUBLE), 4) AS weight FROM b",
+    ),
+)
 def embed_texts(spark, d):
-    """Q24 with the encoder that needs no model; tests hold it against plain Python."""
-    return S.chunks(spark, d).select("id", V.embedder(V.hashed_terms)("text").alias("vec"))
+    """Q24 with the encoder that needs no model."""
+    vectors = S.chunks(spark, d).select("id", V.embedder(V.hashed_terms)("text").alias("vec"))
+    return vectors.select("id", F.posexplode("vec").alias("place", "x")).filter("x <> 0").select("id", "place", F.round(F.col("x").cast("double"), 4).alias("weight"))

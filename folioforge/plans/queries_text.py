@@ -12,10 +12,9 @@ from folioforge.plans.registry import register
 from folioforge.sources import files
 from folioforge.sources import tables as S
 
-#: Lines that the queries without a table run over, in Spark and in SQL alike.
+#: Lines that queries put before or around the titles of papers, in Spark and in SQL alike.
 TITLES = ("Abstract", "Chapter I Introduction", "CHAPTER II", "Review of Related Studies", "chapter iii: Method", "Chapter IV", "Chapter V", "Chapter VI", "List of Figures", "Chapter I Table 3", "Appendix A", " chapter  i ")
-CITES = ("Doe, J. (2019). A study of rivers. Journal, 3.", "Roe. An unusually long title of a paper. 2003", "Short. (1999) x", "No period here", "Smith (2020).   Spaces kept. Rest.")
-REFS = ((1, 1, "Body"), (1, 2, "References"), (1, 3, "Doe, J. (2019). A study of"), (1, 4, "rivers. Journal."), (1, 5, ""), (1, 6, "Roe, K. (2001). Lakes."), (1, 7, "Glossary"), (1, 8, "Water"), (2, 1, "BIBLIOGRAPHY"), (2, 2, "Poe (1845). Raven."), (2, 3, "1. Numbered"))
+CITES = ("Doe, J. (2019). A study of rivers title of. Journal, 3.", "Roe. An unusually long title of a paper. 2003", "Short. (1999) x title of", "No period title of here", "Smith (2020).   Spaces title of kept. Rest.")
 NAMES = ("College of Engineering", " college of ARTS and sciences ", "bachelor of science in nursing", "Unknown", "College of Computer Studies")
 
 
@@ -24,6 +23,16 @@ def values(rows) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(quote(x) for x in (r if isinstance(r, tuple) else (r,))) + ")" for r in rows) + ")"
 
 
+def listed(rows) -> str:
+    """A list of strings in SQL."""
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in rows) + "]"
+
+
+def one_of(rows, key: str = "id"):
+    """One of some strings for each row, by its number."""
+    return F.array(*(F.lit(x) for x in rows))[(F.col(key) % len(rows)).cast("int")]
+
+
 def frame(spark, rows, ddl: str):
     return spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in rows], ddl)
 
@@ -163,29 +172,42 @@ def page_attribution(spark, d):
     return pages.page_of_chunks(p, chunks).select("doc", "chunk_id", "page", F.md5("text").alias("text_md5"))
 
 
-@register("section_classify", f"SELECT title, (contains(lower(title), 'abstract') OR starts_with(lower(title), 'chapter i') OR starts_with(lower(title), 'chapter v')) AND NOT regexp_matches(lower(title), 'figure|table|appendix|bibliography|references') AS valid, CASE WHEN contains(lower(title), 'abstract') THEN 'abstract' WHEN regexp_matches(trim(lower(title)), '^chapter\\s*i\\b') THEN 'introduction' WHEN regexp_matches(trim(lower(title)), '^chapter\\s*ii\\b') OR contains(lower(title), 'review of related') OR contains(lower(title), 'related studies') THEN 'rrl' WHEN regexp_matches(trim(lower(title)), '^chapter\\s*iii\\b') THEN 'methodology' WHEN regexp_matches(trim(lower(title)), '^chapter\\s*iv\\b') THEN 'results' WHEN regexp_matches(trim(lower(title)), '^chapter\\s*v\\b') THEN 'conclusion' ELSE 'other' END AS kind FROM {values(TITLES)} v(title)")
+@register("section_classify", f"WITH v AS (SELECT p_partkey AS id, {listed(TITLES)}[p_partkey % {len(TITLES)} + 1] || ' ' || p_name AS title FROM part) SELECT id, title, (contains(lower(title), 'abstract') OR starts_with(lower(title), 'chapter i') OR starts_with(lower(title), 'chapter v')) AND NOT regexp_matches(lower(title), 'figure|table|appendix|bibliography|references') AS valid, CASE WHEN contains(lower(title), 'abstract') THEN 'abstract' WHEN regexp_matches(trim(lower(title)), '^chapter\\s*i\\b') THEN 'introduction' WHEN regexp_matches(trim(lower(title)), '^chapter\\s*ii\\b') OR contains(lower(title), 'review of related') OR contains(lower(title), 'related studies') THEN 'rrl' WHEN regexp_matches(trim(lower(title)), '^chapter\\s*iii\\b') THEN 'methodology' WHEN regexp_matches(trim(lower(title)), '^chapter\\s*iv\\b') THEN 'results' WHEN regexp_matches(trim(lower(title)), '^chapter\\s*v\\b') THEN 'conclusion' ELSE 'other' END AS kind FROM v")
 def section_classify(spark, d):
-    """X6, X7, trap 12."""
-    return frame(spark, TITLES, "title string").select("title", T.section_valid("title").alias("valid"), T.section_class("title").alias("kind"))
+    """X6, X7, trap 12: a heading of each kind before the title of each paper."""
+    p = S.papers(spark, d).select("id", F.concat(one_of(TITLES), F.lit(" "), "title").alias("title"))
+    return p.select("id", "title", T.section_valid("title").alias("valid"), T.section_class("title").alias("kind"))
 
 
-@register("citation_title_parse", f"SELECT cite, CASE WHEN regexp_matches(cite, '\\(\\d{{4}}\\)\\.\\s*(.+?)\\.\\s*') THEN trim(regexp_extract(cite, '\\(\\d{{4}}\\)\\.\\s*(.+?)\\.\\s*', 1)) ELSE coalesce(trim(list_filter(string_split(cite, '.'), lambda p: len(list_filter(string_split(p, ' '), lambda w: w <> '')) > 3 AND NOT contains(p, '('))[1]), trim(left(cite, 100))) END AS title FROM {values(CITES)} v(cite)")
+@register("citation_title_parse", f"WITH v AS (SELECT p_partkey AS id, replace({listed(CITES)}[p_partkey % {len(CITES)} + 1], 'title of', p_name) AS cite FROM part) SELECT id, cite, CASE WHEN regexp_matches(cite, '\\(\\d{{4}}\\)\\.\\s*(.+?)\\.\\s*') THEN trim(regexp_extract(cite, '\\(\\d{{4}}\\)\\.\\s*(.+?)\\.\\s*', 1)) ELSE coalesce(trim(list_filter(string_split(cite, '.'), lambda p: len(list_filter(string_split(p, ' '), lambda w: w <> '')) > 3 AND NOT contains(p, '('))[1]), trim(left(cite, 100))) END AS title FROM v")
 def citation_title_parse(spark, d):
-    """X11."""
-    return frame(spark, CITES, "cite string").select("cite", T.citation_title("cite").alias("title"))
+    """X11: a reference of each kind for each paper."""
+    p = S.papers(spark, d).select("id", F.replace(one_of(CITES), F.lit("title of"), F.col("title")).alias("cite"))
+    return p.select("id", "cite", T.citation_title("cite").alias("title"))
 
 
-@register("reference_line_merge", "SELECT * FROM (VALUES (1, 0, 'Doe, J. (2019). A study of rivers. Journal.'), (1, 1, 'Roe, K. (2001). Lakes.'), (2, 0, 'Poe (1845). Raven.')) v(doc, entry, raw)")
+@register(
+    "reference_line_merge",
+    q(
+        PAPERS,
+        select="SELECT id AS doc, 0 AS entry, CASE WHEN id % 2 = 0 THEN 'Doe, J. (2019). A study of ' || title || '. Journal.' ELSE 'Poe (1845). ' || title || '.' END AS raw FROM p UNION ALL SELECT id, 1, 'Roe, K. (2001). ' || program || '.' FROM p WHERE id % 2 = 0",
+    ),
+)
 def reference_line_merge(spark, d):
-    """X9, X10, W7, traps 13."""
-    lines = frame(spark, [(doc, 1, pos, line) for doc, pos, line in REFS], "doc int, page int, pos int, line string")
+    """X9, X10, W7, traps 13: the references of each paper, on its last pages; wrapped, ended by a heading or a numbered line."""
+    p = S.papers(spark, d)
+    line = lambda page, pos, text: F.struct(F.lit(page).alias("page"), F.lit(pos).alias("pos"), text.alias("line"))
+    even = [F.lit("References"), F.lit("(1999) on an early page"), F.lit("Body"), F.lit(" References "), F.lit("Doe, J. (2019). A study of"), F.concat("title", F.lit(". Journal.")), F.lit(""), F.concat(F.lit("Roe, K. (2001). "), "program", F.lit(".")), F.lit("Glossary"), F.lit("Water")]
+    uneven = [F.lit("Front"), F.lit("x"), F.lit("Body"), F.lit("BIBLIOGRAPHY"), F.concat(F.lit("Poe (1845). "), "title", F.lit(".")), F.lit("1. Numbered"), F.lit("Late (2000).")]
+    pages_of = lambda texts: F.array(*(line(1 if i < 2 else 4 + i // 6, i, t) for i, t in enumerate(texts)))
+    lines = p.select(F.col("id").alias("doc"), F.explode(F.when(F.col("id") % 2 == 0, pages_of(even)).otherwise(pages_of(uneven))).alias("l")).select("doc", "l.*")
     return citations.merge_lines(citations.reference_lines(lines)).select("doc", F.col("entry").cast("int").alias("entry"), "raw")
 
 
-@register("metadata_normalize", f"SELECT name, CASE lower(trim(name)) WHEN 'college of engineering' THEN 'coe' WHEN 'college of arts and sciences' THEN 'cas' WHEN 'college of computer studies' THEN 'ccs' END AS college, CASE lower(trim(name)) WHEN 'bachelor of science in nursing' THEN 'bsn' END AS program FROM {values(NAMES)} v(name)")
+@register("metadata_normalize", f"WITH v AS (SELECT p_partkey AS id, {listed(NAMES)}[p_partkey % {len(NAMES)} + 1] AS name FROM part) SELECT id, name, CASE lower(trim(name)) WHEN 'college of engineering' THEN 'coe' WHEN 'college of arts and sciences' THEN 'cas' WHEN 'college of computer studies' THEN 'ccs' END AS college, CASE lower(trim(name)) WHEN 'bachelor of science in nursing' THEN 'bsn' END AS program FROM v")
 def metadata_normalize(spark, d):
     """J16."""
-    return frame(spark, NAMES, "name string").select("name", T.code_of("name", T.COLLEGE_CODES).alias("college"), T.code_of("name", T.PROGRAM_CODES).alias("program"))
+    return S.papers(spark, d).select("id", one_of(NAMES).alias("name")).select("id", "name", T.code_of("name", T.COLLEGE_CODES).alias("college"), T.code_of("name", T.PROGRAM_CODES).alias("program"))
 
 
 @register("year_extract_all", "SELECT event_id, array_to_string(regexp_extract_all('from 1999 to ' || strftime(ts, '%Y') || ', not 20245', '\\b(20\\d{2})\\b', 1), ',') AS years FROM events")

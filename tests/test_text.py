@@ -38,7 +38,7 @@ def cases():
         (T.description("t"), "a\nProject Description: one\n two \nChapter 1\nx", "one two"),
         (T.code_of("t", T.COLLEGE_CODES), " College of NURSING ", "con"),
         (T.citation_title("t"), "No period here", "No period here"),
-        (T.local_doi(F.lit(None), F.lit(2020), F.lit("bscs"), F.lit(123456)), "", "plp/None.2020.bscs.123456"),
+        (T.local_doi("repo", F.lit(None), F.lit(2020), F.lit("bscs"), F.lit(123456)), "", "repo/None.2020.bscs.123456"),
         (T.author_list("t"), "A\n\n B ", ["A", "B"]),
         (T.clean_tags("t"), "The neural  nets and deep models", ["neural nets", "deep models"]),
         (T.clean_tags("t"), "paper", []),
