@@ -8,10 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import cut, workers
+from folioforge.llm.common import cut, release, workers
 
 #: Edges that a partition reduces to a forest at once.
 BLOCK = 500_000
+#: Parts that a node's neighbours are dealt to.
+SALTS = 64
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         star = _star(now.union(now.select("b", "a")), "a < b")
         star = _star(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "true")
-        now = cut(star.distinct(), "edges")
+        before, now = now, cut(star.distinct(), "edges")
+        release(before)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
@@ -35,9 +38,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _star(pairs: DataFrame, those: str) -> DataFrame:
-    """Edges from each neighbour b of a to the least of a and its neighbours; a's own edge in a small star."""
-    least = pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
-    moved = pairs.filter(those).join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    """Edges from each neighbour b of a to the least of a and its neighbours; a's own edge in a small star.
+
+    A node may have most others as its neighbours, so they are dealt by a salt: the least of each (a, salt) makes the
+    least of a, and that goes back to each (a, salt).
+    """
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    parts = pairs.groupBy("a", "salt").agg(F.min("b").alias("part"))
+    least = parts.groupBy("a").agg(F.min("part").alias("least")).select("a", F.least("a", "least").alias("least"))
+    moved = pairs.filter(those).join(parts.join(least, "a").drop("part"), ["a", "salt"]).select(F.col("b").alias("a"), F.col("least").alias("b"))
     if those == "true":
         moved = moved.union(least.select("a", F.col("least").alias("b")))
     return moved.filter("a <> b")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import cut, workers
+from folioforge.llm.common import cut, release, whole_row, workers
 from folioforge.llm.components import components
 
 SEED, SHINGLE, BITS = 42, 3, 64
@@ -159,23 +159,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bu
     return found.select(key, "fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without near-copies: of each component, the one with the smallest key stays.
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = 2) -> DataFrame:
+    """The documents without near-copies: of each component, the row with the smallest key stays, null ones last.
 
-    Of repeated rows with this key one stays; of components that have no key at all, one document of each.
+    Of several rows with that key the one stays whose text has the least hash; of rows with equal key and text any one,
+    so one row of each component stays, whatever its key. The rows are written once with a number beside them, and
+    shuffled once, by that number.
     """
-    found = cut(near_duplicates(docs, key, text), "simhash-components")
-    first = found.filter(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("rows"))
-    first = cut(first, "simhash-first")
-    kept = docs.join(first.filter("rows = 1").select(key), key, "left_semi")
-    if not first.filter("rows > 1").isEmpty():
-        kept = kept.unionByName(docs.join(first.filter("rows > 1").select(key), key, "left_semi").dropDuplicates([key]))
-    nameless = found.filter(F.col(key).isNull() & F.col("component_id").isNull())
-    if not nameless.isEmpty():
-        rows = docs.filter(F.col(key).isNull())
-        with_fp = rows.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("body"), F.lit(None).cast("long").alias("id"))
-        hashed = with_fp.withColumn("md5", F.md5(F.coalesce("body", F.lit("")))).dropDuplicates(["md5"])
-        fps = fingerprints(hashed, "md5", "body")
-        roots = nameless.groupBy("fp").agg(F.min("root").alias("root"))
-        kept = kept.unionByName(hashed.join(fps, "md5").join(roots, "fp").dropDuplicates(["root"]).select("row.*"))
-    return kept.select(*docs.columns)
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("at"), whole_row(docs)), "simhash-rows")
+    body, order = F.col("row")[text], F.struct(F.col("row")[key].isNull().alias("nameless"), F.col("row")[key].alias("key"), F.xxhash64(F.col("row")[text]).alias("hash"), "at")
+    fps = cut(fingerprints(rows.select(order.alias("order"), body.alias("body")), "order", "body"), "simhash-fps")
+    nodes = cut(fps.groupBy("fp").agg(F.min("order").alias("least")), "simhash-nodes")
+    linked = cut(links(nodes, budget), "simhash-links")
+    roots = components(linked)
+    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = cut(named.groupBy("root").agg(F.min("least").alias("least")).select("least.at"), "simhash-first")
+    release(fps, nodes, linked)
+    return rows.join(first.hint("shuffle_hash"), "at", "left_semi").select("row.*")

@@ -86,6 +86,35 @@ def test_keep_one(spark):
     assert simhash.keep_one(odd.empty(spark)).count() == 0
 
 
+def test_keep_one_tells_rows_with_one_key_apart(spark):
+    rng = random.Random(8)
+    a, b, c, d, e, f, g = (" ".join(str(rng.random()) for _ in range(30)) for _ in range(7))
+    rows = [(3, a), (7, a), (7, b), (9, c), (9, d), (5, e), (5, e), (None, f), (None, f), (None, g), (4, g)]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, row int").repartition(3)
+    for again in (docs, docs.repartition(5)):
+        kept = simhash.keep_one(again)
+        assert kept.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(3, a), (7, b), (9, c), (9, d), (5, e), (None, f), (4, g)], key=repr)
+
+
+def test_texts_are_shuffled_alike_whatever_the_size(spark):
+    plans = []
+    for n in (5, 20_000):
+        docs = spark.range(n).selectExpr("id as doc_id", "concat('text ', id, ' of ', id * 7, ' words ', id * 31) as text")
+        plans.append(simhash.keep_one(docs)._jdf.queryExecution().optimizedPlan().toString())
+    assert all("strategy=shuffle_hash" in p for p in plans)
+
+
+def test_components_of_a_hub(spark):
+    rng = random.Random(6)
+    names = rng.sample(range(10**6), 4000)
+    hub, chain = names[0], names[3000:]
+    edges = [(hub, x) if rng.random() < 0.5 else (x, hub) for x in names[1:3000]] + list(zip(chain, chain[1:], strict=False))
+    rng.shuffle(edges)
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
+    assert got == {x: min(names[:3000]) for x in names[:3000]} | {x: min(chain) for x in chain}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(1, 60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(5, 5), (-3, 7), (None, 2)]
