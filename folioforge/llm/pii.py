@@ -3,14 +3,16 @@
 Base: e-mail addresses, IP addresses, card numbers and phone numbers, each kind leftmost and non-overlapping. A match
 that fails its check (parts over 255, Luhn, number of digits) is dropped and not tried again.
 
-Method: every base value is a protected entity c. Words near its mentions are terms t. Over the corpus of N documents,
-c's information content is IC(c) = -log2(n(c) / N), and what t tells of it PMI(c; t) = log2(N * n(c, t) / (n(c) * n(t))).
-n(c, t) counts distinct contexts, so that copies of a document are no evidence. A term that occurs with c in at least
-`support` contexts discloses it if PMI >= alpha * IC. If PMI reaches IC itself, t never occurs without c, and it is
-removed; below that it is generalised. Both hold for every occurrence in any document.
+Method: every base value is a protected entity c. Words near its mentions are terms t. Over the corpus of N distinct
+texts, n(c) have c, n(t) have t, and n(c, t) have t near a mention of c. c's information content is
+IC(c) = -log2(n(c) / N), and what t tells of it PMI(c; t) = log2(N * n(c, t) / (n(c) * n(t))). A term that occurs with c
+in `support` distinct contexts or more (near-copies of a text are no evidence) discloses it if PMI >= alpha * IC. If PMI
+reaches IC itself, t never occurs without c, and it is removed; below that it is generalised. Both hold for every
+occurrence in any document.
 
 A null text is the empty text and stays null when it is sanitised. Repeated rows get equal spans. An empty table gives
-an empty table. Extra columns are kept by `sanitise`, whatever their names.
+an empty table. Extra columns are kept by `sanitise`, whatever their names. Time grows with a text's length and its
+matches, not with their product: arrays are built in blocks and texts cut from chunks.
 
 The patterns are the plain ones written so that Java's engine takes linear time and no deep recursion: runs that
 nothing can follow are possessive, and a match starts at the beginning of a run or where the last match ended.
@@ -18,12 +20,13 @@ nothing can follow are possessive, and a match starts at the beginning of a run
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import cut, workers
+from folioforge.llm.common import cut, release, whole_row
 
 KINDS = ("email", "ip", "card", "phone")
 #: Pattern of each kind, and a cheap pattern that any text with a match fits.
@@ -38,22 +41,56 @@ LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"
 TERM, REACH = r"\p{L}{4,}", 120
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 NAMES = (*KINDS, "term", "removed")
+#: Items of an array that are folded at once, and code points of a text's chunks.
+BLOCK, CHUNK = 256, 256
+#: Parts that the copies of a text are dealt to where texts meet by digest.
+SALTS = 16
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(items: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The integers after each of the items, from 0 on by step(so far, item)."""
+
+    def inner(acc: Column, x: Column) -> Column:
+        return _let(step(acc["now"], x), lambda now: F.struct(now.alias("now"), F.concat(acc["out"], F.array(now)).alias("out")))
+
+    def outer(acc: Column, x: Column, whole: Column) -> Column:
+        zero = F.struct(acc["now"].alias("now"), F.expr("cast(array() as array<int>)").alias("out"))
+        done = F.aggregate(F.slice(whole, x * BLOCK + 1, F.lit(BLOCK)), zero, inner)
+        return _let(done, lambda d: F.struct(d["now"].alias("now"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    zero = F.struct(F.lit(0).alias("now"), F.expr("cast(array() as array<array<int>>)").alias("out"))
+    blocks = lambda whole: F.sequence(F.lit(0), F.floor(F.greatest(F.lit(0), F.size(whole) - 1) / BLOCK).cast("int"))
+    return _let(items, lambda whole: F.flatten(F.aggregate(blocks(whole), zero, lambda acc, x: outer(acc, x, whole), lambda acc: acc["out"])))
 
 
 def _spans(text: Column, pattern: Column, kind: Column) -> Column:
     """Every match of a pattern in text, as SPAN in code points."""
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
+    found = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        span = F.struct(start.alias("start"), kind.alias("kind"), (start + F.length(x["hit"])).alias("end"), x["hit"].alias("value"))
-        return F.struct(
-            (start + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span.cast(SPAN)))).alias("out"),
-        )
+    def placed(x: Column) -> Column:
+        ends = _running(F.arrays_zip(x["gaps"].alias("gap"), x["hits"].alias("hit")), lambda at, p: at + F.length(p["gap"]) + F.coalesce(F.length(p["hit"]), F.lit(0)))
+        return F.arrays_zip(x["hits"].alias("hit"), F.slice(ends, F.lit(1), F.size(x["hits"])).alias("end"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
-    return F.aggregate(parts, zero, step, lambda acc: acc["out"])
+    def span(p: Column) -> Column:
+        return F.struct((p["end"] - F.length(p["hit"])).alias("start"), kind.alias("kind"), p["end"].alias("end"), p["hit"].alias("value")).cast(SPAN)
+
+    return F.transform(_let(found, placed), span)
+
+
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _piece(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points start to end of the text with these chunks; what lies beyond its end is left out."""
+    first = F.floor(start / CHUNK).cast("int")
+    some = F.slice(chunks, first + 1, F.floor((end - 1) / CHUNK).cast("int") - first + 1)
+    return F.when(end > start, F.substring(F.array_join(some, ""), start % CHUNK + 1, end - start)).otherwise("")
 
 
 def _digits(value: Column) -> Column:
@@ -107,32 +144,55 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _salt() -> Column:
+    return F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    """rows once for each salt, for joins with texts, whose copies are dealt to salts; always by one shuffle of these."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("shuffle_hash")
+
+
+def _term_spans(body: Column) -> Column:
+    """Spans of the terms that columns `part` and `full` have patterns of; null patterns match nothing."""
+    spans = (F.when(F.col(c).isNotNull(), _spans(body, F.col(c), F.lit(len(KINDS) + k))) for k, c in enumerate(("part", "full")))
+    return F.concat(*(F.coalesce(x, F.expr(f"cast(array() as array<{SPAN}>)")) for x in spans))
+
+
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = 0.9, support: int = 3) -> DataFrame:
     """Per document (key, base, spans): its base spans, and all spans with those of disclosing terms."""
-    found, terms = _corpus(docs, key, text, alpha, support)
-    if terms is None:
-        return found.select(key, "base", F.col("base").alias("spans"))
-    both = found.join(terms, "digest", "left")
-    return both.select(key, "base", F.array_sort(F.concat("base", F.coalesce("added", F.expr(f"cast(array() as array<{SPAN}>)")))).alias("spans"))
+    found, marks = _corpus(docs, key, text, alpha, support)
+    if marks is None:
+        return found.select(F.col("key").alias(key), "base", F.col("base").alias("spans"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    texts = docs.select(F.md5(body).alias("digest"), body.alias("body"), _salt()).join(_salted(marks), ["digest", "salt"])
+    added = cut(texts.select("digest", _term_spans(F.col("body")).alias("added")).groupBy("digest").agg(F.first("added").alias("added")), "pii-added")
+    both = found.join(_salted(added), ["digest", "salt"], "left")
+    return both.select(F.col("key").alias(key), "base", F.array_sort(F.concat("base", F.coalesce("added", F.expr(f"cast(array() as array<{SPAN}>)")))).alias("spans"))
 
 
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = 0.9, support: int = 3) -> DataFrame:
-    """docs with each span of `text` replaced by its kind's label; disclosing terms are generalised or removed."""
-    _, terms = _corpus(docs, key, text, alpha, support)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    spans = base_spans(F.col("row")[text])
-    if terms is not None:
-        rows = rows.withColumn("digest", F.md5(F.coalesce(F.col("row")[text], F.lit("")))).join(terms, "digest", "left")
-        spans = F.array_sort(F.concat(spans, F.coalesce("added", F.expr(f"cast(array() as array<{SPAN}>)"))))
-    body, labels = F.col("row")[text], F.array(*(F.lit(LABELS[x]) for x in NAMES))
-
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(body, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], kept, labels[s["kind"]])).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(F.col("spans"), zero, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
+    """docs with each span of `text` replaced by its kind's label; disclosing terms are generalised or removed.
+
+    Of spans that overlap, the first one's label stands for all.
+    """
+    found, marks = _corpus(docs, key, text, alpha, support)
+    release(found)
+    body = F.col("row")[text]
+    rows = docs.select(whole_row(docs), _salt())
+    spans = base_spans(body)
+    if marks is not None:
+        rows = rows.withColumn("digest", F.md5(F.coalesce(body, F.lit("")))).join(_salted(marks), ["digest", "salt"], "left")
+        spans = F.array_sort(F.concat(spans, _term_spans(F.coalesce(body, F.lit("")))))
+    labels = F.array(*(F.lit(LABELS[x]) for x in NAMES))
+
+    def joined(x: Column) -> Column:
+        before = F.arrays_zip(x["spans"].alias("s"), F.concat(F.array(F.lit(0)), F.slice(x["ends"], F.lit(1), F.size("spans") - 1)).alias("at"))
+        parts = F.transform(F.filter(before, lambda p: p["s"]["start"] >= p["at"]), lambda p: F.concat(_piece(x["chunks"], p["at"], p["s"]["start"]), labels[p["s"]["kind"]]))
+        return F.concat(F.array_join(parts, ""), _piece(x["chunks"], F.element_at(x["ends"], -1), F.length(body)))
+
+    ends = _running(F.col("spans"), lambda at, s: F.greatest(at, s["end"]))
+    clean = _let(F.struct(F.col("spans").alias("spans"), ends.alias("ends"), _chunks(body).alias("chunks")), joined)
     rows = rows.withColumn("spans", spans).withColumn("clean", F.when(F.size("spans") == 0, body).otherwise(clean))
     return rows.select(*(F.col("clean").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
 
@@ -145,46 +205,61 @@ def _content(total: int) -> Column:
     return -F.log2(F.col("n_c") / F.lit(float(total)))
 
 
+def _terms(column: str | Column) -> Column:
+    return F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(TERM), F.lit(0)))).alias("term")
+
+
+def _entity(span: Column) -> Column:
+    value = F.when(span["kind"] == 0, F.lower(span["value"])).when(span["kind"] == 1, span["value"]).otherwise(_digits(span["value"]))
+    return F.concat_ws(":", span["kind"].cast("string"), value)
+
+
+def _context(chunks: Column, span: Column) -> Column:
+    """What stands within REACH before and after a span; a word that REACH may have cut is left out."""
+    before = _piece(chunks, F.greatest(F.lit(0), span["start"] - REACH), span["start"])
+    after = _piece(chunks, span["end"], span["end"] + REACH)
+    before = F.when(span["start"] > REACH, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
+    after = F.when(F.length(after) == REACH, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
+    return F.lower(F.concat_ws("\n", before, after))
+
+
 def _corpus(docs: DataFrame, key: str, text: str, alpha: float, support: int) -> tuple[DataFrame, DataFrame | None]:
-    """Documents with their base spans, and by text digest the spans of disclosing terms (None if there are none)."""
-    workers(docs.sparkSession)
+    """(key, digest, salt, base) of all documents; and (digest, part, full), patterns of the disclosing terms of each
+    text that has some, those to generalise and those to remove (None if there are none)."""
     body = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(key), F.md5(body).alias("digest"), body.alias("body"), base_spans(body).alias("base"))
-    around = F.transform(
-        "base",
-        lambda s: F.struct(
-            F.concat_ws(":", s["kind"].cast("string"), F.when(s["kind"] == 0, F.lower(s["value"])).when(s["kind"] == 1, s["value"]).otherwise(_digits(s["value"]))).alias("entity"),
-            F.lower(F.concat_ws("\n", F.substring(F.col("body"), F.greatest(F.lit(1), s["start"] + 1 - REACH), F.least(s["start"], F.lit(REACH))), F.substring(F.col("body"), s["end"] + 1, F.lit(REACH)))).alias("context"),
-        ),
-    )
+    base = docs.select(F.col(key).alias("key"), F.md5(body).alias("digest"), _salt(), body.alias("body"), base_spans(body).alias("base"))
+    around = _let(_chunks(F.col("body")), lambda c: F.transform("base", lambda s: F.struct(_entity(s).alias("entity"), _context(c, s).alias("context"))))
     found = cut(base.withColumn("around", F.when(F.size("base") > 0, around)).drop("body"), "pii-spans")
 
-    total = found.count()
+    total = found.select("digest").distinct().count()
     mentions = found.filter("around is not null").select("digest", F.explode("around").alias("m")).select("digest", "m.entity", "m.context")
-    entities = mentions.groupBy("entity", "digest").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("n_c"))
-    nearby = F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)))).alias("term")
-    pairs = mentions.groupBy("entity", "context").agg(F.count("*").alias("n")).select("entity", nearby)
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_ct")).filter(F.col("n_ct") >= support)
+    mentions = cut(mentions.distinct(), "pii-mentions")
+    found = found.drop("around")
+    entities = mentions.select("entity", "digest").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
+    pairs = mentions.select("entity", "context").distinct().select("entity", _terms("context")).groupBy("entity", "term").agg(F.count("*").alias("contexts"))
+    pairs = cut(pairs.filter(F.col("contexts") >= support).select("entity", "term"), "pii-pairs")
+    nearby = mentions.select("digest", "entity", _terms("context"))
+    both = nearby.join(pairs, ["entity", "term"], "left_semi").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
     # the texts with t near any entity are some of the texts with t, so this bounds the PMI from above
-    at_least = mentions.select("digest", nearby).groupBy("term", "digest").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("n_t"))
-    pairs = pairs.join(entities, "entity").join(at_least, "term").filter(_pmi(total) >= alpha * _content(total)).drop("n_t")
+    at_least = nearby.select("term", "digest").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    pairs = both.join(entities, "entity").join(at_least, "term").filter(_pmi(total) >= alpha * _content(total)).drop("n_t")
     pairs = cut(pairs, "pii-pairs")
     if pairs.isEmpty():
         return found, None
 
     # every text once; its terms that are candidates, and in how many texts each occurs
-    candidates = pairs.select("term").distinct()
-    words = docs.select(F.md5(body).alias("digest"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(TERM), F.lit(0)))).alias("term"))
-    uses = cut(words.join(candidates, "term", "left_semi").groupBy("term", "digest").agg(F.lit(1).alias("one")).drop("one"), "pii-uses")
+    words = docs.select(F.md5(body).alias("digest"), _terms(F.lower(body)))
+    uses = cut(words.join(pairs.select("term").distinct(), "term", "left_semi").distinct(), "pii-uses")
     freq = uses.groupBy("term").agg(F.count("*").alias("n_t"))
     strength = pairs.join(freq, "term").select("term", _pmi(total).alias("pmi"), _content(total).alias("ic"))
-    telling = strength.filter((F.col("pmi") >= alpha * F.col("ic")) & (F.col("ic") > 0))
+    telling = strength.filter((F.col("pmi") >= alpha * F.col("ic") - 1e-9) & (F.col("ic") > 0))
     telling = cut(telling.groupBy("term").agg(F.max(F.col("pmi") >= F.col("ic") - 1e-9).alias("full")), "pii-terms")
     if telling.isEmpty():
         return found, None
 
-    quoted = F.concat(F.lit("(?iu)(?<!\\p{L})(?:"), F.array_join(F.array_sort(F.collect_set("term")), "|"), F.lit(")(?!\\p{L})"))
-    marks = uses.join(telling, "term").groupBy("digest", "full").agg(quoted.alias("pattern"))
-    texts = docs.select(F.md5(body).alias("digest"), body.alias("body")).join(marks.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
-    spans = texts.join(marks, "digest").select("digest", _spans(F.col("body"), F.col("pattern"), F.when(F.col("full"), len(KINDS) + 1).otherwise(len(KINDS))).alias("added"))
-    return found, cut(spans.groupBy("digest").agg(F.flatten(F.collect_list("added")).alias("added")), "pii-added")
+    any_of = lambda those: F.array_sort(F.collect_set(F.when(those, F.col("term"))))
+    marks = uses.join(telling, "term").groupBy("digest").agg(any_of(~F.col("full")).alias("part"), any_of(F.col("full")).alias("full"))
+    quoted = lambda c: F.when(F.size(c) > 0, F.concat(F.lit("(?iu)(?<!\\p{L})(?:"), F.array_join(c, "|"), F.lit(")(?!\\p{L})"))).alias(c)
+    marks = cut(marks.select("digest", quoted("part"), quoted("full")), "pii-marks")
+    release(mentions, uses, pairs)
+    return found, marks

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import odd
 from conftest import SF
 
@@ -71,8 +72,87 @@ def test_disclosing_terms(spark):
     assert not any(found[i] for i in range(60))
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
     assert all("[EMAIL]" in clean[i] and "ephyrine" not in clean[i] for i in range(100, 104)) and "[TERM]" in clean[200]
-    before = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert all(clean[i] == before[i] for i in range(60))
+    low = lambda d: sorted((r["doc_id"], str(r["text"])) for r in d.filter("doc_id < 60").collect())
+    assert low(pii.sanitise(docs)) == low(docs)
+
+
+def brute_terms(rows, alpha=0.9, support=3):
+    """term -> removed or generalised, by counts over distinct texts."""
+    texts = {t or "" for t in rows}
+    near, contexts, having = {}, {}, {}
+    word = re.compile(r"[^\W\d_]{4,}")
+    for t in texts:
+        for s, k, e in base(t):
+            v = t[s:e].lower() if k == 0 else t[s:e] if k == 1 else re.sub("[^0-9]", "", t[s:e])
+            before, after = t[max(0, s - pii.REACH) : s], t[e : e + pii.REACH]
+            before = re.sub(r"^[^\W\d_]+", "", before) if s > pii.REACH else before
+            after = re.sub(r"[^\W\d_]+$", "", after) if len(after) == pii.REACH else after
+            having.setdefault((k, v), set()).add(t)
+            for x in set(word.findall((before + "\n" + after).lower())):
+                near.setdefault(((k, v), x), set()).add(t)
+                contexts.setdefault(((k, v), x), set()).add((before + "\n" + after).lower())
+    words = {t: set(word.findall(t.lower())) for t in texts}
+    out = {}
+    for (c, x), with_both in near.items():
+        if len(contexts[c, x]) < support:
+            continue
+        n_t = sum(x in w for w in words.values())
+        pmi, ic = np.log2(len(texts) * len(with_both) / (len(having[c]) * n_t)), -np.log2(len(having[c]) / len(texts))
+        if ic > 0 and pmi >= alpha * ic - 1e-9:
+            out[x] = out.get(x, False) or pmi >= ic - 1e-9
+    return out
+
+
+def held_terms(docs):
+    rows = docs.select("doc_id", "text").collect()
+    want = brute_terms([r["text"] for r in rows])
+    got = {}
+    for r in pii.find(docs).join(docs.select("doc_id", "text"), "doc_id").select("text", "spans").collect():
+        for s in r["spans"]:
+            if s["kind"] >= len(pii.KINDS):
+                assert r["text"][s["start"] : s["end"]] == s["value"]
+                got.setdefault((r["text"], s["value"].lower()), s["kind"] == len(pii.KINDS) + 1)
+    texts = {r["text"] or "" for r in rows}
+    assert got == {(t, x): full for x, full in want.items() for t in texts if x in set(re.findall(r"[^\W\d_]{4,}", t.lower()))}
+    return want
+
+
+def test_terms_like_brute_force(spark):
+    rng = random.Random(21)
+    vocabulary = ["river", "mountain", "winter", "garden", "letter", "summer", "village", "harbour", *(f"rare{chr(97 + k)}" for k in range(8))]
+    text = lambda n: " ".join(rng.choice(vocabulary[:8]) for _ in range(n))
+    rows = [(i, text(60)) for i in range(150)]
+    for k, mail in enumerate(("a@b.example", "c@d.example", "10.0.0.7", "+1 555 010 9999")):
+        rows += [(1000 + 10 * k + m, " ".join(f"{text(30)} {vocabulary[8 + k]} {mail} {vocabulary[12 + m % 3]} {text(30)}" for _ in range(1 + m % 3))) for m in range(6)]
+    rows += [(2000 + m, f"{text(30)} {vocabulary[8 + m % 3]} {text(30)}") for m in (0, 2, 3, 5, 8, 11)] + [(3000 + m, rows[155][1]) for m in range(5)]
+    found = held_terms(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert (found[vocabulary[8]], found[vocabulary[9]], found[vocabulary[11]]) == (False, True, True) and vocabulary[10] not in found
+
+
+def test_a_term_that_is_common_elsewhere_is_kept(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(str(rng.random()) for _ in range(30))
+    rows = [(i, text()) for i in range(90)] + [(100 + i, f"{text()} orchard {text()}") for i in range(7)]
+    rows += [(200 + i, " ".join(f"{text()} orchard jane@doe.example {text()}" for _ in range(5))) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert "orchard" not in held_terms(docs)
+
+
+def test_corpus_terms_like_brute_force(spark):
+    held_terms(table(spark, SF, "documents").dropDuplicates(["doc_id"]))
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    import time
+
+    took = []
+    for n in (2_000, 40_000):
+        docs = spark.createDataFrame([(1, " ".join(f"word{k} u{k}@mail{k}.example" for k in range(n)))], "doc_id long, text string")
+        start = time.perf_counter()
+        (row,) = pii.sanitise(docs).collect()
+        took.append(time.perf_counter() - start)
+        assert row["text"] == " ".join(f"word{k} [EMAIL]" for k in range(n))
+    assert took[1] < took[0] * 20 + 20
 
 
 def test_terms_that_never_occur_alone_are_removed(spark):
