@@ -4,14 +4,16 @@ Sizes are words. A source's target is its share of the budget by weight; a targe
 clamped there, and the excess is dealt again among the others by weight, until none is above. Each round is two sums
 over the sources; no more than these come to the driver.
 
-A target of e epochs takes every document floor(e) times, and a seeded share of documents once more: each document
-has a hash of seed and id, and those below its source's threshold are taken. The threshold is found by radix: sizes
-are summed by the hash's first bits, the bin in which the wanted size is reached is split by the next bits, and so
-on, so no source's documents ever meet in one task. At the last level a bin is about one document, which is taken if
-that brings the source nearer to its target.
-
-A null text has size 0. A null source is a source of its own and comes last. Rows with equal ids get equal hashes, so
-they are taken alike. Sources of size 0, and an empty table, have target 0. Extra columns don't matter.
+A target of e epochs takes every document floor(e) times, and a seeded share of documents once more: each row has a
+place, whose first bits hash seed, key and text, and those below its source's threshold are taken. The last bits tell
+equal rows apart, so of n equal rows as many are taken as the target asks for, and it doesn't matter which. The
+threshold is found by radix: sizes are summed by the place's first bits, the bin in which the wanted size is reached is
+split by the next bits, and so on, so no source's documents ever meet in one task. At the last level a bin is about one
+row, which is taken if that brings the source nearer to its target.
+
+A null text has size 0. A null source is a source of its own and comes last. Null and repeated keys are like any other:
+rows are told apart by their texts too, and equal rows by their place in the table. Sources of size 0, and an empty
+table, have target 0. Extra columns don't matter to the mix and are kept by the sample, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import WORD, cut
+from folioforge.llm.common import WORD, cut, whole_row
 
-#: Bits of the hash that one radix level tells apart, and the levels.
-RADIX, LEVELS = 10, 4
+#: Bits of a place that one radix level tells apart, and the levels; the last `SAME` bits tell equal rows apart.
+RADIX, LEVELS, SAME = 12, 5, 20
 HASH_BITS = RADIX * LEVELS
 
 
@@ -58,13 +60,14 @@ def water_fill(sources: DataFrame, budget: float, cap: float) -> DataFrame:
         clamped, level = n, (budget - (taken or 0.0)) / rest
 
 
-def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 7, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """Per document (key, source, size, source_size, target, taken): how many words the mix takes of it.
+def _place(seed: int, key: str, text: str) -> Column:
+    """A row's place: a hash of seed, key and text, then one of where the row lies. It is fixed once it is written."""
+    content = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), 64 - HASH_BITS + SAME)
+    return F.shiftleft(content, SAME).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), 64 - SAME))
 
-    Sources weigh `weights` in turn by code point; the mix has `share` times all words, at most `cap` of any source.
-    """
-    hashed = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 64 - HASH_BITS)
-    rows = cut(docs.select(F.col(key), F.col(source).alias("mix_source"), words(text).alias("size"), hashed.alias("hash")), "mix-sizes")
+
+def _limits(rows: DataFrame, weights: tuple, share: float, cap: float) -> DataFrame:
+    """Per source of rows(mix_source, size, hash): (src, source_size, target, whole, extra, threshold)."""
     sums = cut(rows.groupBy("mix_source").agg(F.sum("size").alias("source_size")), "mix-sources")
     weight = F.array(*(F.lit(float(w)) for w in weights))[(F.col("rank") % len(weights)).cast("int")]
     sources = cut(ranked(sums, "mix_source").withColumn("weight", weight), "mix-weights")
@@ -72,11 +75,33 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: fl
     targets = water_fill(sources, share * total, cap)
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = targets.withColumn("whole", F.floor(epochs + 1e-12)).withColumn("extra", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    targets = cut(targets.select("mix_source", "source_size", "target", "whole", "extra"), "mix-targets")
-    limits = _thresholds(rows, targets)
+    return _thresholds(rows, cut(targets.select("mix_source", "source_size", "target", "whole", "extra"), "mix-targets"))
+
+
+def _times(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """rows with what `limits` says of their sources, and `times`: how often the mix takes a row."""
     found = rows.join(limits, rows.mix_source.eqNullSafe(limits.src), "left")
-    taken = F.col("size") * (F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0))
-    return found.select(key, F.col("mix_source").alias(source), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return found.withColumn("times", (F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)).cast("int"))
+
+
+def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 7, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """Per document (key, source, size, source_size, target, taken): how many words the mix takes of it.
+
+    Sources weigh `weights` in turn by code point; the mix has `share` times all words, at most `cap` of any source.
+    """
+    rows = cut(docs.select(F.col(key).alias("mix_key"), F.col(source).alias("mix_source"), words(text).alias("size"), _place(seed, key, text).alias("hash")), "mix-sizes")
+    found = _times(rows, _limits(rows, weights, share, cap))
+    return found.select(F.col("mix_key").alias(key), F.col("mix_source").alias(source), "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
+
+
+def sample(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 7, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """docs, each row as often as the mix takes it; one without words like any other of its source.
+
+    The rows are written once, with size and place beside them; nothing but sums by source is shuffled after that.
+    """
+    rows = cut(docs.select(whole_row(docs), F.col(source).alias("mix_source"), words(text).alias("size"), _place(seed, key, text).alias("hash")), "mix-rows")
+    found = _times(rows, _limits(rows.select("mix_source", "size", "hash"), weights, share, cap)).filter("times > 0")
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def _thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
@@ -104,12 +129,3 @@ def _thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
         )
         now = cut(now, "mix-threshold")
     return now
-
-
-def sample(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", size: str = "size", taken: str = "taken") -> DataFrame:
-    """docs, each as often as `mixed` takes it. A document without words is taken as often as its source in whole."""
-    times = mixed.select(F.col(key).alias("mix_key"), F.when(F.col(size) > 0, F.col(taken) / F.col(size)).otherwise(F.floor(F.col("target") / F.col("source_size"))).cast("int").alias("mix_times"))
-    times = times.groupBy("mix_key").agg(F.max("mix_times").alias("mix_times")).filter("mix_times > 0")
-    joined = docs.join(times, docs[key].eqNullSafe(times.mix_key))
-    rows = F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("row")
-    return joined.select(rows, F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select("row.*")

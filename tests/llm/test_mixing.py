@@ -56,10 +56,38 @@ def test_odd(spark):
 def test_sample_takes_what_the_mix_says(spark):
     docs = table(spark, SF, "documents")
     mixed = mixing.mix(docs)
-    out = mixing.sample(docs, mixed)
+    out = mixing.sample(docs)
     assert out.columns == docs.columns
     assert out.agg(mixing.F.sum(mixing.words())).first()[0] == mixed.agg(mixing.F.sum("taken")).first()[0]
-    assert mixing.sample(odd.documents(spark), mixing.mix(odd.documents(spark))).columns == odd.documents(spark).columns
+    assert mixing.sample(odd.documents(spark)).columns == odd.documents(spark).columns
+
+
+def by_source(rows):
+    out: dict = {}
+    for s, n in rows:
+        out[s] = out.get(s, 0) + n
+    return out
+
+
+def test_taken_is_near_its_target_with_null_repeated_and_equal_rows(spark):
+    ten = "a b c d e f g h i j"
+    cases = {
+        "null ids": [(None, f"{k} {ten}") for k in range(50)] + [(k, f"{k} {ten}") for k in range(50)],
+        "one id": [(7, f"{k} {ten}") for k in range(100)],
+        "equal rows": [(7, ten)] * 100,
+        "null ids of equal rows": [(None, ten)] * 60 + [(1, ten)] * 40,
+    }
+    for name, rows in cases.items():
+        docs = spark.createDataFrame([(i, t, s, "x", k) for s in ("a", "b", None) for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string, row string, mix_times int").repartition(3)
+        mixed = mixing.mix(docs).collect()
+        taken, want, largest = checked(mixed)
+        assert all(abs(taken[s] - want[s]) <= largest[s] for s in want), (name, taken, want)
+        again = mixing.mix(docs.repartition(5)).collect()
+        assert sorted(map(repr, again)) == sorted(map(repr, mixed))
+        out = mixing.sample(docs)
+        assert out.columns == docs.columns
+        got = by_source((r["source"], len(r["text"].split())) for r in out.collect())
+        assert got == taken, name
 
 
 def test_threshold_weighs_the_next_document_behind_empty_bins(spark):
