@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.bpe import encode_documents
 from folioforge.llm.common import cut, table
 from folioforge.llm.crf import accept, fit
-from folioforge.llm.mixing import mix, sample
+from folioforge.llm.mixing import sample
 from folioforge.llm.pii import sanitise
 from folioforge.llm.simhash import keep_one
 
@@ -24,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies: that with the smallest id."""
+    """One document of each group of near-copies: that with the smallest id, or of several with it any one."""
     return keep_one(docs)
 
 
@@ -36,7 +36,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture of sources takes them."""
-    return sample(docs, cut(mix(docs), "pipeline-mix"))
+    return sample(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
