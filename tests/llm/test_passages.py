@@ -153,6 +153,26 @@ def test_verify_crosses_an_edit_between_two_short_runs():
     assert P.verify(a, b, [(10, 10)]) == [(0, 55, 0, 57)]
 
 
+def test_words_in_blocks_like_one(monkeypatch):
+    texts = [None, "", "  ", "one", "A b\tc\nd  e " * 9, " lead " + "x" * 40 + " tail\n"]
+    want = [P._words(t).tolist() for t in texts]
+    for size in (1, 7, 30):
+        monkeypatch.setattr(P, "BLOCK", size)
+        assert [P._words(t).tolist() for t in texts] == want
+
+
+def test_a_long_text_takes_little_memory():
+    import tracemalloc
+
+    text = " ".join(map(str, np.random.default_rng(0).integers(0, 200_000, 3_000_000).tolist()))
+    assert len(text) > 19_000_000
+    tracemalloc.start()
+    runs, _, found = P._found(text, P.LEAST)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(runs.sums) == 3_000_001 and found.shape[1] > 300_000 and most < 400_000_000
+
+
 def test_both_ways_to_follow_runs_agree():
     rng = random.Random(3)
     for _ in range(60):
