@@ -2,8 +2,8 @@
 
 A text's payload is its UTF-8, filled up with bytes 255 to a positive multiple of `ROW`. Each byte is one grey 8-bit
 sample, a row of the image has `ROW` samples, and the image is stored with green subtracted, a palette of the bytes
-that occur, prefix codes and back-references (repeated lines, the fill). A payload of more rows than an image may
-have becomes several image files in a row, each of which tells its own length.
+that occur, prefix codes and back-references (repeated lines, the fill). A payload of more than `ROWS` rows becomes
+several image files in a row, each of which tells its own length.
 
 A null text is the empty text: one row of fill. Equal texts get equal media. A null medium has null pixels; one that
 is no lossless WebP file raises WebpError, or gives null pixels and a message in `error` if `strict` is off.
@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from folioforge.llm.common import workers
-from folioforge.llm.webp import GREEN, MAX_COPY, MAX_DISTANCE, MAX_SIDE, PALETTE, WebpError, decode, encode
+from folioforge.llm.webp import GREEN, MAX_COPY, MAX_DISTANCE, PALETTE, WebpError, decode, encode
 
 ROW, FILL, TAIL = 576, 255, 32
 #: Repeated lines of so many bytes or more become back-references.
 LINE = 24
+#: Rows of an image file; longer payloads become several, so that memory doesn't grow with the text.
+ROWS = 2048
 GREY = np.uint32(0x010101)
 OPAQUE = np.uint32(0xFF000000)
 
@@ -62,8 +64,8 @@ def _cut(at: int, size: int, back: int) -> list[tuple[int, int, int]]:
 def store(payload: bytes) -> bytes:
     """The payload as one image file, or several in a row."""
     files = []
-    for k in range(0, len(payload), ROW * MAX_SIDE):
-        part = payload[k : k + ROW * MAX_SIDE]
+    for k in range(0, len(payload), ROW * ROWS):
+        part = payload[k : k + ROW * ROWS]
         samples = np.frombuffer(part, dtype=np.uint8).reshape(-1, ROW)
         few = np.count_nonzero(np.bincount(samples.ravel(), minlength=256)) <= 16  # then several samples share a pixel
         files.append(encode(samples.astype(np.uint32) * GREY | OPAQUE, transforms=[GREEN, PALETTE], copies=[] if few else _copies(part)))

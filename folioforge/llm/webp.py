@@ -21,6 +21,8 @@ MAX_SIDE, MAX_COPY, MAX_DISTANCE = 1 << 14, 4096, (1 << 20) - 120
 PREDICTOR, CROSS, GREEN, PALETTE = range(4)
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 CACHE_FACTOR = 0x1E35A7BD
+#: Bits of a main image that are looked up at once.
+WINDOW = 1 << 21
 #: The places (to the left, upwards) that the first 120 distance codes mean.
 NEAR = (
     (0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1), (2, 2), (-2, 2), (0, 3), (3, 0), (1, 3),
@@ -156,11 +158,22 @@ class Bits:
         return ((2 + (prefix & 1)) << extra) + self.read(extra) + 1
 
 
+def _payload(data: bytes) -> bytes:
+    """The lossless image of a file: its VP8L chunk, alone or among those of the extended format."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WEBP" or data[12:16] not in (b"VP8L", b"VP8X"):
+        raise WebpError("no lossless WebP file")
+    at = 12
+    while at + 8 <= len(data):
+        size = int.from_bytes(data[at + 4 : at + 8], "little")
+        if data[at : at + 4] == b"VP8L":
+            return data[at + 8 : at + 8 + size]
+        at += 8 + size + size % 2
+    raise WebpError("no lossless image in the file")
+
+
 def decode(data: bytes) -> np.ndarray:
     """The pixels of an image file, height x width, as ARGB."""
-    if data[:4] != b"RIFF" or data[8:12] != b"WEBP" or data[12:16] != b"VP8L":
-        raise WebpError("no lossless WebP file")
-    bits = Bits(data[20 : 20 + int.from_bytes(data[16:20], "little")])
+    bits = Bits(_payload(data))
     if bits.read(8) != 0x2F:
         raise WebpError("wrong signature")
     width, height = bits.read(14) + 1, bits.read(14) + 1
@@ -194,8 +207,15 @@ def _up(n: int, bits: int) -> int:
     return (n + (1 << bits) - 1) >> bits
 
 
+@lru_cache(maxsize=256)
+def _single(symbol: int) -> Code:
+    """The code of one symbol, which takes no bits."""
+    lengths = np.zeros(symbol + 1, dtype=np.int64)
+    lengths[symbol] = 1
+    return Code(lengths)
+
+
 def _code(bits: Bits, alphabet: int) -> Code:
-    lengths = np.zeros(alphabet, dtype=np.int64)
     if bits.read(1):
         two = bits.read(1)
         symbols = [bits.read(8 if bits.read(1) else 1)]
@@ -203,6 +223,9 @@ def _code(bits: Bits, alphabet: int) -> Code:
             symbols.append(bits.read(8))
         if max(symbols) >= alphabet:
             raise WebpError("a symbol is outside its alphabet")
+        if not two:
+            return _single(symbols[0])
+        lengths = np.zeros(alphabet, dtype=np.int64)
         lengths[symbols] = 1
         return Code(lengths)
     first = np.zeros(19, dtype=np.int64)
@@ -210,21 +233,31 @@ def _code(bits: Bits, alphabet: int) -> Code:
         first[LENGTH_ORDER[i]] = bits.read(3)
     code = Code(first)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    at, last = 0, 8
-    while at < alphabet and left:
+    out, last, at, have, held = [], 8, bits.at, 0, 0
+    low, sizes, symbols = (1 << code.width) - 1, *((code.length_of, code.symbol_of) if code.only is None else (None, None))
+    while len(out) < alphabet and left:
         left -= 1
-        s = bits.symbol(code)
+        if have < 14:  # a length of 7 bits at most, and 7 more
+            held, have = int.from_bytes(bits.data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7), 56
+        s, used = code.only, 0
+        if s is None:
+            k = held & low
+            s, used = symbols[k], sizes[k]
         if s < 16:
-            lengths[at] = s
+            out.append(s)
             last = s or last
-            at += 1
-            continue
-        times = 3 + bits.read(2) if s == 16 else 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
-        if at + times > alphabet:
-            raise WebpError("code lengths run over the alphabet")
-        lengths[at : at + times] = last if s == 16 else 0
-        at += times
-    return Code(lengths)
+        else:
+            base, extra = ((3, 2), (3, 3), (11, 7))[s - 16]
+            times = base + (held >> used & ((1 << extra) - 1))
+            used += extra
+            out += [last if s == 16 else 0] * times
+        at, held, have = at + used, held >> used, have - used
+        if at > bits.end:
+            raise WebpError("the data end too early")
+    bits.at = at
+    if len(out) > alphabet:
+        raise WebpError("code lengths run over the alphabet")
+    return Code(np.array(out, dtype=np.int64))
 
 
 def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -289,52 +322,56 @@ def _green_only(bits: Bits, codes: list[Code], width: int, total: int) -> np.nda
     if green.only is not None and green.only < 256:
         out[:] = green.only
         return out << np.uint32(8) | rest
-    base, end = bits.at & ~7, bits.end
-    raw = np.frombuffer(bits.data, dtype=np.uint8)[base >> 3 :].astype(np.uint32)
-    n = (end - base) >> 3
-    word = raw[:n] | raw[1 : n + 1] << np.uint32(8) | raw[2 : n + 2] << np.uint32(16)
-    window = np.empty(8 * n, dtype=np.uint32)
-    for r in range(8):
-        window[r::8] = (word >> np.uint32(r)) & np.uint32((1 << green.width) - 1)
-    # where the next code begins if one begins here; a back-reference, like the end, leads to `stop`, which leads to itself
-    stop = 8 * n
-    step = np.where(green.symbols < 256, green.lengths, stop)
-    follow = np.append(np.minimum(step[window] + np.arange(stop), stop), stop)
-    second = follow[follow]
-    fourth = second[second]
-    jump, at, i = fourth.data, bits.at - base, 0
+    raw = np.frombuffer(bits.data, dtype=np.uint8)
+    at, i = bits.at, 0
+    base = stop = -1  # the bits that the tables below are of: from base, `stop` of them
     while i < total:
-        quarter: list[int] = []
+        if not base <= at < base + stop:
+            base = at & ~7
+            n = min(WINDOW, bits.end - base) >> 3
+            if n <= 0:
+                raise WebpError("the data end too early")
+            bytes_ = raw[base >> 3 : (base >> 3) + n + 2].astype(np.uint32)
+            word = bytes_[:n] | bytes_[1 : n + 1] << np.uint32(8) | bytes_[2 : n + 2] << np.uint32(16)
+            window = np.empty(8 * n, dtype=np.uint32)
+            for r in range(8):
+                window[r::8] = (word >> np.uint32(r)) & np.uint32((1 << green.width) - 1)
+            # where the next code begins if one begins here; a back-reference, like the end, leads to `stop`, which leads to itself
+            stop = 8 * n
+            step = np.where(green.symbols < 256, green.lengths, stop)
+            follow = np.append(np.minimum(step[window] + np.arange(stop), stop), stop)
+            second = follow[follow]
+            jump = second[second].data
+        here, quarter = at - base, []
         add = quarter.append
-        while at < stop:
-            add(at)
-            at = jump[at]
+        while here < stop:
+            add(here)
+            here = jump[here]
         first = np.array(quarter, dtype=np.int64)
         third = second[first]
         chain = np.stack([first, follow[first], third, follow[third]], axis=1).ravel()
-        chain = chain[: np.searchsorted(chain, stop)]
+        chain = chain[: np.searchsorted(chain, stop)][: total - i]
         symbols = green.symbols[window[chain]]
-        literals = len(chain) - int(len(chain) > 0 and symbols[-1] >= 256)
-        if literals >= total - i:
-            literals = total - i
-            out[i:] = symbols[:literals]
-            at = int(chain[literals - 1]) + int(green.lengths[window[chain[literals - 1]]])
-            break
-        if literals == len(chain):
-            raise WebpError("the data end too early")
+        last = int(symbols[-1])
+        literals = len(chain) - int(last >= 256)
         out[i : i + literals] = symbols[:literals]
         i += literals
-        bits.at = base + int(chain[-1]) + int(green.lengths[window[chain[-1]]])
-        if symbols[-1] >= 280:
+        at = base + int(chain[-1]) + int(green.lengths[window[chain[-1]]])
+        if at > bits.end:
+            raise WebpError("the data end too early")
+        if last < 256:
+            continue
+        if last >= 280:
             raise WebpError("a cached colour without a cache")
-        length = bits.value(int(symbols[-1]) - 256)
+        bits.at = at
+        length = bits.value(last - 256)
         back = _distance(bits, distance, width)
         if back > i or i + length > total:
             raise WebpError("a back-reference leaves the image")
         out[i : i + length] = np.resize(out[i - back : i], length) if back < length else out[i - back : i - back + length]
         i += length
-        at = bits.at - base
-    bits.at = base + min(at, stop)
+        at = bits.at
+    bits.at = at
     return out << np.uint32(8) | rest
 
 
@@ -471,15 +508,17 @@ def prefix_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(v < 4, v, 2 * top + second), extra, np.where(v < 4, 0, v & ((1 << extra) - 1))
 
 
+def _put_single(w: Writer, *symbols: int) -> None:
+    """A code of one or two symbols, by their names alone."""
+    w.put(1 | (len(symbols) - 1) << 1 | 4, 3)
+    for s in symbols:
+        w.put(s, 8)
+
+
 def _put_code(w: Writer, lengths: np.ndarray) -> None:
     used = lengths.nonzero()[0]
     if len(used) <= 2 and (not len(used) or used[-1] < 256):
-        symbols = used.tolist() or [0]
-        w.put(1, 1)
-        w.put(len(symbols) - 1, 1)
-        w.put(1, 1)
-        for s in symbols:
-            w.put(s, 8)
+        _put_single(w, *(used.tolist() or [0]))
         return
     tokens: list[tuple[int, int, int]] = []
     last, at = int(used[-1]) + 1, 0
@@ -504,8 +543,9 @@ def _put_code(w: Writer, lengths: np.ndarray) -> None:
     n = max(i for i, s in enumerate(LENGTH_ORDER) if own[s]) + 1
     w.put(0, 1)
     w.put(max(n, 4) - 4, 4)
-    for s in LENGTH_ORDER[: max(n, 4)]:
-        w.put(int(own[s]), 3)
+    listed = own[list(LENGTH_ORDER)].tolist()[: max(n, 4)]
+    for k in range(0, len(listed), 10):
+        w.put(sum(x << 3 * i for i, x in enumerate(listed[k : k + 10])), 3 * len(listed[k : k + 10]))
     w.put(1, 1)
     count, size = len(tokens) - 2, 0  # a code with more than two symbols has more than two tokens
     while count >> (2 + 2 * size):
@@ -513,10 +553,8 @@ def _put_code(w: Writer, lengths: np.ndarray) -> None:
     w.put(size, 3)
     w.put(count, 2 + 2 * size)
     words, bits = words.tolist(), bits.tolist()
-    for s, extra, k in tokens:
-        w.put(words[s], bits[s])
-        if k:
-            w.put(extra, k)
+    w.few += [words[s] | extra << bits[s] for s, extra, _ in tokens]
+    w.few_sizes += [bits[s] + k for s, _, k in tokens]
 
 
 _NOTHING = np.zeros(280 + (1 << 11), dtype=np.int64)
@@ -541,8 +579,12 @@ def _put_image(w: Writer, pixels: np.ndarray, main: bool, copies: Sequence[tuple
         np.add.at(edge, start + length, -1)
         literal = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
     argb = flat[literal]
-    red, blue, alpha = ((argb >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in (16, 0, 24))
     green = (argb >> np.uint32(8) & np.uint32(255)).astype(np.int64)
+    rest = int(flat[0]) & 0xFFFF00FF
+    if groups is None and not cache_bits and len(literal) and not ((argb ^ np.uint32(rest)) & np.uint32(0xFFFF00FF)).any():
+        _put_green(w, literal, green, rest, start, length, back)
+        return
+    red, blue, alpha = ((argb >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in (16, 0, 24))
     if cache_bits:
         green = _cached(flat, literal, green, cache_bits)
     if len(start):
@@ -594,6 +636,27 @@ def _put_image(w: Writer, pixels: np.ndarray, main: bool, copies: Sequence[tuple
     w.many(np.concatenate(values)[by], np.concatenate(bits)[by])
 
 
+def _put_green(w: Writer, literal: np.ndarray, green: np.ndarray, rest: int, start: np.ndarray, length: np.ndarray, back: np.ndarray) -> None:
+    """The codes and symbols of an image in which only green varies: the other channels' codes have one symbol."""
+    counts, ds = np.bincount(green, minlength=280), start
+    if len(start):
+        (ls, le, lx), (ds, de, dx) = prefix_of(length), prefix_of(np.where(back == 1, 2, back + len(NEAR)))
+        counts = counts + np.bincount(256 + ls, minlength=280)
+    lengths, far = code_lengths(counts), code_lengths(np.bincount(ds, minlength=40))
+    _put_code(w, lengths)
+    for shift in (16, 0, 24):
+        _put_single(w, rest >> shift & 255)
+    _put_code(w, far)
+    words, sizes = (codewords(lengths), lengths) if np.count_nonzero(counts) > 1 else (_NOTHING, _NOTHING)
+    values, bits = words[green], sizes[green]
+    if len(start):
+        far_words, far_sizes = (codewords(far), far) if np.count_nonzero(far) > 1 else (_NOTHING, _NOTHING)
+        at = np.repeat(np.searchsorted(literal, start), 4)
+        values = np.insert(values, at, np.stack([words[256 + ls], lx, far_words[ds], dx], axis=1).ravel())
+        bits = np.insert(bits, at, np.stack([sizes[256 + ls], le, far_sizes[ds], de], axis=1).ravel())
+    w.many(values, bits)
+
+
 def _cached(flat: np.ndarray, literal: np.ndarray, green: np.ndarray, bits: int) -> np.ndarray:
     """green, with 280 + place for literals that the colour cache holds."""
     cache, out, at = [None] * (1 << bits), green.copy(), dict(zip(literal.tolist(), range(len(literal)), strict=True))

@@ -1,5 +1,6 @@
 """The lossless WebP codec: exact round trips through every feature, known bytes, damaged files."""
 
+import base64
 import hashlib
 import zlib
 
@@ -7,7 +8,7 @@ import numpy as np
 import odd
 import pytest
 
-from folioforge.llm import media, q07_media
+from folioforge.llm import media, q07_media, webp
 from folioforge.llm.webp import CROSS, GREEN, PALETTE, PREDICTOR, WebpError, decode, encode
 
 RNG = np.random.default_rng(1)
@@ -63,6 +64,51 @@ def test_damage():
             decode(bad)
 
 
+def test_a_file_of_another_encoder():
+    """The one-pixel image that browsers are asked to decode to show that they know the format."""
+    data = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
+    assert decode(data).tolist() == [[0]]
+    chunk = data[12:]
+    extended = b"VP8X" + (10).to_bytes(4, "little") + bytes(10) + b"ICCP" + (3).to_bytes(4, "little") + b"abc\0" + chunk + b"EXIF" + (2).to_bytes(4, "little") + b"xy"
+    assert decode(b"RIFF" + (4 + len(extended)).to_bytes(4, "little") + b"WEBP" + extended).tolist() == [[0]]
+    with pytest.raises(WebpError):
+        decode(b"RIFF" + bytes(4) + b"WEBPVP8X" + (10).to_bytes(4, "little") + bytes(10))
+
+
+@pytest.mark.parametrize("window", [64, 1000, 1 << 14])
+def test_windows_of_bits_join_like_one(monkeypatch, window):
+    monkeypatch.setattr(webp, "WINDOW", window)
+    for text in PAYLOADS:
+        p = media.payload_of(text)
+        assert media.load(media.store(p)) == p
+    grey = RNG.integers(0, 256, (40, 40)).astype(np.uint32) << np.uint32(8)
+    grey.ravel()[500:800] = grey.ravel()[100:400]
+    assert same(grey) and same(grey, copies=[(500, 300, 400)])
+    data = encode(grey)
+    with pytest.raises(WebpError):
+        decode(data[: len(data) - 300])
+
+
+def test_a_long_text_takes_little_memory():
+    import tracemalloc
+
+    words = RNG.integers(0, 50_000, 3_500_000)
+    p = media.payload_of(" ".join(map(str, words.tolist())))
+    assert len(p) > 19_000_000
+    tracemalloc.start()
+    assert media.load(media.store(p)) == p
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 400_000_000
+    image = RNG.integers(0, 256, (1 << 13, 576)).astype(np.uint32) << np.uint32(8)
+    data = encode(image)
+    tracemalloc.start()
+    assert (decode(data) == image).all()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 250_000_000
+
+
 PAYLOADS = ["", None, "a" * 5000, "ab\n" * 3000, "😀" * 300, "abcdefghijklmnopqrstuvwxyz0123456789\n" * 2000, "\xff" * 700, "a line that is long enough to count\n" * 9 + "x", "é" * 288]
 
 
@@ -73,7 +119,7 @@ def test_payloads(text):
 
 
 def test_payloads_of_many_rows(monkeypatch):
-    monkeypatch.setattr(media, "MAX_SIDE", 3)
+    monkeypatch.setattr(media, "ROWS", 3)
     p = media.payload_of("some text\n" * 900)
     stored = media.store(p)
     assert media.load(stored) == p and sum(1 for _ in media.images(stored)) == -(-len(p) // (576 * 3))
