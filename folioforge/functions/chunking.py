@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import col
+from folioforge.sources.package import importable
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
@@ -87,6 +88,7 @@ def split_recursively(text: str | None, size: int = 1000, overlap: int = 200, se
 
 def recursive_chunks(size: int = 1000, overlap: int = 200):
     """A Pandas UDF from text to its recursive chunks."""
+    importable()
 
     @F.pandas_udf("array<string>")
     def chunks(texts: pd.Series) -> pd.Series:

@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import col
+from folioforge.sources.package import importable
 
 
 def dot(a, b) -> Column:
@@ -51,6 +52,7 @@ def embedder(encode: Callable[[list[str]], list[list[float]]], batch: int = 64):
 
     A null or blank text has a null vector and isn't sent.
     """
+    importable()
 
     @F.pandas_udf("array<float>")
     def vectors(texts: pd.Series) -> pd.Series:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from folioforge.config import SearchSettings
 from folioforge.functions import text as T
 from folioforge.functions import vectors as V
+from folioforge.sources.package import importable
 
 #: BM25's parameters (Robertson and Zaragoza 2009).
 K1, B = 1.2, 0.75
@@ -104,6 +105,7 @@ def best_per_row(left: DataFrame, right: DataFrame, k: int, key: str = "qid", ot
     and what ties with them. So nothing is compared row by row, and no more than k rows (and ties) of a pair of blocks
     are shuffled by key.
     """
+    importable(left.sparkSession)
     asked = _blocks(left.select(F.col(key).alias("key"), F.col(unlike or key).alias("unlike"), F.col("qvec").alias("vec")), "q")
     rows = _blocks(right.select(F.col(other).alias("key"), F.col(other).alias("unlike"), "vec"), "r")
     apart = unlike is not None

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import html
 from folioforge.functions import text as T
+from folioforge.sources.package import importable
 
 
 def documents(spark: SparkSession, path: str, parse: Callable[[bytes], Iterable[str]], pattern: str = "*.pdf") -> DataFrame:
@@ -64,6 +65,7 @@ def unpacked(spark: SparkSession, path: str, unpack: Callable[[bytes], Iterable[
 
 
 def _binary(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    importable(spark)
     read = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return read.select(F.col("path").alias("doc"), "content")
 
@@ -77,6 +79,7 @@ def html_folder(spark: SparkSession, path: str) -> DataFrame:
 
 def toc(pages: DataFrame, column: str = "html") -> DataFrame:
     """Table-of-contents entries (position, name, local) of a contents page."""
+    importable(pages.sparkSession)
 
     @F.pandas_udf("array<struct<position:int,name:string,local:string>>")
     def entries(s: pd.Series) -> pd.Series:
@@ -92,6 +95,7 @@ def toc_by_path(pages: DataFrame) -> DataFrame:
 
 def sections(pages: DataFrame, key: str = "path", column: str = "html") -> DataFrame:
     """(key, position, title, text) of each section of each page."""
+    importable(pages.sparkSession)
 
     @F.pandas_udf("array<struct<position:int,title:string,text:string>>")
     def parts(s: pd.Series) -> pd.Series:
@@ -102,6 +106,7 @@ def sections(pages: DataFrame, key: str = "path", column: str = "html") -> DataF
 
 def abstracts(pages: DataFrame, key: str = "path", column: str = "html") -> DataFrame:
     """(key, title, authors, program, college, year, abstract) of abstract pages."""
+    importable(pages.sparkSession)
 
     @F.pandas_udf("title string, authors array<string>, program string, college string, year int, abstract string")
     def fields(s: pd.Series) -> pd.DataFrame:
@@ -114,6 +119,7 @@ def abstracts(pages: DataFrame, key: str = "path", column: str = "html") -> Data
 
 def merged(pages: DataFrame, logos: tuple[str, ...] = ()) -> DataFrame:
     """One html of pages (doc, position, html) per document, cleaned and in order."""
+    importable(pages.sparkSession)
 
     @F.pandas_udf("string")
     def clean(s: pd.Series, at: pd.Series) -> pd.Series:
@@ -125,6 +131,7 @@ def merged(pages: DataFrame, logos: tuple[str, ...] = ()) -> DataFrame:
 
 def visible(pages: DataFrame, column: str = "html"):
     """A column of the visible text of each page."""
+    importable(pages.sparkSession)
 
     @F.pandas_udf("string")
     def text(s: pd.Series) -> pd.Series:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from folioforge.sources.package import importable
 from folioforge.sources.scratch import fresh
 
 
@@ -29,6 +30,7 @@ def windowed_views(views: DataFrame, length: str = "1 hour", late: str = "10 min
 
 def recents(views: DataFrame, most: int = 10) -> DataFrame:
     """Each user's most recent distinct items, sent anew when they change (R3). State: `most` (time, item) pairs a user."""
+    importable(views.sparkSession)
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen: dict[int, int] = dict(zip(*[list(x) for x in state.get], strict=True)) if state.exists else {}
