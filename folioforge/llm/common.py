@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.sources.scratch import fresh, remove, shared_folder, write_files
+from folioforge.sources.package import importable
+from folioforge.sources.scratch import fresh, remove, shared_folder
 
 __all__ = ["WORD", "cut", "held_out", "release", "shared_folder", "table", "whole_row", "workers"]
 
-#: The repository root, so that Python workers can import this package wherever the driver was started.
-ROOT = str(Path(__file__).resolve().parents[2])
-
 #: Words of every operator here: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,20 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def workers(spark: SparkSession) -> None:
-    """Lets Python workers find this package, and keeps Arrow batches of long texts small.
-
-    In local mode they import it where it lies; on a cluster it is sent to the executors, by way of the shared folder.
-    """
-    context = spark.sparkContext
-    if context.master.split("[")[0] == "local":
-        context.environment.setdefault("PYTHONPATH", ROOT)
-    elif not any(x.startswith("folioforge-") for x in context._python_includes):
-        packed = io.BytesIO()
-        with zipfile.ZipFile(packed, "w") as z:
-            for file in sorted(Path(ROOT, "folioforge").rglob("*.py")):
-                z.write(file, file.relative_to(ROOT))
-        name = f"folioforge-{uuid.uuid4().hex}.zip"
-        context.addPyFile(f"{write_files(spark, fresh(spark, 'package'), {name: packed.getvalue()})}/{name}")
+    """Lets Python workers find this package, and keeps Arrow batches of long texts small."""
+    importable(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
