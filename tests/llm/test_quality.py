@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import odd
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -36,6 +37,37 @@ def test_counts_of_the_corpus(spark):
     assert all(textstats.count(r["text"])[:5] == plain(r["text"]) for r in rows[:60]) and textstats.count(None)[:5] == (0,) * 5
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "#|", "é", "\n", "\t ", "\x1c", "\x85", "　", "word" * 6, " "]), max_size=60).map(" ".join))
+def test_long_texts_part_by_part_like_whole(text):
+    whole, most = textstats.count(text), textstats.PART
+    try:
+        for textstats.PART in (0, 5, 17):
+            assert textstats.count(text) == whole
+    finally:
+        textstats.PART = most
+
+
+def test_classes_of_characters_at_any_number_of_kinds():
+    for n in (10, 255, 256, 257, 400):
+        text = "一二三ⅧⒶ" * 3 + "Ab9" + "".join(map(chr, range(0x5000, 0x5000 + n - 8)))
+        assert len(set(text)) == n
+        at = textstats.COUNTS.index("n_upper")
+        assert textstats.count(text)[at : at + 3] == tuple(len(regex.findall(p, text)) for p in (r"\p{Lu}", r"\p{L}", r"\p{N}"))
+
+
+def test_a_long_text_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    text = "\n".join(" ".join(map(str, rng.integers(0, 200_000, 12))) for _ in range(240_000))
+    tracemalloc.start()
+    assert textstats.count(text)[0] == 2_880_000 and len(text) > 18_000_000
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 300_000_000
+
+
 def test_verdicts(spark):
     labels = table(spark, SF1, "labels")
     rows = q05_rules.query(spark, SF1).join(labels, "doc_id").collect()
@@ -46,6 +78,40 @@ def test_verdicts(spark):
     assert np.mean(good) > 0.95 and np.mean(bad) < 0.3
 
 
+def walked(tree, row):
+    """A row's path length in a tree, by walking down from the root."""
+    feature, at, right, path = tree
+    node = 0
+    while feature[node] >= 0:
+        node = node + 1 if row[feature[node]] <= at[node] else right[node]
+    return path[node]
+
+
+def test_verdicts_like_plain_walks(spark):
+    Q = quality_rules
+    docs, labels = table(spark, SF1, "documents"), table(spark, SF1, "labels")
+    found = Q.judge(docs, labels).withColumn("place", Q.F.pmod(Q.F.xxhash64(Q.F.lit(Q.SEED), "doc_id"), Q.F.lit(1 << 30))).withColumn("held", Q.held_out()).collect()
+    counts = {r["doc_id"]: [r[c] for c in textstats.COUNTS] for r in found}
+    passed = sorted((r["place"], counts[r["doc_id"]], r["doc_id"]) for r in found if not r["base_failed"])
+    assert len(passed) < Q.SAMPLE
+    forest = Q.Forest(Q.rules(np.array([c for _, c, _ in passed], dtype=np.int64)))
+    n = forest.size
+    usual = 2 * (np.log(n - 1) + Q.EULER) - 2 * (n - 1) / n
+    score = {}
+    for r in found[::7]:
+        row = Q.rules(np.array([counts[r["doc_id"]]], dtype=np.int64))[0]
+        score[r["doc_id"]] = 2 ** -(np.mean([walked(t, row) for t in forest.trees]) / usual)
+        assert abs(score[r["doc_id"]] - r["anomaly"]) < 1e-9
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    learned = [(r["anomaly"], truth[r["doc_id"]]) for r in found if r["doc_id"] in truth and not r["held"] and not r["base_failed"]]
+    best = (0.0, float("inf"))
+    for k in range(Q.BINS + 1):
+        good, bad = ([int(a * Q.BINS) < k for a, q in learned if q == want] for want in (1, 0))
+        if np.mean(good) >= Q.KEEP and np.mean(good) - np.mean(bad) > best[0] + 1e-12:
+            best = (np.mean(good) - np.mean(bad), k / Q.BINS)
+    assert all(r["kept"] == (not r["base_failed"] and r["anomaly"] < best[1]) for r in found) and best[1] < 1
+
+
 def test_forest_isolates_outliers():
     rng = np.random.default_rng(0)
     rows = np.concatenate([rng.normal(size=(500, 3)), [[9, 9, 9]]])
