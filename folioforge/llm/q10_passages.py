@@ -9,7 +9,8 @@ from folioforge.llm.common import table
 from folioforge.llm.passages import classes
 
 QUERY = "op10_passages"
-#: SQL has no Cartesian trees; tests/llm/test_passages.py holds the query against brute force over all pairs.
+#: SQL has no Cartesian trees; tests/llm/test_passages.py holds exact runs of the corpus and edited passages of small
+#: texts against brute force over all pairs, and measures recall on planted ones.
 ORACLE_SQL = None
 
 

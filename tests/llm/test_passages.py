@@ -69,6 +69,9 @@ def test_planted(spark):
     assert rows[201]["class_id"] == 200 and rows[401]["class_id"] == 400
     for i in (300, 301, 302, 402, 403):
         assert rows[i]["class_id"] == i and rows[i]["n_links"] == 0 and rows[i]["spans"] == []
+    for r in rows.values():
+        spans = [(s["from"], s["to"]) for s in r["spans"]]
+        assert spans == sorted(spans) and all(x[1] < y[1] and x[0] < y[0] for x, y in zip(spans, spans[1:], strict=False))
     at = [(s["from"], s["to"]) for s in rows[200]["spans"]]
     assert at and all(abs(a - 40) < 6 and abs(b - 159) < 6 for a, b in at)
 
@@ -246,6 +249,44 @@ def test_recall_of_near_duplicates(spark):
     assert all(got[k] == k for k in kinds)
 
 
+def any_near(x, y, least=P.LEAST):
+    """Whether any two stretches of two lists of shingles are near-duplicates: all of them are compared."""
+    stretches = lambda z: [set(z[i:j]) for i in range(len(z)) for j in range(i + least, len(z) + 1)]
+    ys = stretches(y)
+    return any(len(a & b) >= P.SIMILARITY * len(a | b) for a in stretches(x) for b in ys)
+
+
+def test_classes_like_brute_force_over_all_pairs(spark):
+    rng = random.Random(29)
+    text = lambda n: [str(rng.random())[2:9] for _ in range(n)]
+    texts = {}
+    for k in range(10):
+        words = text(rng.randint(50, 62))
+        for m in range(4):
+            other = list(words)
+            for _ in range(m and rng.randint(1, 3)):
+                at = rng.randrange(len(other))
+                other[at : at + rng.randint(0, 1)] = text(rng.randint(0, 1))
+            texts[1000 + 10 * k + m] = other
+    grams = {k: [tuple(w[i : i + 5]) for i in range(len(w) - 4)] for k, w in texts.items()}
+    common = lambda a, b: len(set(grams[a]) & set(grams[b])) >= P.SIMILARITY * P.LEAST
+    linked = [(a, b) for a in texts for b in texts if a < b and common(a, b) and any_near(grams[a], grams[b])]
+    up = {k: k for k in texts}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in linked:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    got = {r["doc_id"]: r["class_id"] for r in P.classes(odd.documents(spark, [(k, " ".join(w)) for k, w in texts.items()])).collect()}
+    assert all(find(got[k]) == find(k) for k in texts)  # no class joins what brute force doesn't
+    lost = [(a, b) for a, b in linked if got[a] != got[b]]
+    assert len(linked) > 20 and len(linked) < 55 and len(lost) <= 0.03 * len(linked), (len(linked), lost)
+
+
 def test_exact_repeats_around_a_common_template(spark):
     rng = random.Random(31)
     text = lambda n: [str(rng.random())[2:9] for _ in range(n)]
