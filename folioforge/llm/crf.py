@@ -6,10 +6,12 @@ strong sign takes its neighbours' language. Forward-backward gives each word's d
 document's language is the one with the largest sum over its words with letters, and the score that sum's share.
 
 Training maximises the likelihood of code-switched sequences, put together from word windows of labelled documents.
-The sample is bounded: `SAMPLE` documents, chosen by a hash of their ids, `WINDOW` words from a hashed place of each.
+The sample is bounded: `SAMPLE` documents, chosen by a hash of their ids, `WINDOW` words from a hashed place of each;
+words of more than `LONGEST` characters are no examples. Labelling takes every word whole.
 
 Forward-backward runs over blocks of `BLOCK` words of all documents of a batch at once: first each block's transfer
-matrix, then the messages between a document's blocks, then the words inside the blocks.
+matrix, then the messages between a document's blocks, then the words inside the blocks. Long texts go through it part
+by part: once for the parts' transfer matrices, which make the messages between parts, and once for their words.
 
 A null text, and one without any letter, is `und` with score 0; so is every document if there is nothing to learn
 from. Equal texts get equal predictions. Extra columns are left alone.
@@ -19,20 +21,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import held_out, workers
+from folioforge.llm.textstats import parts_of, words_of
 
-SAMPLE, WINDOW, TABLE, EPOCHS, SEED = 4000, 64, 1 << 16, 60, 5
+SAMPLE, WINDOW, LONGEST, TABLE, EPOCHS, SEED = 4000, 64, 256, 1 << 16, 60, 5
 BLOCK, MEMO = 64, 300_000
+#: Characters of the texts that are labelled at once; a longer text goes part by part.
+PART = 1 << 20
 UNKNOWN = "und"
-LETTER = regex.compile(r"\p{L}")
+#: What the hash of each kind of feature begins with.
+KINDS = tuple(crc32(x) for x in (b"w", b"p", b"q", b"s", b"t"))
 
 
 @dataclass
@@ -43,27 +49,35 @@ class Model:
     start: np.ndarray
 
 
-def features(word: str) -> list[int]:
-    """Places of a word's features in the table; a word without letters has none."""
+def _hashes(word: str) -> list[int]:
+    """Hashes of a word's features: itself, two prefixes, two suffixes, its byte trigrams. It is its letters alone."""
     if not word.isalpha():
-        word = "".join(LETTER.findall(word))
-    if not word:
-        return []
+        word = word[:-1] if word[:-1].isalpha() else "".join(filter(str.isalpha, word))
+        if not word:
+            return []
     w = word.lower().encode("utf-8", "replace")
-    out = [crc32(b"w" + w), crc32(b"p" + w[:2]), crc32(b"q" + w[:4]), crc32(b"s" + w[-2:]), crc32(b"t" + w[-4:])]
-    w = b"^" + w + b"$"
-    out += [crc32(w[i : i + 3]) for i in range(len(w) - 2)]
-    return [x % TABLE for x in out]
+    whole, short, long, end, tail = KINDS
+    marked = b"^" + w + b"$"
+    return [crc32(w, whole), crc32(w[:2], short), crc32(w[:4], long), crc32(w[-2:], end), crc32(w[-4:], tail), *map(crc32, [marked[i : i + 3] for i in range(len(w))])]
+
+
+def features(word: str) -> list[int]:
+    """Places of a word's features in the table; a word without letters has none."""
+    return [x % TABLE for x in _hashes(word)]
+
+
+def _flat(hashes: list[list[int]], sizes: np.ndarray) -> np.ndarray:
+    """Places of many words' features, one after another."""
+    return np.fromiter(chain.from_iterable(hashes), dtype=np.int64, count=int(sizes.sum())) % TABLE
 
 
-def _sums(weights: np.ndarray, places: list[list[int]]) -> np.ndarray:
-    """The sum of weights at each list of places."""
-    sizes = np.fromiter(map(len, places), dtype=np.int64, count=len(places))
-    out = np.zeros((len(places), weights.shape[1]), dtype=np.float64)
+def _sums(weights: np.ndarray, hashes: list[list[int]]) -> np.ndarray:
+    """The sum of weights at the places of each word's features."""
+    sizes = np.fromiter(map(len, hashes), dtype=np.int64, count=len(hashes))
+    out = np.zeros((len(hashes), weights.shape[1]), dtype=np.float64)
     if sizes.any():
-        flat = np.concatenate([np.asarray(p, dtype=np.int64) for p in places if p])
         starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-        out[sizes > 0] = np.add.reduceat(weights[flat], starts, axis=0)
+        out[sizes > 0] = np.add.reduceat(weights[_flat(hashes, sizes)], starts, axis=0)
     return out
 
 
@@ -76,10 +90,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     n = labelled.select(key).count()
     place = F.pmod(F.xxhash64(F.lit(SEED), F.col(key)), F.lit(1 << 30))
     share = min(1.0, 1.3 * sample / max(1, n) + 50 / max(1, n))
-    words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: (w != "") & (F.length(w) <= LONGEST))
     few = labelled.filter(place < int(share * (1 << 30))).select(F.col(key), F.col(lang).alias("lang"), place.alias("place"), words.alias("words"))
     span = F.slice("words", (1 + F.pmod(F.col("place"), F.greatest(F.lit(1), F.size("words") - WINDOW + 1))).cast("int"), F.lit(WINDOW))
-    rows = few.select("place", key, "lang", F.transform(span, lambda w: F.left(w, F.lit(64))).alias("span")).orderBy("place", key, "lang", "span").limit(sample).collect()
+    rows = few.select("place", key, "lang", span.alias("span")).orderBy("place", key, "lang", "span").limit(sample).collect()
     return train([(r["lang"], r["span"]) for r in rows if r["span"]])
 
 
@@ -113,9 +127,9 @@ def train(windows: list[tuple[str, list[str]]]) -> Model:
     for i, s in enumerate(seqs):
         word[i, : len(s)], gold[i, : len(s)] = [w for w, _ in s], [g for _, g in s]
     mask = np.arange(WINDOW)[None, :] < length[:, None]
-    places = [features(w) for w in ids]
-    flat = np.concatenate([np.asarray(p, np.int64) for p in places]) if any(places) else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(places)), [len(p) for p in places])
+    places = [_hashes(w) for w in ids]
+    sizes = np.array([len(p) for p in places])
+    flat, owner = _flat(places, sizes), np.repeat(np.arange(len(places)), sizes)
     weights, moves, start = np.zeros((TABLE, k)), np.zeros((k, k)), np.zeros(k)
     squares = [np.full_like(x, 1e-3) for x in (weights, moves, start)]
     total = mask.sum()
@@ -160,56 +174,81 @@ def _expected(emit: np.ndarray, moves: np.ndarray, start: np.ndarray, mask: np.n
 # -- labelling --------------------------------------------------------------------------------------------------------
 
 
+class _Blocks:
+    """Sequences that lie one after another, in blocks of BLOCK words: their potentials and transfer matrices.
+
+    fresh: the sequences' first words take the start potentials in place of a transition.
+    """
+
+    def __init__(self, model: Model, pot: np.ndarray, sizes: np.ndarray, fresh: bool):
+        k, n = pot.shape[1], len(pot)
+        self.n, self.fresh = n, fresh
+        self.move, self.first = np.exp(model.moves - model.moves.max()), np.exp(model.start - model.start.max())
+        self.blocks = blocks = -(-sizes // BLOCK)
+        self.total = total = int(blocks.sum())
+        seq_of = np.repeat(np.arange(len(sizes)), blocks)
+        nth = np.arange(total) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        begin = np.repeat(np.cumsum(sizes) - sizes, blocks) + nth * BLOCK
+        length = np.minimum(BLOCK, sizes[seq_of] - nth * BLOCK)
+        self.e = np.ones((BLOCK, total, k))
+        self.at = np.arange(BLOCK)[:, None] < length[None, :]
+        self.where = np.minimum(begin[None, :] + np.arange(BLOCK)[:, None], n - 1)
+        self.e[self.at] = pot[self.where[self.at]]
+        self.starts = np.flatnonzero(nth == 0)
+        self.last = np.append(self.starts[1:], total) - 1 if total else np.zeros(0, np.int64)
+        self.whole = np.broadcast_to(np.eye(k), (total, k, k)).copy()
+        for t in range(BLOCK):
+            moved = (self.whole.reshape(-1, k) @ self.move).reshape(-1, k, k)
+            if t == 0 and fresh:
+                moved[self.starts] = self.first / k
+            step = moved * self.e[t][:, None, :]
+            step /= step.sum(axis=(1, 2), keepdims=True)
+            self.whole = np.where(self.at[t][:, None, None], step, self.whole)
+
+    def transfer(self) -> np.ndarray:
+        """The transfer matrix of all blocks in a row."""
+        out = np.eye(self.whole.shape[1])
+        for w in self.whole:
+            out = out @ w
+            out /= out.sum()
+        return out
+
+    def marginals(self, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
+        """Distributions of all words, given the messages from what lies before and after a single sequence."""
+        k, total, starts, e, at, move = self.whole.shape[1], self.total, self.starts, self.e, self.at, self.move
+        into, out = np.ones((total, k)), np.ones((total, k))
+        if before is not None:
+            into[starts], out[self.last] = before, after
+        for j in range(1, int(self.blocks.max()) if total else 0):
+            now = starts[self.blocks > j] + j
+            v = np.einsum("ni,nij->nj", into[now - 1], self.whole[now - 1])
+            into[now] = v / v.sum(axis=1, keepdims=True)
+            back = self.last[self.blocks > j] - j
+            v = np.einsum("nij,nj->ni", self.whole[back + 1], out[back + 1])
+            out[back] = v / v.sum(axis=1, keepdims=True)
+        alpha = np.empty((BLOCK, total, k))
+        a = into
+        for t in range(BLOCK):
+            a = a @ move
+            if t == 0 and self.fresh:
+                a[starts] = self.first
+            a = a * e[t]
+            a /= a.sum(axis=1, keepdims=True)
+            alpha[t] = a
+        b = out
+        for t in range(BLOCK - 1, -1, -1):
+            alpha[t] *= b
+            b = np.where(at[t][:, None], (e[t] * b) @ move.T, b)
+            b /= b.sum(axis=1, keepdims=True)
+        alpha /= alpha.sum(axis=2, keepdims=True)
+        result = np.empty((self.n, k))
+        result[self.where[at]] = alpha[at]
+        return result
+
+
 def marginals(model: Model, pot: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Distributions over languages of the words of sequences that lie one after another; pot: their potentials."""
-    k, n = pot.shape[1], len(pot)
-    move, first = np.exp(model.moves - model.moves.max()), np.exp(model.start - model.start.max())
-    blocks = -(-sizes // BLOCK)
-    total = int(blocks.sum())
-    seq_of = np.repeat(np.arange(len(sizes)), blocks)
-    nth = np.arange(total) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    begin = np.repeat(np.cumsum(sizes) - sizes, blocks) + nth * BLOCK
-    length = np.minimum(BLOCK, sizes[seq_of] - nth * BLOCK)
-    e = np.ones((BLOCK, total, k))
-    at = np.arange(BLOCK)[:, None] < length[None, :]
-    where = np.minimum(begin[None, :] + np.arange(BLOCK)[:, None], n - 1)
-    e[at] = pot[where[at]]
-    starts = np.flatnonzero(nth == 0)
-    whole = np.broadcast_to(np.eye(k), (total, k, k)).copy()
-    for t in range(BLOCK):
-        moved = (whole.reshape(-1, k) @ move).reshape(-1, k, k)
-        if t == 0:
-            moved[starts] = first / k  # a first word takes the start potentials in place of a transition
-        step = moved * e[t][:, None, :]
-        step /= step.sum(axis=(1, 2), keepdims=True)
-        whole = np.where(at[t][:, None, None], step, whole)
-    into, out = np.ones((total, k)), np.ones((total, k))
-    last = np.append(np.flatnonzero(nth == 0)[1:], total) - 1 if total else np.zeros(0, np.int64)
-    for j in range(1, int(blocks.max()) if total else 0):
-        now = starts[blocks > j] + j
-        v = np.einsum("ni,nij->nj", into[now - 1], whole[now - 1])
-        into[now] = v / v.sum(axis=1, keepdims=True)
-        back = last[blocks > j] - j
-        v = np.einsum("nij,nj->ni", whole[back + 1], out[back + 1])
-        out[back] = v / v.sum(axis=1, keepdims=True)
-    alpha = np.empty((BLOCK, total, k))
-    a = into
-    for t in range(BLOCK):
-        a = a @ move
-        if t == 0:
-            a[starts] = first
-        a = a * e[t]
-        a /= a.sum(axis=1, keepdims=True)
-        alpha[t] = a
-    b = out
-    for t in range(BLOCK - 1, -1, -1):
-        alpha[t] *= b
-        b = np.where(at[t][:, None], (e[t] * b) @ move.T, b)
-        b /= b.sum(axis=1, keepdims=True)
-    alpha /= alpha.sum(axis=2, keepdims=True)
-    result = np.empty((n, k))
-    result[where[at]] = alpha[at]
-    return result
+    return _Blocks(model, pot, sizes, True).marginals()
 
 
 class Labeller:
@@ -227,7 +266,7 @@ class Labeller:
         new = [w for w in dict.fromkeys(words) if w not in known]
         if new:
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            places = [features(w) for w in new]
+            places = [_hashes(w) for w in new]
             score = _sums(self.model.weights, places)
             self.pot = np.concatenate([self.pot, np.maximum(np.exp(score - score.max(axis=1, keepdims=True)), 1e-12)])
             self.lettered = np.concatenate([self.lettered, np.array([bool(p) for p in places], bool)])
@@ -235,7 +274,7 @@ class Labeller:
 
     def words(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
         """Words of each text, their number, and each word's distribution and whether it has a letter."""
-        split = [_words(t) for t in texts]
+        split = [words_of(t) for t in texts]
         sizes = np.array([len(w) for w in split], dtype=np.int64)
         at = self._look_up([w for ws in split for w in ws])
         return split, sizes, marginals(self.model, self.pot[at], sizes), self.lettered[at]
@@ -245,8 +284,12 @@ class Labeller:
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not self.model.langs:
             return langs, scores
-        those = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+        those = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         for at in _groups(texts, those):
+            if len(texts[at[0]]) > PART:
+                sums = self.long(texts[at[0]])
+                langs[at[0]], scores[at[0]] = self.model.langs[int(sums.argmax())], min(1.0, float(sums.max() / sums.sum()))
+                continue
             _, sizes, dist, lettered = self.words([texts[i] for i in at])
             sums = np.add.reduceat(dist * lettered[:, None], np.cumsum(sizes) - sizes, axis=0)
             best, total = sums.argmax(axis=1), sums.sum(axis=1)
@@ -255,11 +298,32 @@ class Labeller:
         return langs, scores
 
 
-def _groups(texts: list, those: list[int], most: int = 2_000_000) -> Iterator[list[int]]:
+    def long(self, text: str) -> np.ndarray:
+        """The sums of the distributions of a long text's lettered words, which are never all in memory."""
+        k, parts = len(self.model.langs), list(parts_of(text, PART))
+        block = lambda p, at: _Blocks(self.model, self.pot[at], np.array([len(at)]), p == 0)
+        look = lambda span: self._look_up(words_of(text[span[0] : span[1]]))
+        moves = [block(p, look(span)).transfer() for p, span in enumerate(parts)]
+        before, after = [np.ones(k)], [np.ones(k)]
+        for m in moves[:-1]:
+            v = before[-1] @ m
+            before.append(v / v.sum())
+        for m in moves[:0:-1]:
+            v = m @ after[-1]
+            after.append(v / v.sum())
+        total = np.zeros(k)
+        for p, span in enumerate(parts):
+            at = look(span)
+            dist = block(p, at).marginals(before[p], after[-1 - p])
+            total += dist[self.lettered[at]].sum(axis=0)
+        return total
+
+
+def _groups(texts: list, those: list[int]) -> Iterator[list[int]]:
     """Runs of texts with so many characters together; one long text is a run of its own."""
     now, size = [], 0
     for i in those:
-        if now and size + len(texts[i]) > most:
+        if now and size + len(texts[i]) > PART:
             yield now
             now, size = [], 0
         now.append(i)
@@ -268,15 +332,6 @@ def _groups(texts: list, those: list[int], most: int = 2_000_000) -> Iterator[li
         yield now
 
 
-def _words(text: str) -> list[str]:
-    return [w for w in SPACES.split(text) if w] if OTHER.search(text) else text.split()
-
-
-#: The ASCII white space that parts words, and what Python's split would part besides.
-SPACES = regex.compile(r"[\x20\x09-\x0D]+")
-OTHER = regex.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
-
-
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document (key, lang_pred, score)."""
     workers(docs.sparkSession)
@@ -316,7 +371,7 @@ def runs(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
         for batch in batches:
             out = []
             for t in batch.column(1).to_pylist():
-                if not model.langs or not t or not _words(t):
+                if not model.langs or not t or not words_of(t):
                     out.append([])
                     continue
                 _, _, dist, _ = labeller.words([t])

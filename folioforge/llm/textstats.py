@@ -18,7 +18,7 @@ SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_lines", "n_upper", "n_letters", "n_digits", "n_marks", "n_stops", "n_distinct", "n_long", "n_plain")
 _WORDS = regex.compile(WORD)
 #: White space that Python's split parts words by, but the operators don't.
-_OTHER = regex.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
+_OTHER = regex.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SPACE = regex.compile(r"[\x20\x09-\x0D]")
 #: Characters of a text that are parted into words at once.
 PART = 1 << 20

@@ -39,6 +39,54 @@ def test_blocks_join_like_one_run():
     assert np.allclose(crf.marginals(model, pot, np.array([300])), want / want.sum(axis=1, keepdims=True))
 
 
+def test_expected_counts_like_enumeration():
+    rng = np.random.default_rng(2)
+    k, size = 3, 4
+    emit, moves, start = rng.normal(size=(2, size, k)), rng.normal(size=(k, k)), rng.normal(size=k)
+    mask = np.array([[True] * size, [True] * 3 + [False]])
+    gold = rng.integers(0, k, (2, size))
+    (hot, gold_pairs, gold_first), (node, pairs, first) = crf._expected(emit, moves, start, mask, gold)
+    want_pairs, want_first = np.zeros((k, k)), np.zeros(k)
+    for s in range(2):
+        n, total, want = int(mask[s].sum()), 0.0, np.zeros((size, k))
+        seq_pairs, seq_first = np.zeros((k, k)), np.zeros(k)
+        for path in itertools.product(range(k), repeat=n):
+            w = np.exp(start[path[0]] + sum(emit[s, i, y] for i, y in enumerate(path)) + sum(moves[a, b] for a, b in itertools.pairwise(path)))
+            total += w
+            seq_first[path[0]] += w
+            for i, y in enumerate(path):
+                want[i, y] += w
+            for a, b in itertools.pairwise(path):
+                seq_pairs[a, b] += w
+        assert np.allclose(node[s, :n], want[:n] / total)
+        want_pairs, want_first = want_pairs + seq_pairs / total, want_first + seq_first / total
+    assert np.allclose(pairs, want_pairs) and np.allclose(first, want_first)
+    assert gold_pairs.sum() == 5 and gold_first.sum() == 2 and np.allclose(hot.sum(axis=2), 1)
+
+
+def test_long_texts_part_by_part_like_whole(monkeypatch):
+    model, rng = small(), np.random.default_rng(3)
+    words = "the river und der fluss garden 12 -- stadt village berg " .split()
+    texts = ["  " + " ".join(rng.choice(words, n)) + " " * 200 + " ".join(rng.choice(words, n)) + "\n" for n in (1, 40, 200, 333)] + ["the", "x" * 90, " " * 99 + "der"]
+    want = crf.Labeller(model).documents(texts)
+    for part in (1, 7, 60, 700):
+        monkeypatch.setattr(crf, "PART", part)
+        got = crf.Labeller(model).documents(texts)
+        assert got[0] == want[0] and np.allclose(got[1], want[1])
+
+
+def test_a_long_text_takes_little_memory():
+    import tracemalloc
+
+    model = small()
+    text = " ".join(np.random.default_rng(4).choice("the river und der fluss garden".split(), 2_500_000))
+    tracemalloc.start()
+    langs, _ = crf.Labeller(model).documents([text])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert langs[0] in ("en", "de") and len(text) > 12_000_000 and most < 300_000_000
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     truth = table(spark, sf, "documents").select("doc_id", "lang")
