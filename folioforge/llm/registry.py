@@ -7,7 +7,7 @@ import importlib
 #: Modules with a query each: QUERY is its name, query(spark, sf_dir) its DataFrame, ORACLE_SQL its SQL or None.
 MODULES = (
     "q01_bpe", "q02_simhash", "q03_pii", "q04_language", "q05_rules", "q06_rollups", "q07_media", "q08_mixing", "q09_classifier", "q10_passages",
-    "q11_word_bpe",
+    "q11_word_bpe", "q12_variants", "q13_phrases",
 )
 
 
