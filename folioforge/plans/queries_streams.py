@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioforge.functions import vectors as V
-from folioforge.operators import dml
+from folioforge.operators import dml, insights
 from folioforge.plans.queries_aggregate import EDGES, RECENT, q
 from folioforge.plans.registry import register
 from folioforge.sources import tables as S
 from folioforge.sources.scratch import fresh
-from folioforge.streaming import counters
+from folioforge.streaming import counters, ingestion
 
 
 @register("stream_edge_counts", q(EDGES, select="SELECT matched, CAST(sum(CASE WHEN seq % 3 = 0 THEN -1 ELSE 1 END) AS BIGINT) AS n FROM e WHERE matched IS NOT NULL GROUP BY matched"))
@@ -39,25 +39,53 @@ def stream_recents(spark, d):
     return last.select("user_id", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
 
 
-@register(
-    "stream_ingest",
-    "SELECT c_custkey AS id, CASE WHEN c_custkey = 7 THEN c_name ELSE upper(c_name) END AS title, CASE WHEN c_custkey = 43 THEN NULL ELSE CAST(length(c_name) AS INTEGER) END AS size, "
-    "concat_ws(',', CASE WHEN c_custkey = 7 THEN 'title' END, CASE WHEN c_custkey = 43 THEN 'size' END) AS failed, CASE WHEN c_custkey = 7 OR c_custkey = 43 THEN 'failed' ELSE 'complete' END AS status FROM customer",
+#: Every twentieth upload breaks the title step, every fiftieth (from 7 on) the size step.
+BROKEN_TITLE, BROKEN_SIZE = "c_custkey % 20 = 3", "c_custkey % 50 = 7"
+UPLOADS = (
+    f"u AS (SELECT c_custkey AS id, CASE WHEN {BROKEN_TITLE} THEN c_name ELSE upper(c_name) END AS title, "
+    f"CASE WHEN {BROKEN_SIZE} THEN NULL ELSE CAST(length(c_name) AS INTEGER) END AS size, concat_ws(',', CASE WHEN {BROKEN_TITLE} THEN 'title' END, CASE WHEN {BROKEN_SIZE} THEN 'size' END) AS failed, "
+    f"CASE WHEN {BROKEN_TITLE} OR {BROKEN_SIZE} THEN 'failed' ELSE 'complete' END AS status FROM customer)"
 )
-def stream_ingest(spark, d):
-    """Uploads through steps that fail on some rows; these rows miss only that step."""
-    fails = lambda when, value: F.when(when, F.raise_error(F.lit("broken upload"))).otherwise(value)
-    steps = [
-        ("title", lambda df: df.withColumn("title", fails(F.col("id") == 7, F.upper("title")))),
-        ("size", lambda df: df.withColumn("size", fails(F.col("id") == 43, F.length("title")))),
-    ]
+
+
+def _sized(rows: list[dict]) -> list[dict]:
+    """A step in Python that breaks on some rows."""
+    for row in rows:
+        if row["id"] % 50 == 7:
+            raise ValueError(f"broken upload {row['id']}")
+    return [{"size": len(row["title"])} for row in rows]
+
+
+def _ingested(spark, d):
+    """Uploads after two steps, one of column expressions and one of Python, as a stream of two batches."""
+    wrong = F.when(F.col("id") % 20 == 3, F.concat(F.lit("broken title "), "title"))
+    steps = [ingestion.checked("title", {"title": F.upper("title")}, wrong), ingestion.attempted("size", ["id", "title"], "size int", _sized)]
     rows = S.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"))
     path = fresh(spark, "ingested")
-    query = counters.ingest(counters.replayed(rows), steps, lambda df, n: df.write.mode("overwrite").parquet(f"{path}/{n}"))
-    query.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
-    done = spark.read.option("recursiveFileLookup", "true").schema("id long, title string, failed string, size int, status string").parquet(path)
-    names = F.array_join(F.transform(F.filter(F.split("failed", "; "), lambda x: x != ""), lambda x: F.substring_index(x, ":", 1)), ",")
-    return done.select("id", "title", "size", names.alias("failed"), "status")
+    writer = ingestion.ingest(counters.replayed(rows), steps, lambda df, n: df.write.mode("overwrite").parquet(f"{path}/{n}"))
+    writer.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.option("recursiveFileLookup", "true").schema(f"id long, title string, failed {ingestion.FAILED}, size int, status string").parquet(path)
+
+
+@register("stream_ingest", q(UPLOADS, select="SELECT * FROM u"))
+def stream_ingest(spark, d):
+    """Uploads through steps that fail on some rows; these rows miss only that step."""
+    return _ingested(spark, d).select("id", "title", "size", F.array_join("failed.step", ",").alias("failed"), "status")
+
+
+@register(
+    "ingest_dead_letters",
+    f"SELECT c_custkey AS id, 'title' AS step, 'broken title ' || c_name AS error FROM customer WHERE {BROKEN_TITLE} UNION ALL SELECT c_custkey, 'size', 'ValueError: broken upload ' || c_custkey FROM customer WHERE {BROKEN_SIZE}",
+)
+def ingest_dead_letters(spark, d):
+    """What went wrong with which upload."""
+    return ingestion.dead_letters(_ingested(spark, d)).select("id", "step", "error")
+
+
+@register("ingest_status", q(UPLOADS, select="SELECT status, count(*) AS n FROM u GROUP BY status"))
+def ingest_status(spark, d):
+    """What a poll of the uploads' states sees once all are through."""
+    return insights.histogram(_ingested(spark, d).select(F.array("status").alias("status")), "status", "status")
 
 
 @register("batched_updates", "SELECT c_custkey AS id, upper(c_name) AS name FROM customer")

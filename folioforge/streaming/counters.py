@@ -1,8 +1,8 @@
-"""Incremental behaviour on Structured Streaming: counters, recents, ingestion."""
+"""Incremental behaviour on Structured Streaming: counters and recents."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,58 +44,6 @@ def recents(views: DataFrame, most: int = 10) -> DataFrame:
     return views.groupBy("user_id").applyInPandasWithState(update, "user_id long, items array<long>", "items array<long>, times array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
-Step = Callable[[DataFrame], DataFrame]
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows, read back from a table in the shared folder, so that no later step makes them again."""
-    path = fresh(df.sparkSession, "batch")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def isolated(df: DataFrame, name: str, step: Step, splits: int = 64) -> DataFrame:
-    """The rows of df after a step; those that it fails on stay as they were, with the step and its error in `failed`.
-
-    A part that fails is halved by a hash of its rows until the failing rows are alone. After `splits` halvings what
-    still fails is marked as a whole, so a step that fails on everything ends soon.
-    """
-    rows = F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in df.columns))
-    todo, out = [(df, 0)], []
-    while todo:
-        part, depth = todo.pop()
-        try:
-            out.append(stored(step(part)))
-        except Exception as e:  # whatever a step raises must not stop the others; it is reported in the rows
-            if splits > 0 and depth < 62 and part.limit(2).count() > 1:
-                splits -= 1
-                bit = F.shiftright(rows, depth).bitwiseAND(F.lit(1))
-                todo += [(half, depth + 1) for k in (0, 1) if not (half := part.filter(bit == k)).isEmpty()]
-            else:
-                out.append(part.withColumn("failed", F.concat_ws("; ", F.nullif("failed", F.lit("")), F.lit(f"{name}: {type(e).__name__}"))))
-    found = out[0]
-    for part in out[1:]:
-        found = found.unionByName(part, allowMissingColumns=True)
-    return found
-
-
-def ingest(uploads: DataFrame, steps: list[tuple[str, Step]], sink: Callable[[DataFrame, int], None], every: str | None = None):
-    """A writer that takes each batch of uploads through the steps (R4), and looks for new ones at an interval.
-
-    Each step runs once on rows that are stored. A row on which a step fails misses that step only: it is named in
-    `failed`, the row goes on with the next one, and its status is failed; that of the others is complete.
-    """
-
-    def batch(df: DataFrame, number: int) -> None:
-        df = stored(df.withColumn("failed", F.lit("")))
-        for name, step in steps:
-            df = stored(isolated(df, name, step))
-        sink(df.withColumn("status", F.when(F.col("failed") == "", "complete").otherwise("failed")), number)
-
-    writer = uploads.writeStream.foreachBatch(batch)
-    return writer.trigger(processingTime=every) if every else writer
-
-
 def settled(stream: DataFrame, mode: str) -> DataFrame:
     """What a stream has put out once it has read all that is there: (its columns, batch), the last batch alone if complete."""
     spark, path, seen = stream.sparkSession, fresh(stream.sparkSession, "stream"), []

@@ -40,51 +40,6 @@ def test_recents(spark, tmp_path):
     assert last == {r["user_id"]: [x["item"] for x in r["l"]] for r in want}
 
 
-def test_ingest_reports_failed_steps(spark, tmp_path):
-    done = []
-
-    def broken(df):
-        return df.withColumn("x", F.raise_error(F.lit("no")))
-
-    steps = [("upper", lambda df: df.withColumn("text", F.upper("text"))), ("broken", broken)]
-    rows = spark.createDataFrame([(1, "a")], "id int, text string")
-    q = counters.ingest(stream(spark, tmp_path, rows, 1), steps, lambda df, _: done.extend(df.collect())).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [(r["text"], r["status"], r["failed"].split(":")[0]) for r in done] == [("A", "failed", "broken")]
-
-
 def test_windows(spark, tmp_path):
     finish(counters.windowed_views(stream(spark, tmp_path, S.events(spark, SF)), "1 day"), "windowed", "append")
     assert spark.table("windowed").columns == ["window", "item", "views"]
-
-
-def test_ingest_isolates_the_rows_that_fail(spark, tmp_path):
-    fails = lambda when, value: F.when(when, F.raise_error(F.lit("no"))).otherwise(value)
-    calls = []
-
-    def size(df):
-        calls.append(1)
-        return df.withColumn("size", fails(F.col("id").isin(3, 17), F.length("text")))
-
-    rows = spark.createDataFrame([(i, "x" * i) for i in range(40)] + [(50, None)], "id int, text string")
-    steps = [("size", size), ("upper", lambda df: df.withColumn("text", fails(F.col("id") == 17, F.upper("text"))))]
-    done = []
-    counters.ingest(stream(spark, tmp_path, rows, 1), steps, lambda df, _: done.extend(df.collect())).trigger(availableNow=True).start().awaitTermination()
-    assert len(done) == 41 and len(calls) < 40
-    got = {r["id"]: r for r in done}
-    assert [k for k, r in sorted(got.items()) if r["status"] == "failed"] == [3, 17]
-    assert got[3]["text"] == "XXX" and got[3]["size"] is None and got[3]["failed"].startswith("size: ")
-    assert got[17]["text"] == "x" * 17 and got[17]["failed"].count(";") == 1
-    assert got[20]["size"] == 20 and got[20]["text"] == "X" * 20 and got[50]["text"] is None
-
-
-def test_a_step_that_fails_on_everything_ends_soon(spark):
-    rows = spark.range(500).withColumn("failed", F.lit(""))
-    tries = []
-
-    def broken(df):
-        tries.append(1)
-        raise ValueError
-
-    got = counters.isolated(rows, "broken", broken, splits=5)
-    assert len(tries) <= 11 and got.filter("failed = 'broken: ValueError'").count() == 500
