@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
-from folioforge.operators.search import best_per_row
+from folioforge.operators.vector_index import VectorIndex
 
 
 def reference_lines(lines: DataFrame, last_pages: int = 3) -> DataFrame:
@@ -32,11 +32,14 @@ def merge_lines(lines: DataFrame) -> DataFrame:
     return grouped.groupBy("doc", "entry").agg(F.array_join(F.transform(parts, lambda x: x["line"]), " ").alias("raw"))
 
 
-def best_match(citations: DataFrame, papers: DataFrame, threshold: float = 0.15, least: float = 0.10) -> DataFrame:
-    """The most similar other paper of each citation(qid, source, title, qvec), if it reaches both bounds."""
+def best_match(citations: DataFrame, papers: VectorIndex, threshold: float = 0.15, least: float = 0.10, probes: int | None = None) -> DataFrame:
+    """The most similar other paper of each citation(qid, source, title, qvec), if it reaches both bounds.
+
+    The papers are an index, of which only what can reach the bounds is read; exact unless `probes` is given.
+    """
     asked = citations.filter(F.length("title") >= 10)
-    best = best_per_row(asked, papers, 1, unlike="source")
-    return best.filter((F.col("similarity") >= threshold) & (F.col("similarity") >= least) & (F.col("similarity") > 0))
+    best = papers.best_per_row(asked, 1, unlike="source", least=max(threshold, least, 0.0), probes=probes)
+    return best.filter(F.col("similarity") > 0)
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
