@@ -28,6 +28,7 @@ from functools import lru_cache
 from pathlib import Path
 from typing import NamedTuple
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -43,6 +44,8 @@ PART = 1 << 18
 GROUP = 1 << 16
 #: Later than any merge.
 NEVER = 1 << 30
+#: Added to a letter that ends a word; letters are below it. Letters of the words that are merged in rounds, together.
+MARKED, SHORT = 1 << 10, 64
 _SPACE = regex.compile(r"\s")
 _CHUNK = regex.compile(r"\S+")
 #: Characters that Python's split takes for white space, but the vocabulary doesn't.
@@ -97,7 +100,7 @@ class WordBpe:
         self.text = {i: t for t, i in itertools.chain(self.vocab.items(), self.special.items())}
         self.letters = dict(enumerate(byte_letters()))
         self._derive([tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
-        self._words: dict[str, tuple[int, ...]] = {}
+        self._words: dict[str, Coded] = {}
         self._chunks: dict[str, Coded] = {}
 
     def _derive(self, merges: list[tuple[str, str]]) -> None:
@@ -120,7 +123,17 @@ class WordBpe:
         for rank, (a, b, c) in enumerate(zip(left.tolist(), right.tolist(), new.tolist(), strict=True)):
             own[c] = own[a] and own[b] and crossing[rank] == rank
         self.proposable = {t: i for t, i in ids.items() if own[i]}
-        self.longest = max(map(len, self.proposable))
+        self.made = new  # the token of each rank
+        self.base = np.zeros(2 * MARKED, np.int64)  # the token of each letter, marked or not
+        self.automaton = ahocorasick.Automaton()
+        for token, number in self.proposable.items():
+            ends = token.endswith(self.end) and token != self.end
+            plain = token[: -len(self.end)] if ends else token
+            marked = plain[:-1] + chr(ord(plain[-1]) + MARKED) if ends else plain
+            self.automaton.add_word(marked, number)
+            if len(marked) == 1:
+                self.base[ord(marked)] = number
+        self.automaton.make_automaton()
 
     # -- verification -------------------------------------------------------------------------------------------
 
@@ -159,20 +172,16 @@ class WordBpe:
         """A word with a letter for each of its bytes."""
         return word if word.isascii() and word.isprintable() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
 
-    def propose(self, symbols: str) -> list[int]:
-        """Tokens of a word by greedy longest match, from left to right; each single symbol is a token."""
-        out, at, n, get = [], 0, len(symbols), self.proposable.get
-        while at < n:
-            token = get(symbols[at:] + self.end) if n - at <= self.longest else None
-            if token is not None:
-                out.append(token)
-                break
-            stop = min(n - 1, at + self.longest)
-            while (token := get(symbols[at:stop])) is None:
-                stop -= 1
-            out.append(token)
-            at = stop
-        return out
+    def propose(self, symbols: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of all words, where each word's begin) by greedy longest match from left to right.
+
+        The words are matched as one string: only a word's last letter is marked, so no token reaches over it, and as
+        each letter is a token, the leftmost longest matches leave nothing out.
+        """
+        text = "".join([s[:-1] + chr(ord(s[-1]) + MARKED) for s in symbols])
+        found = np.array(list(self.automaton.iter_long(text)), np.int64).reshape(-1, 2)
+        stops = np.cumsum([len(s) for s in symbols])
+        return found[:, 1], np.concatenate([[0], np.searchsorted(found[:, 0], stops)])
 
     def merge(self, symbols: str) -> tuple[int, ...]:
         """The exact encoding of a word: the merge of lowest rank goes first, the leftmost of equal ones before others."""
@@ -196,53 +205,112 @@ class WordBpe:
                 heapq.heappush(heap, (*m, h, part[h], new))
         return tuple(t for t in part if t >= 0)
 
+    def merge_all(self, symbols: list[str]) -> list[tuple[int, ...]]:
+        """`merge` of many words at once: each round makes the next merge of every word that has one left."""
+        out: list[tuple[int, ...]] = [()] * len(symbols)
+        short = [k for k, s in enumerate(symbols) if len(s) <= SHORT]
+        for k in set(range(len(symbols))).difference(short):
+            out[k] = self.merge(symbols[k])
+        if not short:
+            return out
+        text = "".join([symbols[k][:-1] + chr(ord(symbols[k][-1]) + MARKED) for k in short])
+        part = self.base[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        word = np.repeat(np.arange(len(short)), [len(symbols[k]) for k in short])
+        rank = self._ranks(part, word)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(part):
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            lowest = np.minimum.reduceat(rank, starts)
+            sizes = np.diff(np.append(starts, len(part)))
+            left = np.repeat(lowest < NEVER, sizes)
+            done.append((word[~left], part[~left]))
+            if not left.any():
+                break
+            part, word, rank = part[left], word[left], rank[left]
+            sizes, lowest = sizes[lowest < NEVER], lowest[lowest < NEVER]
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            hit = np.flatnonzero(rank == np.repeat(lowest, sizes))
+            at = hit[np.searchsorted(hit, starts)]  # the leftmost of each word
+            part[at] = self.made[rank[at]]
+            kept = np.ones(len(part), bool)
+            kept[at + 1] = False
+            moved = np.cumsum(kept) - 1
+            part, word, rank = part[kept], word[kept], rank[kept]
+            again = moved[at]
+            again = np.concatenate([again, again[again > 0] - 1])
+            rank[again] = self._ranks(part, word, again)
+        words, parts = np.concatenate([w for w, _ in done]), np.concatenate([p for _, p in done])
+        order = np.argsort(words, kind="stable")
+        ends = np.searchsorted(words[order], np.arange(len(short) + 1)).tolist()
+        flat = parts[order].tolist()
+        for n, k in enumerate(short):
+            out[k] = tuple(flat[ends[n] : ends[n + 1]])
+        return out
+
+    def _ranks(self, part: np.ndarray, word: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """The rank of the merge of each part (or those at some places) with the next one of its word, NEVER if there is none."""
+        at = np.arange(len(part)) if at is None else at
+        after = np.minimum(at + 1, len(part) - 1)
+        key = part[at] * self.size + part[after]
+        place = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        same = (self.pair_keys[place] == key) & (at < after) & (word[at] == word[after])
+        return np.where(same, self.pair_ranks[place], NEVER)
+
     def encode_words(self, words: list[str]) -> tuple[list[tuple[int, ...]], int]:
         """The tokens of each word, and how many words had to be merged exactly."""
         symbols = [self.symbols(w) for w in words]
-        proposed = [self.propose(s) for s in symbols]
-        flat = np.fromiter(itertools.chain.from_iterable(proposed), np.int64)
-        starts = np.cumsum([0, *map(len, proposed)])
+        flat, starts = self.propose(symbols)
         inside = np.ones(max(0, len(flat) - 1), bool)
         inside[starts[1:-1] - 1] = False  # the seam between two words is no pair
         at = np.flatnonzero(inside)
         bad = at[~self.compatible(flat[at], flat[at + 1])] if len(at) else at
         failed = np.unique(np.searchsorted(starts, bad, side="right") - 1).tolist()
-        out = [tuple(p) for p in proposed]
-        for k in failed:
-            out[k] = self.merge(symbols[k])
+        tokens, ends = flat.tolist(), starts.tolist()
+        out = [tuple(tokens[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        for k, merged in zip(failed, self.merge_all([symbols[k] for k in failed]), strict=True):
+            out[k] = merged
         return out, len(failed)
 
     # -- texts --------------------------------------------------------------------------------------------------
 
     def words(self, chunk: str) -> list[str]:
         """The words of a piece of text without white space."""
+        if chunk < "\u0100" and max(chunk) < "\u0100":  # such letters are composed, and each has one lower case
+            if chunk.isalpha():
+                return [chunk.lower()]
+            if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+                return [chunk[:-1].lower(), chunk[-1]]
         chunk = unicodedata.normalize("NFC", chunk) if not chunk.isascii() else chunk
         chunk = chunk.lower() if chunk.isascii() else chunk.translate(_LOWER).lower()
         if not chunk.isascii() and _LATER.search(chunk):
             return [chunk[m.start() : m.end()] for m in self.find.finditer(_LATER.sub("!", chunk))]
         return self.find.findall(chunk)
 
-    def learn(self, chunks: set[str]) -> dict[str, Coded]:
-        """What new chunks are encoded as; their new words are proposed, checked and mended together."""
+    def learn(self, chunks: set[str]) -> None:
+        """Puts down what new chunks are encoded as; their new words are proposed, checked and mended together."""
         parted = {c: self.words(c) for c in chunks}
-        new = list({w for ws in parted.values() for w in ws} - self._words.keys())
+        known = self._words
+        new = list(set(itertools.chain.from_iterable(parted.values())).difference(known))
         for k in range(0, len(new), GROUP):
             group = new[k : k + GROUP]
-            self._words.update(zip(group, self.encode_words(group)[0], strict=True))
-        out = {}
+            for word, ids in zip(group, self.encode_words(group)[0], strict=True):
+                known[word] = Coded(len(ids), " ".join(map(str, ids)), " ".join(map(self.text.__getitem__, ids)))
+        out = self._chunks
         for chunk, words in parted.items():
-            ids = [i for w in words for i in self._words[w]]
-            out[chunk] = Coded(len(ids), " ".join(map(str, ids)), " ".join(map(self.text.__getitem__, ids)))
-        if len(self._words) > MEMO:
-            self._words = {}
-        return out
+            if len(words) == 1:
+                out[chunk] = known[words[0]]
+            else:
+                n, ids, tokens = zip(*map(known.__getitem__, words), strict=True)
+                out[chunk] = Coded(sum(n), " ".join(ids), " ".join(tokens))
+        if len(known) > MEMO:
+            known.clear()
 
-    def parts(self, text: str) -> Iterator[list[str | Coded]]:
-        """The chunks of a text between white space, and its special tokens, in blocks of bounded size."""
+    def parts(self, text: str) -> Iterator[list[str]]:
+        """The chunks of a text between white space, in blocks of bounded size; special tokens have a space before them."""
         if self.specials and any(s in text for s in self.special):
             for k, part in enumerate(self.specials.split(text)):
                 if k % 2:
-                    yield [Coded(1, str(self.special[part]), part)]
+                    yield [" " + part]
                 else:
                     yield from self._plain_parts(part)
         else:
@@ -260,7 +328,7 @@ class WordBpe:
 
     def encode_texts(self, texts: list[str]) -> Iterator[list[Coded]]:
         """What the chunks of each text are encoded as; short texts of one call are learnt together."""
-        group: list[list[str | Coded]] = []
+        group: list[list[str]] = []
         size = 0
         for text in texts:
             if len(text) > PART:
@@ -275,15 +343,19 @@ class WordBpe:
                 group, size = [], 0
         yield from self._group(group)
 
-    def _group(self, group: list[list[str | Coded]]) -> Iterator[list[Coded]]:
+    def _group(self, group: list[list[str]]) -> Iterator[list[Coded]]:
         known = self._chunks
         if len(known) > MEMO:
             known.clear()
-        coded = self.learn({x for chunks in group for x in chunks if x.__class__ is str and x not in known})
-        long = {c: v for c, v in coded.items() if len(c) > MEMO_CHARS}
-        known.update((c, v) for c, v in coded.items() if len(c) <= MEMO_CHARS)
+        for special, number in self.special.items():
+            known[" " + special] = Coded(1, str(number), special)
+        new = set(itertools.chain.from_iterable(group)).difference(known)
+        self.learn(new)
         for chunks in group:
-            yield [known.get(x) or long[x] if x.__class__ is str else x for x in chunks]
+            yield list(map(known.__getitem__, chunks))
+        for chunk in new:
+            if len(chunk) > MEMO_CHARS:
+                del known[chunk]
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for coded in next(self.encode_texts([text])) for i in coded.ids.split()]
@@ -356,9 +428,10 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
         for batch in batches:
             n, ids, decoded = [], [], []
             for coded in bpe.encode_texts([t or "" for t in batch.column(1).to_pylist()]):
-                n.append(sum(c.n for c in coded))
-                ids.append(sha(" ".join([c.ids for c in coded]).encode()).hexdigest())
-                decoded.append(sha(" ".join([c.tokens for c in coded]).encode()).hexdigest())
+                many, numbers, tokens = zip(*coded, strict=True) if coded else ((), (), ())
+                n.append(sum(many))
+                ids.append(sha(" ".join(numbers).encode()).hexdigest())
+                decoded.append(sha(" ".join(tokens).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(key, text).mapInArrow(run, f"`{quoted}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -54,13 +54,26 @@ def test_every_code_point_like_the_library():
         check(text)
 
 
+def greedy(own, symbols):
+    """Longest match by definition."""
+    out, at = [], 0
+    while at < len(symbols):
+        stops = range(len(symbols), at, -1)
+        token, at = next((own.proposable[t], stop) for stop in stops if (t := symbols[at:stop] + (own.end if stop == len(symbols) else "")) in own.proposable)
+        out.append(token)
+    return tuple(out)
+
+
 def test_exact_merging_of_failing_words_only():
     """Words that greedy matching gets wrong are found by the pair check, and no others are merged."""
     own = word_bpe.vocabulary(PATH)
     rng = np.random.default_rng(7)
     words = sorted({"".join(rng.choice(list("aeinorsthl"), n)) for n in rng.integers(1, 20, 5000)})
     symbols = [own.symbols(w) for w in words]
-    wrong = [tuple(own.propose(s)) != own.merge(s) for s in symbols]
+    flat, starts = own.propose(symbols)
+    assert [tuple(flat[a:b].tolist()) for a, b in zip(starts, starts[1:], strict=False)] == [greedy(own, s) for s in symbols]
+    wrong = [greedy(own, s) != own.merge(s) for s in symbols]
+    assert own.merge_all(symbols) == [own.merge(s) for s in symbols]
     coded, merged = own.encode_words(words)
     assert coded == [own.merge(s) for s in symbols] and 0 < merged == sum(wrong) < len(words)
 
