@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from operator import and_
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -17,20 +18,24 @@ from folioforge.functions import text as T
 from folioforge.functions import vectors as V
 from folioforge.sources.package import importable
 
+if TYPE_CHECKING:
+    from folioforge.operators.text_index import TextIndex, TrigramIndex
+
 #: BM25's parameters (Robertson and Zaragoza 2009).
 K1, B = 1.2, 0.75
 #: Rows of a block of vectors.
 BLOCK = 1024
 
 
-def keyword(chunks: DataFrame, q: str, top_k: int = 5, most: int | None = None) -> DataFrame:
+def keyword(chunks: DataFrame, q: str, top_k: int = 5, most: int | None = None, index: TrigramIndex | None = None) -> DataFrame:
     """Literal occurrences summed by paper, with the first matching chunk highlighted.
 
-    `most` scans only the first so many matching chunks by id, as the reference does; by default all are scanned.
+    With an index of trigrams only the texts that have all of the query's are read; without one all texts are scanned.
+    `most` takes only the first so many matching chunks by id, as the reference does; by default all are taken.
     """
     if not q.strip():
         return chunks.select("paper_id", F.lit(0.0).alias("score"), F.lit("").alias("snippet")).limit(0)
-    hits = chunks.filter(T.contains_ci("text", q))
+    hits = index.containing(chunks, q) if index else chunks.filter(T.contains_ci("text", q))
     if most:
         hits = hits.orderBy("id").limit(most)
     found = hits.groupBy("paper_id").agg(F.sum(T.occurrences("text", q)).cast("double").alias("score"), F.min_by("text", "id").alias("first"))
@@ -39,7 +44,7 @@ def keyword(chunks: DataFrame, q: str, top_k: int = 5, most: int | None = None)
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(id, term, tf, length) of every chunk; write it partitioned by term to keep it as an index."""
+    """(id, term, tf, length) of every chunk; `text_index.TextIndex` keeps them with positions, in blocks."""
     terms = chunks.select("id", T.tokens("text").alias("terms"))
     return terms.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
 
@@ -69,24 +74,6 @@ def bm25(chunks: DataFrame, q: str) -> DataFrame:
     return counted.filter(every).crossJoin(F.broadcast(stats)).select("id", rank.alias("rank"))  # stats is one row
 
 
-def ranked_by_postings(index: DataFrame, q: str) -> DataFrame:
-    """(id, rank) as `bm25` gives it, from kept postings(id, term, tf, length): only the query's terms are read.
-
-    The corpus' size and mean length are taken from the index too; a text without any term isn't in it.
-    """
-    terms = sorted({t for t in index.sparkSession.range(1).select(T.tokens(F.lit(q)).alias("t")).first()["t"]})
-    if not terms:
-        return index.select("id", F.lit(0.0).alias("rank")).limit(0)
-    corpus = index.groupBy("id").agg(F.first("length").alias("length")).agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-    hits = index.filter(F.col("term").isin(*terms))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row a term
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf").cast("double")
-    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus)).groupBy("id").agg(F.sum(part).alias("rank"), F.count("*").alias("n"))
-    return scored.filter(F.col("n") == len(terms)).select("id", "rank")
-
-
 def similarity(vec, query: list[float]) -> Column:
     return V.cosine(vec, F.array(*(F.lit(float(x)) for x in query)))
 
@@ -159,13 +146,15 @@ def _nearest_of_blocks(x: pa.StructArray, y: pa.StructArray, k: int, apart: bool
     return x.field("key").take(pa.array(at)), y.field("key").take(pa.array(to)), out
 
 
-def hybrid(chunks: DataFrame, q: str, query: list[float], s: SearchSettings | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, q: str, query: list[float], s: SearchSettings | None = None, index: TextIndex | None = None) -> DataFrame:
     """Text rank and similarity, each scaled over the candidates and weighed; best chunk per paper.
 
-    Candidates are the best by text rank. Only the scores that reach min_score stay. The scores are rounded last.
+    Candidates are the best by text rank, from a kept index if there is one, otherwise by a scan of the texts. Only the
+    scores that reach min_score stay. The scores are rounded last.
     """
     s = s or SearchSettings()
-    ranked = bm25(chunks, q).orderBy(F.desc("rank"), "id").limit(s.candidates).join(chunks, "id").withColumn("similarity", similarity("vec", query))
+    best = index.best(q, s.candidates) if index else bm25(chunks, q).orderBy(F.desc("rank"), "id").limit(s.candidates)
+    ranked = best.join(chunks, "id").withColumn("similarity", similarity("vec", query))
     everything = Window.partitionBy()  # the candidates, a bounded number
     scored = ranked.withColumn("score", s.bm25_weight * V.min_max("rank", everything) + s.vector_weight * V.min_max("similarity", everything))
     first = Window.partitionBy("paper_id").orderBy(F.desc("score"), F.desc("rank"), "id")
@@ -195,9 +184,12 @@ def post_filtered(hits: DataFrame, papers: DataFrame, key: str = "paper_id") ->
     return hits.join(papers, key)
 
 
-def autocomplete(papers: DataFrame, q: str, n: int = 5, authors_of: int = 1000) -> DataFrame:
-    """Titles and distinct authors with q, n of each."""
-    titles = papers.filter(T.contains_ci("title", q)).orderBy("id").limit(n).select(F.lit("paper").alias("kind"), F.col("title").alias("value"))
+def autocomplete(papers: DataFrame, q: str, n: int = 5, authors_of: int = 0, index: TrigramIndex | None = None) -> DataFrame:
+    """Titles and distinct authors with q, n of each (Q12, U6); titles by an index of their trigrams if there is one.
+
+    `authors_of` looks at the authors of the first so many papers only, as the reference does; 0: of all.
+    """
+    titles = (index.containing(papers, q, "title") if index else papers.filter(T.contains_ci("title", q))).orderBy("id").limit(n).select(F.lit("paper").alias("kind"), F.col("title").alias("value"))
     some = papers.orderBy("id").limit(authors_of) if authors_of else papers
     names = some.select(F.explode("authors").alias("value")).filter(T.contains_ci("value", q)).distinct().orderBy("value").limit(n)
     return titles.unionByName(names.select(F.lit("author").alias("kind"), "value"))

@@ -8,9 +8,10 @@ from folioforge.config import SearchSettings
 from folioforge.functions import vectors as V
 from folioforge.functions.text import contains_ci, occurrences
 from folioforge.operators import citations, rag, search
+from folioforge.operators.text_index import TextIndex, TrigramIndex
 from folioforge.operators.vector_index import VectorIndex
 from folioforge.plans.queries_aggregate import PAPERS, q
-from folioforge.plans.registry import register
+from folioforge.plans.registry import ORACLES, register
 from folioforge.sources import tables as S
 from folioforge.sources.scratch import fresh
 
@@ -54,6 +55,20 @@ def keyword_search(spark, d):
     return search.keyword(S.chunks(spark, d), "tion", 5)
 
 
+@register("keyword_by_trigrams", ORACLES["keyword_search"])
+def keyword_by_trigrams(spark, d):
+    """Q1, F6 from an index of trigrams."""
+    c = S.chunks(spark, d)
+    return search.keyword(c, "tion", 5, index=TrigramIndex.build(c, fresh(spark, "trigrams")))
+
+
+@register("substring_hits", "SELECT doc_id AS id FROM documents WHERE contains(lower(text), 'ing the')")
+def substring_hits(spark, d):
+    """every text with a run of characters across words."""
+    c = S.chunks(spark, d).select("id", "text")
+    return TrigramIndex.build(c, fresh(spark, "trigrams")).containing(c, "ING the").select("id")
+
+
 @register("keyword_counts", "SELECT doc_id AS id, len(regexp_extract_all(text, '(?i)the')) AS n FROM documents")
 def keyword_counts(spark, d):
     """Q1: occurrences of every document."""
@@ -72,13 +87,45 @@ def postings(spark, d):
     return search.postings(S.chunks(spark, d)).select("id", "length", "term", "tf")
 
 
-@register("fts_by_postings", q(CHUNKS.replace(" JOIN embeddings ON doc_id = vec_id", "").replace("embedding AS vec", "NULL AS vec"), TERMS, "y AS (SELECT * FROM w WHERE len(terms) > 0)", bm25_sql(["and", "the"], "y"), select="SELECT id, round(rank, 6) AS rank FROM r ORDER BY rank DESC, id LIMIT 20"))
+WORDS = CHUNKS.replace(" JOIN embeddings ON doc_id = vec_id", "").replace("embedding AS vec", "NULL AS vec")
+RANKED = "SELECT id, round(rank, 6) AS rank FROM r ORDER BY rank DESC, id LIMIT 20"
+
+
+def text_index(spark, d, analyzer: str = "simple") -> TextIndex:
+    """An index of all chunks' texts, made anew."""
+    return TextIndex.build(S.chunks(spark, d), fresh(spark, "text-index"), analyzer)
+
+
+def rounded(ranked):
+    return ranked.select("id", F.round("rank", 6).alias("rank"))
+
+
+@register("fts_by_postings", q(WORDS, TERMS, bm25_sql(["and", "the"]), select=RANKED))
 def fts_by_postings(spark, d):
-    """Q4 from a kept index, which is written by term and read for the query's terms only."""
-    path = fresh(spark, "postings")
-    search.postings(S.chunks(spark, d)).repartition("term").sortWithinPartitions("term").write.parquet(path)
-    ranked = search.ranked_by_postings(spark.read.parquet(path), "The and")
-    return ranked.orderBy(F.desc("rank"), "id").limit(20).select("id", F.round("rank", 6).alias("rank"))
+    """Q4, T4 from a kept index: the best by block pruning."""
+    return rounded(text_index(spark, d).best("The and", 20))
+
+
+#: Words with the stems one and ore.
+STEMS = "list_transform(terms, lambda t: CASE WHEN regexp_full_match(t, 'on(e|es|ed|edly|ing|ingly)') THEN 'one' WHEN regexp_full_match(t, 'or(e|es|ed|edly|ing|ingly)') THEN 'ore' ELSE t END)"
+
+
+@register("fts_stemmed", q(WORDS, TERMS, f"y AS (SELECT id, paper_id, vec, {STEMS} AS terms FROM w)", bm25_sql(["one", "ore"], "y"), select=RANKED))
+def fts_stemmed(spark, d):
+    """Q4, F14 as the reference's configuration has it: English stems, stop words left out."""
+    return rounded(text_index(spark, d, "english").best("The oning and ores", 20))
+
+
+@register("fts_all_hits", q(WORDS, TERMS, f"y AS (SELECT id, paper_id, vec, {STEMS} AS terms FROM w)", bm25_sql(["one", "ore"], "y"), select="SELECT id, round(rank, 6) AS rank FROM r"))
+def fts_all_hits(spark, d):
+    """every text with both stems."""
+    return rounded(text_index(spark, d, "english").ranked("ored ones"))
+
+
+@register("fts_phrase", q(WORDS, TERMS, bm25_sql(["and", "the"]), "p AS (SELECT r.* FROM r JOIN w USING (id) WHERE list_contains(list_transform(range(1, len(terms)), lambda i: terms[i] = 'and' AND terms[i + 1] = 'the'), true))", select=RANKED.replace("FROM r", "FROM p")))
+def fts_phrase(spark, d):
+    """Q4: words next to each other, by their positions."""
+    return rounded(text_index(spark, d).best("and the", 20, phrase=True))
 
 
 @register(
@@ -96,6 +143,13 @@ def hybrid_search(spark, d):
     return search.hybrid(chunks(spark, d), "the and", query_vector(spark, d))
 
 
+@register("hybrid_by_index", ORACLES["hybrid_search"])
+def hybrid_by_index(spark, d):
+    """Q2 with candidates from a kept index."""
+    both = chunks(spark, d)
+    return search.hybrid(both, "the and", query_vector(spark, d), index=TextIndex.build(both, fresh(spark, "text-index"), "simple"))
+
+
 @register("semantic_fallback", q(CHUNKS, f"k AS (SELECT id, paper_id, {SIM} AS sim FROM c ORDER BY sim DESC, id LIMIT 5)", select="SELECT paper_id, id, round(sim, 4) AS score FROM k WHERE sim >= 0.25"))
 def semantic_fallback(spark, d):
     """Q3, Q11: no chunk has the term, so vectors decide."""
@@ -175,12 +229,26 @@ def citation_best_match(spark, d):
     return citations.best_match(cites, indexed(spark, d)).select("qid", "id", F.round("similarity", 4).alias("similarity"))
 
 
-@register("autocomplete", q(PAPERS, "a AS (SELECT DISTINCT s_name AS author FROM supplier)", select="SELECT 'paper' AS kind, title AS value FROM (SELECT title FROM p WHERE contains(lower(title), 'sm') ORDER BY id LIMIT 5) UNION ALL SELECT 'author', author FROM (SELECT author FROM a WHERE contains(lower(author), 'sm') ORDER BY author LIMIT 5)"))
-def autocomplete(spark, d):
-    """Q12, U6, T3."""
+AUTOCOMPLETE = q(PAPERS, "a AS (SELECT DISTINCT s_name AS author FROM supplier)", select="SELECT 'paper' AS kind, title AS value FROM (SELECT title FROM p WHERE contains(lower(title), 'sm') ORDER BY id LIMIT 5) UNION ALL SELECT 'author', author FROM (SELECT author FROM a WHERE contains(lower(author), 'sm') ORDER BY author LIMIT 5)")
+
+
+def titles_and_names(spark, d):
     papers = S.papers(spark, d).withColumn("authors", F.array().cast("array<string>"))
     names = S.table(spark, d, "supplier").select(F.lit(0).cast("long").alias("id"), F.lit(None).cast("string").alias("title"), F.array("s_name").alias("authors"))
-    return search.autocomplete(papers.select("id", "title", "authors").unionByName(names), "sm", authors_of=0)
+    return papers.select("id", "title", "authors").unionByName(names)
+
+
+@register("autocomplete", AUTOCOMPLETE)
+def autocomplete(spark, d):
+    """Q12, U6, T3."""
+    return search.autocomplete(titles_and_names(spark, d), "sm")
+
+
+@register("autocomplete_by_trigrams", AUTOCOMPLETE.replace("'sm'", "'ste'"))
+def autocomplete_by_trigrams(spark, d):
+    """Q12 with an index of the titles' trigrams."""
+    papers = titles_and_names(spark, d)
+    return search.autocomplete(papers, "STE", index=TrigramIndex.build(papers.filter("title is not null"), fresh(spark, "trigrams"), "title"))
 
 
 @register(

@@ -85,14 +85,6 @@ def test_best_per_row_like_brute_force(spark, monkeypatch):
         assert sum(got[k][0] == want[k][0] for k in want) >= len(want) - 3  # the last digit may break a tie otherwise
 
 
-def test_postings_rank_like_texts(spark):
-    rows = [(1, "the river and the bank"), (2, "River"), (3, ""), (4, None), (5, "the riverbank, the bank: THE bank"), (6, "bank river x-river")]
-    c = spark.createDataFrame(rows, "id long, text string").filter("text <> ''")
-    for q in ("river bank", "the", "nothing", "x river", "a.b"):
-        a, b = ({r["id"]: round(r["rank"], 9) for r in d.collect()} for d in (search.bm25(c, q), search.ranked_by_postings(search.postings(c), q)))
-        assert a == b
-
-
 def test_fallback_wants_whole_terms(spark):
     c = spark.createDataFrame([(1, 1, "riverbank", [1.0, 0.0]), (2, 2, "lake", [0.0, 1.0])], "id long, paper_id long, text string, vec array<float>")
     assert [r["id"] for r in search.semantic(c, "river", [0.0, 1.0], SearchSettings(min_score=0.2)).collect()] == [2]
