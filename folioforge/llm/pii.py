@@ -11,8 +11,9 @@ reaches IC itself, t never occurs without c, and it is removed; below that it is
 occurrence in any document.
 
 A null text is the empty text and stays null when it is sanitised. Repeated rows get equal spans. An empty table gives
-an empty table. Extra columns are kept by `sanitise`, whatever their names. Time grows with a text's length and its
-matches, not with their product: arrays are built in blocks and texts cut from chunks.
+an empty table. Extra columns are kept by `sanitise`, whatever their names. Time grows with a text's length, its
+matches and its terms, not with a product of them: arrays are built in blocks, texts cut from chunks, and terms found by
+sorting them together with the text's words. A word is a run of letters; it is a term if it is one in lower case.
 
 The patterns are the plain ones written so that Java's engine takes linear time and no deep recursion: runs that
 nothing can follow are possessive, and a match starts at the beginning of a run or where the last match ended.
@@ -154,9 +155,28 @@ def _salted(rows: DataFrame) -> DataFrame:
 
 
 def _term_spans(body: Column) -> Column:
-    """Spans of the terms that columns `part` and `full` have patterns of; null patterns match nothing."""
-    spans = (F.when(F.col(c).isNotNull(), _spans(body, F.col(c), F.lit(len(KINDS) + k))) for k, c in enumerate(("part", "full")))
-    return F.concat(*(F.coalesce(x, F.expr(f"cast(array() as array<{SPAN}>)")) for x in spans))
+    """Spans of the words whose lower case is in column `terms`, a sorted array of (term, full); null: none.
+
+    Words and terms are sorted together, a term before its words. So the number of terms up to a word tells which one
+    it can be.
+    """
+    item = "struct<word:string,start:int,end:int,value:string>"
+
+    def found(x: Column) -> Column:
+        words = F.transform(x["words"], lambda s: F.struct(F.lower(s["value"]).alias("word"), s["start"], s["end"], s["value"]).cast(item))
+        terms = F.transform(x["terms"], lambda t: F.struct(t["term"].alias("word"), F.lit(-1), F.lit(-1), F.lit("")).cast(item))
+        return _let(F.array_sort(F.concat(terms, words)), lambda items: placed(items, x["terms"]))
+
+    def placed(items: Column, terms: Column) -> Column:
+        upto = _running(items, lambda at, i: at + F.when(i["start"] < 0, 1).otherwise(0))
+        asked = F.filter(F.arrays_zip(items.alias("i"), upto.alias("at")), lambda p: (p["i"]["start"] >= 0) & (p["at"] > 0))
+        near = F.transform(asked, lambda p: F.struct(p["i"].alias("i"), F.get(terms, p["at"] - 1).alias("t")))
+        same = F.filter(near, lambda p: p["t"]["term"] == p["i"]["word"])
+        kind = lambda p: F.lit(len(KINDS)) + p["t"]["full"].cast("int")
+        return F.transform(same, lambda p: F.struct(p["i"]["start"], kind(p), p["i"]["end"], p["i"]["value"]).cast(SPAN))
+
+    both = F.struct(_spans(body, F.lit(TERM), F.lit(0)).alias("words"), F.col("terms").alias("terms"))
+    return F.when(F.col("terms").isNotNull(), _let(both, found)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = 0.9, support: int = 3) -> DataFrame:
@@ -205,8 +225,9 @@ def _content(total: int) -> Column:
     return -F.log2(F.col("n_c") / F.lit(float(total)))
 
 
-def _terms(column: str | Column) -> Column:
-    return F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(TERM), F.lit(0)))).alias("term")
+def _terms(text: Column) -> Column:
+    """The distinct words of a text, each in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
 def _entity(span: Column) -> Column:
@@ -220,25 +241,31 @@ def _context(chunks: Column, span: Column) -> Column:
     after = _piece(chunks, span["end"], span["end"] + REACH)
     before = F.when(span["start"] > REACH, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
     after = F.when(F.length(after) == REACH, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
-    return F.lower(F.concat_ws("\n", before, after))
+    return F.concat_ws("\n", before, after)
+
+
+def _mention(chunks: Column, span: Column) -> Column:
+    """(entity, context, terms) of a span; a context is told apart by a digest of its lower case."""
+    seen = _let(_context(chunks, span), lambda c: F.struct(F.md5(F.lower(c)).alias("context"), _terms(c).alias("terms")))
+    return F.struct(_entity(span).alias("entity"), seen["context"].alias("context"), seen["terms"].alias("terms"))
 
 
 def _corpus(docs: DataFrame, key: str, text: str, alpha: float, support: int) -> tuple[DataFrame, DataFrame | None]:
-    """(key, digest, salt, base) of all documents; and (digest, part, full), patterns of the disclosing terms of each
-    text that has some, those to generalise and those to remove (None if there are none)."""
+    """(key, digest, salt, base) of all documents; and (digest, terms) of each text with disclosing terms: a sorted
+    array of (term, full), full where the term is to be removed (None if there are none)."""
     body = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(key).alias("key"), F.md5(body).alias("digest"), _salt(), body.alias("body"), base_spans(body).alias("base"))
-    around = _let(_chunks(F.col("body")), lambda c: F.transform("base", lambda s: F.struct(_entity(s).alias("entity"), _context(c, s).alias("context"))))
+    around = _let(_chunks(F.col("body")), lambda c: F.transform("base", partial(_mention, c)))
     found = cut(base.withColumn("around", F.when(F.size("base") > 0, around)).drop("body"), "pii-spans")
 
     total = found.select("digest").distinct().count()
-    mentions = found.filter("around is not null").select("digest", F.explode("around").alias("m")).select("digest", "m.entity", "m.context")
+    mentions = found.filter("around is not null").select("digest", F.explode("around").alias("m")).select("digest", "m.*")
     mentions = cut(mentions.distinct(), "pii-mentions")
     found = found.drop("around")
     entities = mentions.select("entity", "digest").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    pairs = mentions.select("entity", "context").distinct().select("entity", _terms("context")).groupBy("entity", "term").agg(F.count("*").alias("contexts"))
+    pairs = mentions.select("entity", "context", "terms").distinct().select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("contexts"))
     pairs = cut(pairs.filter(F.col("contexts") >= support).select("entity", "term"), "pii-pairs")
-    nearby = mentions.select("digest", "entity", _terms("context"))
+    nearby = mentions.select("digest", "entity", F.explode("terms").alias("term"))
     both = nearby.join(pairs, ["entity", "term"], "left_semi").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
     # the texts with t near any entity are some of the texts with t, so this bounds the PMI from above
     at_least = nearby.select("term", "digest").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
@@ -248,7 +275,9 @@ def _corpus(docs: DataFrame, key: str, text: str, alpha: float, support: int) ->
         return found, None
 
     # every text once; its terms that are candidates, and in how many texts each occurs
-    words = docs.select(F.md5(body).alias("digest"), _terms(F.lower(body)))
+    # (a digest beside an explode would be worked out again for each word, so it goes into the array)
+    held = F.struct(F.md5(body).alias("digest"), _terms(body).alias("terms"))
+    words = docs.select(F.explode(_let(held, lambda x: F.transform(x["terms"], lambda t: F.struct(x["digest"].alias("digest"), t.alias("term"))))).alias("w")).select("w.*")
     uses = cut(words.join(pairs.select("term").distinct(), "term", "left_semi").distinct(), "pii-uses")
     freq = uses.groupBy("term").agg(F.count("*").alias("n_t"))
     strength = pairs.join(freq, "term").select("term", _pmi(total).alias("pmi"), _content(total).alias("ic"))
@@ -257,9 +286,7 @@ def _corpus(docs: DataFrame, key: str, text: str, alpha: float, support: int) ->
     if telling.isEmpty():
         return found, None
 
-    any_of = lambda those: F.array_sort(F.collect_set(F.when(those, F.col("term"))))
-    marks = uses.join(telling, "term").groupBy("digest").agg(any_of(~F.col("full")).alias("part"), any_of(F.col("full")).alias("full"))
-    quoted = lambda c: F.when(F.size(c) > 0, F.concat(F.lit("(?iu)(?<!\\p{L})(?:"), F.array_join(c, "|"), F.lit(")(?!\\p{L})"))).alias(c)
-    marks = cut(marks.select("digest", quoted("part"), quoted("full")), "pii-marks")
+    marks = uses.join(telling, "term").groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("term", "full"))).alias("terms"))
+    marks = cut(marks, "pii-marks")
     release(mentions, uses, pairs)
     return found, marks
