@@ -33,6 +33,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "revise": change(REVISE, F.col("rough"), F.col("n_tokens")),
         "empty": change(DELETE, F.col("n_tokens"), none).filter("old_tokens = 0"),
     }
-    for name, changes in [*batches.items(), *batches.items()]:
+    for name, changes in batches.items():
+        rollup.commit(name, changes)
+    rollup.compact()
+    for name, changes in batches.items():
         rollup.commit(name, changes)
     return rollup.totals()

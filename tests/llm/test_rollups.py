@@ -97,3 +97,74 @@ def test_a_crash_between_any_two_steps_loses_and_doubles_nothing(spark, tmp_path
     assert totals() == {("a", "en", "v", 1, 5), ("b", "en", "v", 2, 6)}
     r.compact()
     assert totals() == {("a", "en", "v", 1, 5), ("b", "en", "v", 2, 6)}
+
+
+def test_clean_up_keeps_totals_and_bounds_what_is_listed(spark, tmp_path):
+    """After 40 batches in rounds of compaction and clean-up a commit lists no more than it did at first."""
+    import os
+
+    folder = str(tmp_path / "r")
+    r = Rollup(spark, folder)
+    r.SEGMENTS = 2
+    one = spark.createDataFrame([("insert", "a", "en", "v", None, 5)], DDL).cache()
+    listed = []
+    for k in range(5):
+        for m in range(4):
+            assert r.commit(f"{k}-{m}", one)
+        r.compact()
+        assert r.clean(grace=3600) == 0  # nothing is old enough
+        assert r.clean(grace=0) > 0
+        listed.append((len(r._commits()), len(r._listed("compactions")), len(r._listed("data"))))
+        assert {tuple(x) for x in r.totals().collect()} == {("a", "en", "v", 4 * (k + 1), 20 * (k + 1))}
+    assert set(listed) == {(0, 1, 1)} and len(os.listdir(f"{folder}/segments")) <= 3
+    assert not any(r.commit(f"{k}-{m}", one) for k in range(5) for m in range(4))
+    assert r.clean(grace=0) == 0
+
+
+def test_clean_up_of_crashed_and_doubled_attempts(spark, tmp_path, monkeypatch):
+    import pytest
+
+    r = Rollup(spark, str(tmp_path / "r"))
+    one = spark.createDataFrame([("insert", "a", "en", "v", None, 5)], DDL)
+    with monkeypatch.context() as m:
+        m.setattr(Rollup, "_mark", crash)
+        with pytest.raises(Crash):
+            r.commit("1", one)
+    with monkeypatch.context() as m:
+        m.setattr(Rollup, "committed", lambda *a: False)
+        assert r.commit("2", one) and r.commit("2", one)
+    assert len(r._listed("data")) == 3 and r.clean(grace=0) >= 2
+    assert len(r._listed("data")) == 1 and {tuple(x) for x in r.totals().collect()} == {("a", "en", "v", 1, 5)}
+    r.compact()
+    with monkeypatch.context() as m:  # a clean-up that stops after its first removal
+        drop, calls = Rollup._drop, []
+
+        def once(self, kind, name):
+            if calls:
+                raise Crash
+            calls.append(1)
+            drop(self, kind, name)
+
+        m.setattr(Rollup, "_drop", once)
+        with pytest.raises(Crash):
+            r.clean(grace=0)
+    assert {tuple(x) for x in r.totals().collect()} == {("a", "en", "v", 1, 5)} and not r.commit("2", one)
+    assert r.clean(grace=0) > 0 and {tuple(x) for x in r.totals().collect()} == {("a", "en", "v", 1, 5)}
+
+
+def test_two_compactions_at_once_and_long_names(spark, tmp_path, monkeypatch):
+    r = Rollup(spark, str(tmp_path / "r"))
+    one = spark.createDataFrame([("insert", "a", "en", "v", None, 5)], DDL)
+    long = "name/" * 200
+    assert r.commit(long, one) and not r.commit(long, one)
+    state = r._last()
+    r.compact()
+    with monkeypatch.context() as m:  # the other compaction began before the first one ended
+        m.setattr(Rollup, "_last", lambda self: state)
+        assert r.commit("late", one)
+        r.compact()
+    want = {("a", "en", "v", 2, 10)}
+    assert {tuple(x) for x in r.totals().collect()} == want and not r.commit(long, one) and not r.commit("late", one)
+    r.compact()
+    r.clean(grace=0)
+    assert {tuple(x) for x in r.totals().collect()} == want and not r.commit(long, one) and not r.commit("late", one)
