@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import cut, release, workers
 
 #: Positions of a shard.
-SHARD = 1 << 22
+SHARD = 1 << 21
 #: Blocks of bits that grow together: first words whose bitmaps have so many are extended at once.
-RUN = 1 << 18
+RUN = 1 << 17
 #: Keys that a task sums up at once.
 RANGE = 1 << 21
 #: Bytes of a text that are parted into words at once.
@@ -100,10 +100,12 @@ class Bitmaps(NamedTuple):
 class Shard:
     """Words of a run of texts, with their bitmaps."""
 
-    def __init__(self, langs: list[str], lang: np.ndarray, words: list[str], bitmaps: Bitmaps):
+    def __init__(self, langs: list[str], lang: np.ndarray, words: pa.Array, bitmaps: Bitmaps):
         self.langs, self.lang, self.words, self.maps = langs, lang, words, bitmaps
-        named = [xxhash.xxh64_intdigest(f"{langs[k]}\0{w}") for k, w in zip(lang.tolist(), words, strict=True)]
-        self.hash = np.array(named, np.uint64)
+        self.hash = np.empty(len(words), np.uint64)
+        for k in range(0, len(words), 1 << 14):
+            some = zip(lang[k : k + (1 << 14)].tolist(), words[k : k + (1 << 14)].to_pylist(), strict=True)
+            self.hash[k : k + (1 << 14)] = [xxhash.xxh64_intdigest(f"{langs[at]}\0{word}") for at, word in some]
         order = np.argsort(bitmaps.block, kind="stable")
         self.by_block = bitmaps.take(order)
         blocks = int(bitmaps.block.max()) + 1 if len(order) else 0
@@ -172,15 +174,17 @@ class Shard:
     # -- as a row of the index ----------------------------------------------------------------------------------
 
     @classmethod
-    def from_row(cls, row: dict) -> Shard:
-        blocks = np.array(row["blocks"], np.int64)
+    def of(cls, rows: pa.Table | pa.RecordBatch, k: int) -> Shard:
+        """The k-th row of an index."""
+        of = {name: rows[name][k] for name in ("langs", "lang", "words", "blocks", "places", "bits")}
+        blocks = np.asarray(of["blocks"].values, np.int64)
         owner = np.repeat(np.arange(len(blocks), dtype=np.int32), blocks)
-        steps = np.frombuffer(row["places"], np.uint8).reshape(4, -1).T.copy().view(np.int32)[:, 0]
+        steps = np.frombuffer(of["places"].as_buffer(), np.uint8).reshape(4, -1).T.copy().view(np.int32)[:, 0]
         ends = np.cumsum(blocks)
-        run = np.cumsum(steps, dtype=np.int64)
-        before = np.concatenate([[0], run])[ends - blocks]  # each word's blocks are counted from 0
-        block = (run - np.repeat(before, blocks)).astype(np.int32)
-        return cls(row["langs"], np.array(row["lang"], np.int32), row["words"], Bitmaps(owner, block, np.frombuffer(row["bits"], np.uint8)))
+        block = np.cumsum(steps, dtype=np.int64)
+        before = np.concatenate([[0], block])[ends - blocks]  # each word's blocks are counted from 0
+        block = (block - np.repeat(before, blocks)).astype(np.int32)
+        return cls(of["langs"].as_py(), np.asarray(of["lang"].values), of["words"].values, Bitmaps(owner, block, np.frombuffer(of["bits"].as_buffer(), np.uint8)))
 
 
 def packed(shard: int, langs: list[str], every: list[tuple[int, bytes]], ids: np.ndarray) -> pa.RecordBatch:
@@ -248,13 +252,12 @@ def _pair_counts(shards: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                keys, counts = Shard.from_row(row).pairs()
+                keys, counts = Shard.of(batch, k).pairs()
                 ranges, starts = np.unique(keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64), return_index=True)
                 stops = [*starts[1:].tolist(), len(keys)]
                 parts = [(keys[a:b].tobytes(), counts[a:b].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()) for a, b in zip(starts.tolist(), stops, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ranges.astype(np.int64)), pa.array([row["shard"]] * len(parts), pa.int64()), pa.array([p for p, _ in parts], pa.binary()), pa.array([c for _, c in parts], pa.binary())],
+                    [pa.array(ranges.astype(np.int64)), pa.array([batch["shard"][k].as_py()] * len(parts), pa.int64()), pa.array([p for p, _ in parts], pa.binary()), pa.array([c for _, c in parts], pa.binary())],
                     ["range", "shard", "keys", "counts"],
                 )
 
@@ -282,9 +285,9 @@ def _shard_phrases(shards: DataFrame, frequent: DataFrame, longest: int) -> Data
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = np.sort(np.frombuffer(b"".join(right["keys"].to_pylist()), np.uint64))
         tables = []
-        for row in left.to_pylist():
-            shard = Shard.from_row(row)
-            words, langs = pa.array(shard.words, pa.string()), pa.array(shard.langs, pa.string())
+        for k in range(left.num_rows):
+            shard = Shard.of(left, k)
+            words, langs = shard.words, pa.array(shard.langs, pa.string())
             for heads, n in shard.phrases(keys, longest):
                 phrase = pc.binary_join_element_wise(*(words.take(pa.array(h)) for h in heads.T), " ")
                 lang = langs.take(pa.array(shard.lang[heads[:, 0]]))

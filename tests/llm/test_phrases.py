@@ -93,8 +93,8 @@ def test_shard_and_its_row():
         ids = known.get(lang) or known.setdefault(lang, phrases.Ids(len(known), every))
         runs += phrases.numbers(text, ids)
     ids = np.concatenate(runs)
-    row = phrases.packed(3, list(known), every, ids).to_pylist()[0]
-    shard = phrases.Shard.from_row(row)
+    packed = phrases.packed(3, list(known), every, ids)
+    row, shard = packed.to_pylist()[0], phrases.Shard.of(packed, 0)
     want = phrases.Bitmaps.of(ids)
     assert (shard.maps.owner + 1 == want.owner).all() and (shard.maps.block == want.block).all() and (shard.maps.bits == want.bits).all()
     assert shard.maps.counts(len(row["words"])).tolist() == row["n"] == np.bincount(ids, minlength=len(every)).tolist()[1:]
@@ -112,7 +112,7 @@ def test_keys_that_coincide_change_no_count(spark, monkeypatch):
     for shard in shards:
         for heads, n in shard.phrases(np.zeros(1, np.uint64), 3):
             for h, k in zip(heads.tolist(), n.tolist(), strict=True):
-                whole[shard.langs[shard.lang[h[0]]], " ".join(shard.words[i] for i in h)] += k
+                whole[shard.langs[shard.lang[h[0]]], " ".join(shard.words[i].as_py() for i in h)] += k
     want = {(r[0], r[2]): r[3] for r in brute(docs, least=1, percent=1 << 40)}
     assert whole == want
 
@@ -123,7 +123,7 @@ def _shards(docs):
         for lang, text in docs[k : k + 40]:
             ids = known.get(lang or "und") or known.setdefault(lang or "und", phrases.Ids(len(known), every))
             runs += phrases.numbers(text, ids)
-        yield phrases.Shard.from_row(phrases.packed(k, list(known), every, np.concatenate(runs)).to_pylist()[0])
+        yield phrases.Shard.of(phrases.packed(k, list(known), every, np.concatenate(runs)), 0)
 
 
 def test_scores_beyond_64_bits(spark):
