@@ -80,6 +80,33 @@ def chips(r: Request) -> list[tuple[str, str, str]]:
     return [(k, v, urlencode([p for p in pairs if p != (k, v)])) for k, v in pairs if k != "q"]
 
 
+def chip_rows(requests: DataFrame) -> DataFrame:
+    """(id, name, value, remove) of each active filter of requests(id, author, college, program, year, tags).
+
+    `remove` is the query string of the request without that filter. Empty and null values ask for nothing.
+    """
+    pair = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
+    single = F.array(*(pair(c, F.col(c)) for c in ("author", "college", "program", "year")))
+    tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: pair("tag", t))
+    active = F.filter(F.concat(single, tags), lambda p: p["value"].isNotNull() & (p["value"] != ""))
+    each = requests.select("id", active.alias("active")).select("id", "active", F.explode("active").alias("chip"))
+    rest = F.filter("active", lambda p: p != F.col("chip"))
+    remove = F.array_join(F.transform(rest, lambda p: F.concat(p["name"], F.lit("="), F.url_encode(p["value"]))), "&")
+    return each.select("id", "chip.name", "chip.value", remove.alias("remove"))
+
+
+def programs_by_college(papers: DataFrame) -> DataFrame:
+    """(college, programs) to choose from: each college's, and under the empty name, for no choice, all."""
+    pairs = papers.filter("college is not null and program is not null").select("college", "program").distinct()
+    every = pairs.select(F.lit("").alias("college"), "program").distinct()
+    return pairs.unionByName(every).groupBy("college").agg(F.array_sort(F.collect_list("program")).alias("programs"))
+
+
+def undeclared(pairs: DataFrame, declared: DataFrame) -> DataFrame:
+    """Distinct (college, program) of pairs that aren't declared."""
+    return pairs.select("college", "program").distinct().join(declared.select("college", "program").distinct(), ["college", "program"], "left_anti")
+
+
 def saved_flag(papers: DataFrame, saved: DataFrame, user: int) -> DataFrame:
     """papers with `is_saved` for a user."""
     mine = saved.filter(F.col("user_id") == user).select(F.col("paper_id").alias("id"), F.lit(True).alias("is_saved")).distinct()

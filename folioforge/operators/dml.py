@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -83,17 +84,33 @@ def outcome_counts(df: DataFrame, outcome: str, *kinds: str) -> DataFrame:
 
 
 def in_batches(df: DataFrame, change: Callable[[DataFrame], DataFrame], folder: str, key: str = "id", size: int = 100) -> DataFrame:
-    """change(df) made in batches of about `size` rows, each of which is one transaction.
+    """change(df) made in batches of about `size` rows, each of which is one transaction (M10), in one pass over df.
 
-    A batch is written whole to a folder of its own and then committed by an empty file with its number. Run again after
-    a crash it makes only the batches that aren't committed, so each counts once. Batches are by a hash of the key.
+    Batches are by a hash of the key, and each is one file that one task writes; it is committed as the file appears,
+    when its task ends, whatever becomes of the others. After a crash the next call takes up the rows of batches that
+    have no file yet, so each counts once. `change` may add and alter columns, but keeps the key.
     """
     spark = df.sparkSession
     fs, path = file_system(spark, folder)
-    many = max(1, -(-df.count() // size))
-    for k in range(many):
-        if not fs.exists(path(f"{folder}/commits/{k}-{many}")):
-            part = df.filter(F.pmod(F.xxhash64(key), F.lit(many)) == k)
-            change(part).write.mode("overwrite").parquet(f"{folder}/data/{k}-{many}")
-            fs.create(path(f"{folder}/commits/{k}-{many}"), True).close()
-    return spark.read.parquet(*(f"{folder}/data/{k}-{many}" for k in range(many)))
+    held = path(f"{folder}/batches")
+    if fs.exists(held):  # as many as at first, whatever has become of df
+        many = int(fs.listStatus(held)[0].getPath().getName())
+    else:
+        many = max(1, -(-df.count() // size))
+        fs.create(path(f"{folder}/batches/{many}"), True).close()
+    number = F.pmod(F.xxhash64(key), F.lit(many)).cast("int")
+    done = sorted({int(name.split("=")[1]) for run in _names(fs, path(f"{folder}/data")) for name in _names(fs, path(f"{folder}/data/{run}")) if name.startswith("batch=")})
+    todo = df.withColumn("batch", number)
+    if done:
+        todo = todo.join(spark.createDataFrame([(k,) for k in done], "batch int"), "batch", "left_anti")
+    made = change(todo.drop("batch")).withColumn("batch", number)
+    writer = made.repartition("batch").write.partitionBy("batch").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.parquet(f"{folder}/data/{uuid.uuid4().hex}")
+    runs = [f"{folder}/data/{run}" for run in _names(fs, path(f"{folder}/data"))]
+    return spark.read.schema(made.schema).parquet(*runs).drop("batch")
+
+
+def _names(fs, folder) -> list[str]:
+    """What is in a folder, but for Spark's own files."""
+    found = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return [name for name in found if not name.startswith(("_", "."))]

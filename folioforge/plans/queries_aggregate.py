@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioforge.operators import citations, dml, insights
-from folioforge.plans.registry import register
+from folioforge.operators.kept import KeptTable
+from folioforge.plans.registry import ORACLES, register
 from folioforge.sources import tables as S
+from folioforge.sources.scratch import fresh
 
 PAPERS = "p AS (SELECT p_partkey AS id, p_name AS title, p_brand AS college, p_type AS program, p_size AS year, string_split(p_name, ' ') AS tags, CAST(floor(p_retailprice) AS BIGINT) AS cites_cached, p_partkey % 3 = 0 AS registered FROM part)"
 TAGS = "t AS (SELECT id, unnest(tags) AS tag, year FROM p)"
@@ -140,6 +142,41 @@ def citation_upsert_max(spark, d):
     return citations.upsert(e.filter("seq % 2 = 0"), e.filter("seq % 2 = 1"))
 
 
+@register("kept_upsert_max", ORACLES["citation_upsert_max"])
+def kept_upsert_max(spark, d):
+    """A21, M7 in a kept table: two changes that write deltas only, merged as it is read."""
+    e = S.edges(spark, d)
+    kept = KeptTable.create(spark, fresh(spark, "edges"), "source long, matched long, raw string, score double, seq long", ["source", "matched"], "best:score", buckets=8)
+    for rest in (0, 1):
+        some = e.filter(F.col("seq") % 2 == rest)
+        kept.upsert(citations.upsert(some.limit(0), some))
+    return kept.read()
+
+
+@register("kept_get_or_create", "SELECT user_id, paper_id, min(src) AS src FROM (SELECT o_custkey AS user_id, o_orderkey % 50 AS paper_id, o_orderstatus AS src FROM orders WHERE o_orderstatus IN ('F', 'O')) GROUP BY user_id, paper_id")
+def kept_get_or_create(spark, d):
+    """M1 in a kept table: later changes add only rows whose keys are new; after them the table is compacted."""
+    o = S.table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), (F.col("o_orderkey") % 50).alias("paper_id"), F.col("o_orderstatus").alias("src"))
+    kept = KeptTable.create(spark, fresh(spark, "saved"), "user_id long, paper_id long, src string", ["user_id", "paper_id"], "first", buckets=8)
+    for status in ("F", "O"):
+        kept.upsert(o.filter(F.col("src") == status).distinct())
+    kept.compact()
+    return kept.read()
+
+
+@register("kept_update_delete", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderkey % 14 = 0")
+def kept_update_delete(spark, d):
+    """M5, M7, M8 in a kept table: rows are replaced, removed, and some of these put back."""
+    o = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    kept = KeptTable.create(spark, fresh(spark, "orders"), "id long, status string", ["id"], buckets=8)
+    kept.upsert(o)
+    kept.delete(o.filter("id % 7 = 0"))
+    kept.upsert(o.filter("id % 14 = 0"))
+    kept.compact()
+    kept.upsert(o.filter("id % 3 = 0 and (id % 7 <> 0 or id % 14 = 0)").withColumn("status", F.lit("new")))
+    return kept.read()
+
+
 WEIGHTED = "CAST(0.7 AS DOUBLE) * (score / CAST(100000 AS DOUBLE)) + CAST(0.2 AS DOUBLE) * ((seq % 3) / CAST(2 AS DOUBLE)) + CAST(0.1 AS DOUBLE) * CAST(matched % 2 AS DOUBLE)"
 
 

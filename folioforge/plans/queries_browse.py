@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioforge.operators import browse, search
+from folioforge.operators.page_index import PageIndex
 from folioforge.plans.queries_aggregate import EDGES, PAPERS, q
 from folioforge.plans.registry import register
 from folioforge.sources import files
 from folioforge.sources import tables as S
+from folioforge.sources.scratch import fresh
 
 SAVED = "s AS (SELECT o_custkey AS user_id, o_orderkey % 200 + 1 AS paper_id, max(o_orderdate) AS saved_at FROM orders GROUP BY 1, 2)"
 
@@ -49,6 +51,26 @@ def browse_look_ahead(spark, d):
     return browse.look_ahead(S.papers(spark, d), 2, 20, "id").select("id", "has_next")
 
 
+LINES = "SELECT l_orderkey AS source, l_linenumber AS seq, l_extendedprice AS score FROM lineitem"
+
+
+def _line_pages(spark, d):
+    rows = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("seq"), F.col("l_extendedprice").alias("score"))
+    return PageIndex.build(rows, fresh(spark, "pages"), [F.desc("score"), F.asc("source"), F.asc("seq")], rows=5000)
+
+
+@register("browse_deep_page", LINES + " ORDER BY score DESC, source, seq LIMIT 20 OFFSET 4980")
+def browse_deep_page(spark, d):
+    """Page 250 of a kept order reads one range."""
+    return _line_pages(spark, d).page(250, 20)
+
+
+@register("browse_deep_look_ahead", f"SELECT *, true AS has_next FROM ({LINES} ORDER BY score DESC, source, seq LIMIT 50 OFFSET 4950)")
+def browse_deep_look_ahead(spark, d):
+    """T9 from a kept order."""
+    return _line_pages(spark, d).look_ahead(100, 50)
+
+
 @register("filter_tag_contains", q(PAPERS, select="SELECT id FROM p WHERE list_contains(tags, 'small')"))
 def filter_tag_contains(spark, d):
     """F4."""
@@ -184,10 +206,8 @@ def search_with_fallback(spark, d):
     return search.with_fallback(p.filter(F.array_contains("tags", "no such tag")), browse.with_tag(p, "small")).select("id")
 
 
-@register("code_map_referential_check", "SELECT * FROM (VALUES ('bsee', 'cas'), ('bsem', 'cas')) v(program, college)")
+@register("code_map_referential_check", q(PAPERS, select="SELECT DISTINCT college, program FROM p WHERE year > 25 AND (college, program) NOT IN (SELECT (college, program) FROM p WHERE year <= 25)"))
 def code_map_referential_check(spark, d):
-    """Programs of a college that no list of programs has (section 1.3)."""
-    from folioforge.schema import COLLEGE_PROGRAMS, PROGRAMS
-
-    mapped = spark.createDataFrame([(p, c) for c, ps in COLLEGE_PROGRAMS.items() for p in ps], "program string, college string")
-    return mapped.join(spark.createDataFrame([(p,) for p in PROGRAMS], "program string"), "program", "left_anti")
+    """Programs of a college in papers that the declared pairs lack (section 1.3): those of older papers are declared."""
+    pairs = S.papers(spark, d).select("college", "program", "year")
+    return browse.undeclared(pairs.filter("year > 25"), pairs.filter("year <= 25"))

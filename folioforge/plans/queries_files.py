@@ -7,34 +7,11 @@ from pyspark.sql import functions as F
 from folioforge.functions import text as T
 from folioforge.operators import browse
 from folioforge.plans.queries_aggregate import PAPERS, q
-from folioforge.plans.queries_text import frame, values
 from folioforge.plans.registry import register
 from folioforge.sources import files
 from folioforge.sources import tables as S
 from folioforge.sources.scratch import fresh, write_files
 
-REQUESTS = (
-    browse.Request(q="rivers", author="Doe", tags=("red", "deep blue"), college="ccs", program="", year="2019"),
-    browse.Request(),
-    browse.Request(college="coe", program="bsce", year="x&y"),
-    browse.Request(tags=("a", "a b")),
-)
-CHIPS = (
-    (0, "author", "Doe", "q=rivers&college=ccs&year=2019&tag=red&tag=deep+blue"),
-    (0, "college", "ccs", "q=rivers&author=Doe&year=2019&tag=red&tag=deep+blue"),
-    (0, "year", "2019", "q=rivers&author=Doe&college=ccs&tag=red&tag=deep+blue"),
-    (0, "tag", "red", "q=rivers&author=Doe&college=ccs&year=2019&tag=deep+blue"),
-    (0, "tag", "deep blue", "q=rivers&author=Doe&college=ccs&year=2019&tag=red"),
-    (2, "college", "coe", "program=bsce&year=x%26y"),
-    (2, "program", "bsce", "college=coe&year=x%26y"),
-    (2, "year", "x&y", "college=coe&program=bsce"),
-    (3, "tag", "a", "tag=a+b"),
-    (3, "tag", "a b", "tag=a"),
-)
-OFFERS = {"ccs": ("bscs", "bsit"), "coe": ("bsce",)}
-PROGRAMS = ("bscs", "bsit", "bsce", "bsn")
-
-
 def concat(*parts):
     """Strings as literals, (name,) as columns."""
     return F.concat(*(F.col(x[0]).cast("string") if isinstance(x, tuple) else F.lit(x) for x in parts))
@@ -129,26 +106,33 @@ def phrase_tags(spark, d):
     return p.select("id", F.array_join(F.flatten(F.transform(parts, T.clean_tags)), "|").alias("tags"))
 
 
-PHRASES = (("an image x and a map", "image x|a map"), ("The Paper", ""), ("ab", ""), ("one two three four five six seven", ""), ("red wine and cheese", "red wine"), ("  A   deep  Net ", "deep net"))
+@register("phrase_tags_parted", q(PAPERS, select="SELECT id, CASE id % 3 WHEN 0 THEN lower(title) || '|map ' || id WHEN 1 THEN lower(title) ELSE '' END AS tags FROM p"))
+def phrase_tags_parted(spark, d):
+    """Phrases that are parted, that lose a part of one word, and that are too long."""
+    p = S.papers(spark, d)
+    phrase = F.when(F.col("id") % 3 == 0, concat(" An ", ("title",), " and  map ", ("id",))).when(F.col("id") % 3 == 1, concat(("title",), " and cheese")).otherwise(concat("one two three four five six ", ("title",)))
+    return p.select("id", F.array_join(T.clean_tags(phrase), "|").alias("tags"))
 
 
-@register("phrase_tags_parted", f"SELECT * FROM {values(PHRASES)} v(phrase, tags)")
-def phrase_tags_parted(spark, d):
-    """Phrases that are parted, dropped and cleaned."""
-    return frame(spark, [p for p, _ in PHRASES], "phrase string").select("phrase", F.array_join(T.clean_tags("phrase"), "|").alias("tags"))
+FORM = "f AS (SELECT id, CASE WHEN id % 2 = 0 THEN college END AS college, CASE WHEN id % 3 <> 0 THEN program ELSE '' END AS program, CASE WHEN id % 5 = 0 THEN CAST(year AS VARCHAR) END AS year, tags[1] AS tag FROM p)"
+ACTIVE = "a AS (SELECT id, list_filter([{'name': 'college', 'value': college}, {'name': 'program', 'value': program}, {'name': 'year', 'value': year}, {'name': 'tag', 'value': tag}], lambda x: coalesce(x.value, '') <> '') AS active FROM f)"
 
 
-@register("filter_chips", f"SELECT * FROM {values(CHIPS)} v(request, name, value, remove)")
+@register("filter_chips", q(PAPERS, FORM, ACTIVE, "e AS (SELECT id, active, unnest(active) AS c FROM a)", select="SELECT id, c.name AS name, c.value AS value, array_to_string(list_transform(list_filter(active, lambda x: x <> c), lambda x: x.name || '=' || replace(url_encode(x.value), '%20', '+')), '&') AS remove FROM e"))
 def filter_chips(spark, d):
-    """F20."""
-    rows = [(i, *chip) for i, r in enumerate(REQUESTS) for chip in browse.chips(r)]
-    return spark.createDataFrame(rows, "request int, name string, value string, remove string")
+    """the form that each paper would be found by."""
+    one = lambda when, value: F.when(when, value)
+    forms = S.papers(spark, d).select(
+        "id", F.lit("").alias("author"), one(F.col("id") % 2 == 0, F.col("college")).alias("college"), one(F.col("id") % 3 != 0, F.col("program")).otherwise("").alias("program"),
+        one(F.col("id") % 5 == 0, F.col("year")).alias("year"), F.slice("tags", 1, 1).alias("tags"),
+    )
+    return browse.chip_rows(forms)
 
 
-@register("programs_of_college", "SELECT * FROM (VALUES ('', 'bscs,bsit,bsce,bsn'), ('ccs', 'bscs,bsit'), ('coe', 'bsce'), ('cas', '')) v(college, programs)")
+@register("programs_of_college", q(PAPERS, "c AS (SELECT DISTINCT college, program FROM p UNION SELECT '', program FROM p)", select="SELECT college, string_agg(program, ',' ORDER BY encode(program)) AS programs FROM c GROUP BY college"))
 def programs_of_college(spark, d):
     """F21."""
-    return spark.createDataFrame([(c, ",".join(browse.programs_of(c, OFFERS, PROGRAMS))) for c in ("", "ccs", "coe", "cas")], "college string, programs string")
+    return browse.programs_by_college(S.papers(spark, d)).select("college", F.array_join("programs", ",").alias("programs"))
 
 
 @register("help_contents", q(PAPERS, select="SELECT CAST(n AS INTEGER) AS position, CASE n WHEN 0 THEN title ELSE 'Part ' || id END AS name, CASE n WHEN 0 THEN 'a/' || id || '.htm' ELSE 'b.htm' END AS local FROM p, range(0, 2) r(n)"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import vectors as V
 from folioforge.operators import dml, insights
+from folioforge.operators.kept import KeptTable, pair_counts
 from folioforge.plans.queries_aggregate import EDGES, RECENT, q
 from folioforge.plans.registry import register
 from folioforge.sources import tables as S
@@ -20,6 +21,20 @@ def stream_edge_counts(spark, d):
     return counters.settled(counters.edge_counts(counters.replayed(changes)), "complete").select("matched", "n")
 
 
+@register("stream_edge_pairs", q(EDGES, "n AS (SELECT source, matched FROM e WHERE matched IS NOT NULL GROUP BY source, matched HAVING sum(CASE WHEN seq % 3 = 0 THEN -1 ELSE 1 END) > 0)", select="SELECT matched, count(*) AS n FROM n GROUP BY matched"))
+def stream_edge_pairs(spark, d):
+    """Distinct pairs under doubled inserts and deletes; each batch is delivered twice."""
+    changes = S.edges(spark, d).select("source", "matched", F.when(F.col("seq") % 3 == 0, -1).otherwise(1).cast("long").alias("n"))
+    pairs = KeptTable.create(spark, fresh(spark, "pairs"), "source long, matched long, n long", ["matched", "source"], "sum:n", buckets=8)
+
+    def take(df, number):
+        for _ in range(2):
+            pairs.upsert(df, stream=("edges", number))
+
+    counters.replayed(changes).writeStream.foreachBatch(take).option("checkpointLocation", fresh(spark, "pairs-state")).trigger(availableNow=True).start().awaitTermination()
+    return pair_counts(pairs)
+
+
 @register("stream_view_counts", q(RECENT, select="SELECT item, count(*) AS views FROM v WHERE event_type = 'view' GROUP BY item"))
 def stream_view_counts(spark, d):
     """R2."""

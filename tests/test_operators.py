@@ -89,3 +89,36 @@ def test_fallback_wants_whole_terms(spark):
     c = spark.createDataFrame([(1, 1, "riverbank", [1.0, 0.0]), (2, 2, "lake", [0.0, 1.0])], "id long, paper_id long, text string, vec array<float>")
     assert [r["id"] for r in search.semantic(c, "river", [0.0, 1.0], SearchSettings(min_score=0.2)).collect()] == [2]
     assert [r["id"] for r in search.semantic(c, "riverbank", [0.0, 1.0], SearchSettings(min_score=0.2)).collect()] == [1]
+
+
+CHIPS = (
+    (0, "author", "Doe", "q=rivers&college=ccs&year=2019&tag=red&tag=deep+blue"),
+    (0, "college", "ccs", "q=rivers&author=Doe&year=2019&tag=red&tag=deep+blue"),
+    (0, "year", "2019", "q=rivers&author=Doe&college=ccs&tag=red&tag=deep+blue"),
+    (0, "tag", "red", "q=rivers&author=Doe&college=ccs&year=2019&tag=deep+blue"),
+    (0, "tag", "deep blue", "q=rivers&author=Doe&college=ccs&year=2019&tag=red"),
+    (2, "college", "coe", "program=bsce&year=x%26y"),
+    (2, "program", "bsce", "college=coe&year=x%26y"),
+    (2, "year", "x&y", "college=coe&program=bsce"),
+    (3, "tag", "a", "tag=a+b"),
+    (3, "tag", "a b", "tag=a"),
+)
+
+
+def test_chips_of_one_request_and_of_rows(spark):
+    requests = (
+        browse.Request(q="rivers", author="Doe", tags=("red", "deep blue"), college="ccs", program="", year="2019"),
+        browse.Request(),
+        browse.Request(college="coe", program="bsce", year="x&y"),
+        browse.Request(tags=("a", "a b")),
+    )
+    assert [(i, *chip) for i, r in enumerate(requests) for chip in browse.chips(r)] == list(CHIPS)
+    rows = [(i, r.author, r.college, r.program or None, r.year, list(r.tags) or None) for i, r in enumerate(requests)]
+    got = browse.chip_rows(spark.createDataFrame(rows, "id int, author string, college string, program string, year string, tags array<string>"))
+    assert sorted(map(tuple, got.collect())) == sorted((i, name, value, rest.removeprefix("q=rivers&")) for i, name, value, rest in CHIPS)
+
+
+def test_programs_and_undeclared_pairs(spark):
+    pairs = spark.createDataFrame([("ccs", "b"), ("ccs", "a"), ("ccs", "a"), ("coe", "c"), (None, "d")], "college string, program string")
+    assert {r["college"]: r["programs"] for r in browse.programs_by_college(pairs).collect()} == {"ccs": ["a", "b"], "coe": ["c"], "": ["a", "b", "c"]}
+    assert [tuple(r) for r in browse.undeclared(pairs, pairs.filter("program <> 'b'")).dropna().collect()] == [("ccs", "b")]

@@ -78,20 +78,34 @@ def test_archives_by_an_unpacker(spark):
 
 
 def test_batches_that_are_committed_are_not_made_again(spark):
-    folder, made = fresh(spark, "batched"), []
-    rows = spark.range(250).withColumnRenamed("id", "k")
+    """A run that breaks on some rows leaves the batches of other tasks; the next one makes the rest, in one pass."""
+    folder = fresh(spark, "batched")
+    rows = spark.range(400).withColumnRenamed("id", "k").repartition(4)
+    run = lambda number, wrong: lambda df: df.withColumn("twice", F.when(F.lit(wrong) & (F.col("k") == 7), F.raise_error(F.lit("crash"))).otherwise(F.col("k") * 2)).withColumn("run", F.lit(number))
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        with pytest.raises(Exception, match="crash"):
+            dml.in_batches(rows, run(1, True), folder, "k", 10)
+        done = dml.in_batches(rows, run(2, False), folder, "k", 10)
+        got = {r["k"]: (r["twice"], r["run"]) for r in done.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert done.count() == 400 and {k: v for k, (v, _) in got.items()} == {k: 2 * k for k in range(400)} and got[7][1] == 2
+    again = dml.in_batches(rows, run(3, False), folder, "k", 10)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, done.collect()))
+    assert dml.in_batches(rows.limit(0), run(1, False), fresh(spark, "none"), "k").count() == 0
+
+
+def test_batches_take_one_scan(spark):
+    plans = []
 
     def change(df):
-        made.append(1)
-        if len(made) == 3:
-            raise RuntimeError("crash")
-        return df.withColumn("twice", F.col("k") * 2)
-
-    with pytest.raises(RuntimeError):
-        dml.in_batches(rows, change, folder, "k", 50)
-    done = dml.in_batches(rows, change, folder, "k", 50)
-    assert len(made) == 6 and sorted(r["twice"] for r in done.collect()) == [2 * k for k in range(250)]
-    assert dml.in_batches(rows.limit(0), change, fresh(spark, "none"), "k").count() == 0
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df
+
+    dml.in_batches(spark.range(1000), change, fresh(spark, "batched"), "id", 10)
+    assert len(plans) == 1 and plans[0].count("Range") == 1
 
 
 def test_set_where_reads_old_values(spark):
