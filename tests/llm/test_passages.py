@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import odd
+import pytest
 from conftest import SF
 
 from folioforge.llm import passages as P
@@ -288,14 +289,32 @@ def test_classes_like_brute_force_over_all_pairs(spark):
 
 
 def test_exact_repeats_around_a_common_template(spark):
+    """Passages around a line that all texts have; the line alone is too short to make two of them near-duplicates."""
     rng = random.Random(31)
     text = lambda n: [str(rng.random())[2:9] for _ in range(n)]
-    template, rows = text(45), []
+    template, rows = text(40), []
     for k in range(1000, 1300, 2):
         head, tail = text(rng.randint(5, 6)), text(rng.randint(5, 6))
         rows += [(k + m, " ".join(text(20 * m) + head + template + tail + text(20 * m))) for m in range(2)]
     got = {r["doc_id"]: r["class_id"] for r in P.classes(odd.documents(spark, rows)).collect()}
     assert sum(got[k + 1] == got[k] for k in range(1000, 1300, 2)) == 150
+    assert len({got[k] for k in range(1000, 1300, 2)}) == 150
+
+
+@pytest.mark.parametrize("edit", ["line", "own"])
+def test_edited_passages_in_groups_of_hundreds(spark, edit):
+    """100 pairs around a line of all 200 texts, one word of the line or of the words beside it replaced: recall, and no pair joins another."""
+    rng = random.Random(37)
+    text = lambda n: [str(rng.random())[2:9] for _ in range(n)]
+    template, rows = text(40), []
+    for k in range(1000, 1200, 2):
+        words = text(12) + template + text(12)
+        other = list(words)
+        other[rng.randrange(12, 52) if edit == "line" else rng.choice([*range(4, 12), *range(52, 60)])] = text(1)[0]
+        rows += [(k, " ".join(words)), (k + 1, " ".join(other))]
+    got = {r["doc_id"]: r["class_id"] for r in P.classes(odd.documents(spark, rows)).collect()}
+    assert sum(got[k + 1] == got[k] for k in range(1000, 1200, 2)) >= 97
+    assert all(got[k + m] in (k, k + 1) for k in range(1000, 1200, 2) for m in range(2))
 
 
 def test_texts_with_one_hash_are_told_apart(spark, monkeypatch):
