@@ -33,13 +33,13 @@ def recents(views: DataFrame, most: int = 10) -> DataFrame:
     importable(views.sparkSession)
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen: dict[int, int] = dict(zip(*[list(x) for x in state.get], strict=True)) if state.exists else {}
-        for f in frames:
-            for item, ts in zip(f["item"], f["ts"].astype("int64"), strict=True):
-                seen[int(item)] = max(int(ts), seen.get(int(item), -(1 << 62)))
-        best = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:most]
-        state.update(([i for i, _ in best], [t for _, t in best]))
-        yield pd.DataFrame({"user_id": [key[0]], "items": [[i for i, _ in best]]})
+        items, times = state.get if state.exists else ([], [])
+        best = pd.DataFrame({"item": pd.Series(items, dtype="int64"), "ts": pd.Series(times, dtype="int64")})
+        for f in frames:  # each is reduced to what can still be among the most recent
+            seen = pd.concat([best, f[["item", "ts"]].astype("int64")]).groupby("item", as_index=False)["ts"].max()
+            best = seen.sort_values(["ts", "item"], ascending=[False, True]).head(most)
+        state.update((best["item"].tolist(), best["ts"].tolist()))
+        yield pd.DataFrame({"user_id": [key[0]], "items": [best["item"].tolist()]})
 
     return views.groupBy("user_id").applyInPandasWithState(update, "user_id long, items array<long>", "items array<long>, times array<long>", "update", GroupStateTimeout.NoTimeout)
 
