@@ -30,7 +30,7 @@ from pyspark.sql.types import StructType
 
 from folioforge.sources.scratch import file_system, write_files
 
-#: Deltas that a table has before a change compacts it, and names of batches that a snapshot remembers for each stream.
+#: Deltas that a table has before the change that adds one more compacts it.
 DELTAS = 32
 
 
@@ -125,14 +125,18 @@ class KeptTable:
         if stream and self.snapshot()["streams"].get(stream[0], -1) >= stream[1]:
             return False
         ready = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields), F.lit(False).alias("__gone"))
-        return self._commit(self._written(self._reduced(ready, F.lit(0))), stream=stream)
+        done = self._commit(self._written(self._reduced(ready, F.lit(0))), stream=stream)
+        self.compact(DELTAS)
+        return done
 
     def delete(self, keys: DataFrame) -> bool:
         """Removes the rows of some keys, by rows that say so (rule `last`)."""
         if self.rule != "last":
             raise ValueError("rows can only be deleted where the last change counts")
         others = [F.lit(None).cast(f.dataType).alias(f.name) if f.name not in self.keys else F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
-        return self._commit(self._written(keys.select(*self.keys).distinct().select(*others, F.lit(True).alias("__gone"))))
+        done = self._commit(self._written(keys.select(*self.keys).distinct().select(*others, F.lit(True).alias("__gone"))))
+        self.compact(DELTAS)
+        return done
 
     def compact(self, most: int = 0) -> bool:
         """Makes one delta of all, if there are more than `most`; False if nothing was done. Changes may go on meanwhile."""

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.config import SearchSettings
+from folioforge.functions import stemming
 from folioforge.functions import text as T
 from folioforge.functions import vectors as V
 from folioforge.sources.package import importable
@@ -55,7 +56,7 @@ def bm25(chunks: DataFrame, q: str) -> DataFrame:
     Statistics of the corpus are one aggregate over all texts. Terms are counted where a text contains them, by one scan
     of it; only the rows with every term are ranked.
     """
-    terms = sorted({t for t in chunks.sparkSession.range(1).select(T.tokens(F.lit(q)).alias("t")).first()["t"]})
+    terms = sorted({t for t, _ in stemming.terms(q, "simple")[0]})
     if not terms:
         return chunks.select("id", F.lit(0.0).alias("rank")).limit(0)
     body = F.lower("text")
@@ -165,7 +166,7 @@ def hybrid(chunks: DataFrame, q: str, query: list[float], s: SearchSettings | No
 def semantic(chunks: DataFrame, q: str, query: list[float], s: SearchSettings | None = None) -> DataFrame:
     """hybrid, or if no chunk has the terms, the nearest chunks by vector alone, several to a paper (Q2, Q3)."""
     s = s or SearchSettings()
-    terms = chunks.sparkSession.range(1).select(T.tokens(F.lit(q)).alias("t")).first()["t"]
+    terms = [t for t, _ in stemming.terms(q, "simple")[0]]
     body = F.lower("text")
     every = reduce(and_, (F.contains(body, F.lit(t)) & F.array_contains(T.tokens("text"), t) for t in terms), F.lit(bool(terms)))
     if not chunks.filter(every).isEmpty():  # stops at the first chunk

@@ -132,6 +132,15 @@ def test_a_change_during_a_compaction_stays_and_two_compactions_exclude_each_oth
     assert rows(kept.read()) == [(0, "a", 77), (1, "a", 1), (2, "a", 2)] and kept.clean(grace=0) == 0
 
 
+def test_many_changes_are_compacted(spark, table, monkeypatch):
+    monkeypatch.setattr(kept_module, "DELTAS", 2)
+    kept = table()
+    for k in range(5):
+        kept.upsert(frame(spark, [(k, "a", k), (0, "a", k)]))
+        assert len(kept.snapshot()["deltas"]) <= 2
+    assert rows(kept.read()) == [(0, "a", 4), *((k, "a", k) for k in range(1, 5))]
+
+
 def test_distinct_pairs(spark, tmp_path):
     kept = KeptTable.create(spark, str(tmp_path / "p"), "source long, matched long, n long", ["matched", "source"], "sum:n")
     make = lambda data: spark.createDataFrame(data, "source long, matched long, n long")
