@@ -47,7 +47,7 @@ INDEX = "shard long, langs array<string>, lang array<int>, words array<string>,
 
 
 class Ids(dict):
-    """Numbers of the words of one language; `all` lists the words of all languages by number."""
+    """Numbers of the words of one language; `every` lists the words of all languages by number."""
 
     def __init__(self, lang: int, every: list[tuple[int, bytes]]):
         super().__init__({MARK: 0})
@@ -318,14 +318,31 @@ def _part(words: Column, start: int, size: int) -> Column:
     return F.array_join(F.slice(words, start, size), " ")
 
 
-def scored(known: DataFrame, longest: int = 3) -> DataFrame:
-    """Phrases of two words or more with a (count), l, r, score of their worst cut; scores are exact, of 38 digits."""
+def apart(phrases: DataFrame, percent: int = 50, longest: int = 3) -> DataFrame:
+    """phrases(lang, phrase, size, n) without those that lie in a longer one of them with `percent` of their count or more."""
     words = F.split("phrase", " ")
-    cuts = [(size, k) for size in range(2, longest + 1) for k in range(1, size)]
-    asked = F.array(*(F.struct(F.lit(s).alias("s"), F.lit(2 * k + side).alias("of"), part.alias("part")) for s, k in cuts for side, part in enumerate((_part(words, 1, k), _part(words, k + 1, s - k)))))
-    phrases = known.filter("size > 1").select("lang", "phrase", "size", F.col("n").alias("a"), F.explode(F.filter(asked, lambda x: x["s"] == F.col("size"))).alias("x"))
-    parts = known.select("lang", F.col("phrase").alias("part"), F.col("n").alias("f"))
-    found = phrases.select("lang", "phrase", "size", "a", "x.of", "x.part").join(parts, ["lang", "part"])
+    inner = F.lit(None)
+    for size in range(3, longest + 1):
+        parts = [_part(words, start, short) for short in range(2, size) for start in range(1, size - short + 2)]
+        inner = F.when(F.col("size") == size, F.array(*parts)).otherwise(inner)
+    if longest < 3:
+        return phrases
+    inside = phrases.filter("size > 2").select("lang", F.col("n").alias("longer"), F.explode(inner).alias("phrase"))
+    most = inside.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
+    return phrases.join(most, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < percent * F.col("n"))).drop("longer")
+
+
+def scored(phrases: DataFrame, known: DataFrame, longest: int = 3) -> DataFrame:
+    """phrases(lang, phrase, size, n), of two words or more, with a (their count), l, r, score of their worst cut.
+
+    Counts of the parts are those in known(lang, phrase, n). Scores are exact, of 38 digits.
+    """
+    words, asked = F.split("phrase", " "), F.lit(None)
+    for size in range(2, longest + 1):
+        parts = [F.struct(F.lit(2 * k + side).alias("of"), part.alias("part")) for k in range(1, size) for side, part in enumerate((_part(words, 1, k), _part(words, k + 1, size - k)))]
+        asked = F.when(F.col("size") == size, F.array(*parts)).otherwise(asked)
+    each = phrases.select("lang", "phrase", "size", F.col("n").alias("a"), F.explode(asked).alias("x")).select("lang", "phrase", "size", "a", "x.*")
+    found = each.join(known.select("lang", F.col("phrase").alias("part"), F.col("n").alias("f")), ["lang", "part"])
     sides = [F.max(F.when(F.col("of") == 2 * k + side, F.col("f"))).alias(f"f{k}{side}") for k in range(1, longest) for side in (0, 1)]
     scores = []
     for k in range(1, longest):
@@ -335,17 +352,6 @@ def scored(known: DataFrame, longest: int = 3) -> DataFrame:
     return worst.select("lang", "phrase", "size", "a", "worst.l", "worst.r", "worst.score")
 
 
-def apart(found: DataFrame, percent: int = 50, longest: int = 3) -> DataFrame:
-    """Without the phrases that lie in a longer one with `percent` of their count or more."""
-    words = F.split("phrase", " ")
-    inner = [F.struct(F.lit(s).alias("s"), _part(words, start, size).alias("part")) for s in range(3, longest + 1) for size in range(2, s) for start in range(1, s - size + 2)]
-    if not inner:
-        return found
-    inside = found.select("lang", F.col("a").alias("longer"), F.explode(F.filter(F.array(*inner), lambda x: x["s"] == F.col("size"))).alias("x"))
-    most = inside.groupBy("lang", F.col("x.part").alias("phrase")).agg(F.max("longer").alias("longer"))
-    return found.join(most, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < percent * F.col("a"))).drop("longer")
-
-
 def best(found: DataFrame, top: int) -> DataFrame:
     """The first `top` phrases of each language with `rank`: by score, then count, then bytes. Parts of a language go first."""
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
@@ -361,4 +367,5 @@ def mined(docs: DataFrame, top: int, least: int = 10, longest: int = 3, percent:
     of it. Counts may have up to 15 digits.
     """
     known, totals = counts(docs, least, longest, lang, text)
-    return best(apart(scored(known, longest), percent, longest), top).join(totals, "lang")
+    kept = apart(known.filter("size > 1"), percent, longest)
+    return best(scored(kept, known, longest), top).join(totals, "lang")
