@@ -226,9 +226,9 @@ def html_title_extract(spark, d):
 
 @register("html_strip_boilerplate", "SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\\b[^>]*>.*?</script>', '<gone>', 'gs'), '<style\\b[^>]*>.*?</style>', '<gone>', 'gs'), '<nav\\b[^>]*>.*?</nav>', '<gone>', 'gs'), '<footer\\b[^>]*>.*?</footer>', '<gone>', 'gs'), '<aside\\b[^>]*>.*?</aside>', '<gone>', 'gs'), '<header\\b[^>]*>.*?</header>', '<gone>', 'gs'), '<noscript\\b[^>]*>.*?</noscript>', '<gone>', 'gs'), '<template\\b[^>]*>.*?</template>', '<gone>', 'gs'), '<div class=\"ad\">.*?</div>', '<gone>', 'gs'), '<!--.*?-->|<[^>]*>'), lambda x: trim(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM pages")
 def html_strip_boilerplate(spark, d):
-    """Visible text of pages, beside S15; the SQL does by patterns what the parser does."""
+    """Visible text of pages, beside S15."""
     p = S.table(spark, d, "pages")
-    return p.select("page_id", files.visible(p).alias("text"))
+    return p.select("page_id", files.visible().alias("text"))
 
 
 @register("rest_listing", q(PAPERS, select="SELECT id, '{\"id\":' || id || ',\"title\":\"' || title || '\",\"year\":' || year || '}' AS json FROM p"))

@@ -48,3 +48,14 @@ def test_files(spark, tmp_path):
     files.append_chunks(chunks, str(tmp_path / "p"))
     files.append_chunks(chunks, str(tmp_path / "p"))
     assert spark.read.json(str(tmp_path / "c")).count() == 1 and spark.read.parquet(str(tmp_path / "p")).count() == 2
+
+
+def test_visible_text_as_its_sql_has_it(spark, tmp_path):
+    """A reference without its semicolon, unclosed and nested elements, white space and names of other kinds."""
+    from oracle import compare
+
+    from folioforge.plans.catalogue import ORACLES, QUERIES
+
+    odd = ["<title>a&amp&amp;&lt</title>x&nbsp;y&#39;", "<nav>n<p>open", "<nav>a<nav>b</nav>c</nav>d", "<navé>e</nav>f", "<SCRIPT>g</SCRIPT>h", "a < b > c", "", None, "i<!-- j\n k -->l<!--m--><!--\r-->", "n\x0b \t o\u00a0", '<div class="ad">p</div><div class="x ad">q</div>', "&amp;lt;&quot;"]
+    spark.createDataFrame(list(enumerate(odd)), "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    assert compare(QUERIES["html_strip_boilerplate"](spark, str(tmp_path)), ORACLES["html_strip_boilerplate"], str(tmp_path)) == ""
