@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -101,6 +102,23 @@ def test_substrings_like_a_scan(spark, tmp_path, monkeypatch):
         assert (index.candidates(q) is None) == (len(q) < 3)
 
 
+def test_few_places_are_held_at_a_time(spark, tmp_path, monkeypatch):
+    """Many texts in one batch leave Python in pieces; put together, they are one block for each term and range."""
+    monkeypatch.setattr(text_index, "HELD", 100)
+    rows = [(k, " ".join(f"w{k % 7} b{j % 5}" for j in range(k % 40))) for k in range(500)]
+    one = pa.RecordBatch.from_pylist([{"id": k, "text": t, "range": k // 250} for k, t in rows])
+    pieces = list(text_index.partial_blocks(iter([one]), "simple", 40.0))
+    assert len(pieces) > 50 and max(len(p["docs"].values.field("at").values) for p in pieces) < 200
+    want = sorted((k, t, text.split().count(t), len(text.split()), [i for i, w in enumerate(text.split()) if w == t]) for k, text in rows for t in set(text.split()))
+    assert sorted((d["id"], b["term"], d["tf"], d["length"], d["at"]) for p in pieces for b in p.to_pylist() for d in b["docs"]) == want
+    monkeypatch.setattr(text_index, "RANGE", 64)
+    index = TextIndex.build(spark.createDataFrame(rows, "id long, text string"), str(tmp_path / "i"), "simple")
+    assert index.postings.groupBy("term", "range").count().filter("count > 1").isEmpty()
+    found = index.postings.select("term", "n", F.explode("docs").alias("d"), F.size("docs").alias("size"))
+    assert found.filter("n <> size").isEmpty()
+    assert sorted((r["d"]["id"], r["term"], r["d"]["tf"], r["d"]["length"], r["d"]["at"]) for r in found.collect()) == want
+
+
 def test_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], "id long, text string")
     index = TextIndex.build(none, str(tmp_path / "i"))
