@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import odd
+import pyarrow.parquet as pq
 import pytest
 from oracle import compare
 
@@ -86,6 +87,19 @@ def test_many_shards_ranges_and_parts(spark, monkeypatch):
     assert rows(phrases.mined(frame(spark, docs), top=2000)) == want
 
 
+def test_shards_are_read_and_written_one_at_a_time(spark, monkeypatch):
+    """However many shards a task makes, neither Parquet's writer nor its reader holds more than one."""
+    monkeypatch.setattr(phrases, "SHARD", 200)
+    kept = []
+    monkeypatch.setattr(phrases, "cut", lambda df, name, *a, f=phrases.cut, **b: kept.append((name, out := f(df, name, *a, **b))) or out)
+    monkeypatch.setattr(phrases, "release", lambda *tables: None)
+    docs = corpus(7)
+    assert rows(phrases.mined(frame(spark, docs).coalesce(1), top=2000)) == brute(docs)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in dict(kept)["phrase-shards"].inputFiles()]
+    assert sum(f.num_rows for f in files) > 10
+    assert all(f.row_group(k).num_rows == 1 for f in files for k in range(f.num_row_groups))
+
+
 def test_shard_and_its_row():
     docs = [(lang or "und", t) for lang, t in corpus(5)]
     every, known, runs = [(-1, phrases.MARK)], {}, []
