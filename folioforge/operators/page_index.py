@@ -1,7 +1,7 @@
 """Pages of a long sorted list without sorting it up to the page.
 
 Rows are kept in ranges of their order, each a folder, with the number of rows before each range. A page reads the one or
-two ranges that it lies in, however deep it is.
+two ranges that it lies in, however deep it is, and of those only its own rows: each has its `place` in the range.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows of a range, about, and the most ranges: their counts are kept in the driver.
-ROWS, MOST = 100_000, 10_000
+#: Rows of a range, about, and the most ranges: the driver samples three hundred rows a range to part them, and keeps
+#: their counts.
+ROWS, MOST = 100_000, 1000
 
 
 class PageIndex:
@@ -31,7 +32,8 @@ class PageIndex:
         """Indexes df by an order, which should be total: rows that tie may change places between pages."""
         spark = df.sparkSession
         parts = max(1, min(MOST, -(-df.count() // rows)))
-        dealt = df.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id())
+        dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
+        dealt = dealt.withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
         dealt.write.partitionBy("range").parquet(f"{folder}/rows")
         counts = {r["range"]: r["n"] for r in spark.read.schema(dealt.schema).parquet(f"{folder}/rows").groupBy("range").agg(F.count("*").alias("n")).collect()}  # MOST at most
         before, at = [], 0
@@ -45,8 +47,11 @@ class PageIndex:
     def slice(self, start: int, size: int) -> DataFrame:
         """Rows start to start + size of the order; reads the ranges that these lie in."""
         first, last = (bisect_right(self.before, x) - 1 for x in (start, max(start, start + size - 1)))
-        some = self.rows.filter(F.col("range").isin(*range(first, last + 1))).drop("range")
-        return some.orderBy(*self.order).offset(start - self.before[first]).limit(size)
+        mine = F.lit(False)
+        for k in range(first, last + 1):
+            low = start - self.before[k]
+            mine = mine | ((F.col("range") == k) & F.col("place").between(max(0, low), low + size - 1))
+        return self.rows.filter(mine).orderBy(*self.order).drop("range", "place").limit(size)
 
     def page(self, number: str | int, size: int) -> DataFrame:
         """As `browse.page_of`: a bad number means the first page, one beyond the end the last."""

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.operators import browse
+from folioforge.operators import browse, page_index
 from folioforge.operators import kept as kept_module
 from folioforge.operators.kept import KeptTable, pair_counts
 from folioforge.operators.page_index import PageIndex
@@ -167,3 +167,14 @@ def test_pages_like_a_sort(spark, tmp_path):
 
 def test_pages_of_nothing(spark, tmp_path):
     assert PageIndex.build(frame(spark, []), str(tmp_path / "none"), ["k"]).page(3, 20).count() == 0
+
+
+def test_a_page_sorts_its_own_rows_only(spark, tmp_path):
+    """Neither rows before a page nor a sample that grows with the table come to the driver."""
+    data = [(k, k % 7) for k in range(1000)]
+    index = PageIndex.build(spark.createDataFrame(data, "k long, v long"), str(tmp_path / "pages"), [F.desc("v"), F.asc("k")], rows=300)
+    want = sorted(data, key=lambda r: (-r[1], r[0]))
+    for start in (0, 295, 299, 750, 990):
+        assert [tuple(r) for r in index.slice(start, 20).collect()] == want[start : start + 20]
+    assert "offset=" not in index.slice(750, 20)._jdf.queryExecution().executedPlan().toString().lower()
+    assert page_index.MOST <= 1000
