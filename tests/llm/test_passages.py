@@ -317,6 +317,24 @@ def test_edited_passages_in_groups_of_hundreds(spark, edit):
     assert all(got[k + m] in (k, k + 1) for k in range(1000, 1200, 2) for m in range(2))
 
 
+def test_edited_passages_between_frequent_contexts(spark):
+    """100 pairs around a line of all 200 texts with a word in its middle replaced: no shingle near that is far enough from
+    the edit for a context of 39, and most contexts of nine are the line's."""
+    rng = random.Random(41)
+    text = lambda n: [str(rng.random())[2:9] for _ in range(n)]
+    template, rows = text(40), []
+    for k in range(1000, 1200, 2):
+        words = text(5) + template + text(5)
+        other = list(words)
+        other[rng.randrange(22, 28)] = text(1)[0]
+        x, y = shingled(words), shingled(other)
+        assert len(x & y) >= 0.8 * len(x | y)
+        rows += [(k, " ".join(words)), (k + 1, " ".join(other))]
+    got = {r["doc_id"]: r["class_id"] for r in P.classes(odd.documents(spark, rows)).collect()}
+    assert sum(got[k + 1] == got[k] for k in range(1000, 1200, 2)) >= 98  # three functions agree on none for one of a hundred
+    assert all(got[k + m] in (k, k + 1) for k in range(1000, 1200, 2) for m in range(2))
+
+
 def test_texts_with_one_hash_are_told_apart(spark, monkeypatch):
     docs = odd.documents(spark, planted())
     want = sorted(map(tuple, P.classes(docs).select("doc_id", "class_id").collect()), key=repr)
