@@ -40,7 +40,7 @@ def mended_text(spark, d):
 
 def title_pages(spark, d):
     """A title page of each paper; every fifth has no cue, every seventh no college."""
-    p = S.papers(spark, d)
+    p = S.dealt(S.papers(spark, d), "id")
     cue = F.when(F.col("id") % 5 != 0, "A Thesis Presented to the Faculty").otherwise("Submitted to")
     college = F.when(F.col("id") % 7 != 0, concat("  College of ", ("college",), " of")).otherwise("  Faculty")
     lines = [F.lit("THE UNIVERSITY 0.F"), F.lit("   "), F.col("title"), F.concat(F.lit(" by 0."), F.col("program"), F.lit(" ")), cue, college, concat("Bachelor of ", ("program",)), concat("June 20", "19 and 1999, 2020")]
