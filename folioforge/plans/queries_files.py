@@ -167,7 +167,7 @@ def html_sections(spark, d):
         '<html><body><h2>Outside</h2><div id="content"><p>before</p><h2>Chapter I <b>', ("title",), "</b></h2><p>", ("program",), " &amp; <i>more</i></p><div><p>", ("college",), "</p></div>",
         "<h2>Chapter II</h2>stray<p> Last ", ("id",), " </p></div><p>after</p></body></html>",
     )
-    return files.sections(S.papers(spark, d).select("id", page.alias("html")), key="id")
+    return files.sections(S.dealt(S.papers(spark, d), "id").select("id", page.alias("html")), key="id")
 
 
 @register(
