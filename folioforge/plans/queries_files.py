@@ -144,7 +144,7 @@ def help_contents(spark, d):
         F.lit("<html><body><ul>"), entry(param("Name", ("title",)), param("Local", "a/", ("id",), ".htm")), entry(param("Name", "No page")),
         F.lit('<object type="other"><param name="Local" value="x"></object>'), entry(param("name", "Part ", ("id",)), param("LOCAL", "b.htm")), F.lit("</ul>"),
     )
-    return files.toc(S.papers(spark, d).select(page.alias("html")))
+    return files.toc(S.dealt(S.papers(spark, d), "id").select(page.alias("html")))
 
 
 @register("help_pages_by_path", q(PAPERS, select="SELECT path FROM (SELECT CASE WHEN id % 2 = 0 THEN title ELSE upper(title) || '/x' END || id AS path FROM p) ORDER BY length(path), lower(path) LIMIT 20"))
