@@ -176,7 +176,7 @@ def html_sections(spark, d):
 )
 def abstract_pages(spark, d):
     """S17, X5."""
-    c = S.table(spark, d, "customer").select(
+    c = S.dealt(S.table(spark, d, "customer"), "c_custkey").select(
         F.col("c_custkey").alias("id"), "c_name", "c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, "BS Computer Science").otherwise("BS Nursing").alias("degree"), F.when(F.col("c_custkey") % 3 != 0, "2019").otherwise("MMXIX").alias("y")
     )
     page = concat(

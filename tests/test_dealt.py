@@ -7,7 +7,7 @@ from folioforge.functions import text as T
 from folioforge.plans.catalogue import QUERIES
 
 
-@pytest.mark.parametrize("query,table,key", [("title_page_fields", "part", "p_partkey"), ("html_sections", "part", "p_partkey"), ("help_contents", "part", "p_partkey")])
+@pytest.mark.parametrize("query,table,key", [("title_page_fields", "part", "p_partkey"), ("html_sections", "part", "p_partkey"), ("help_contents", "part", "p_partkey"), ("abstract_pages", "customer", "c_custkey")])
 def test_a_small_file_of_many_rows_is_work_for_several_tasks(spark, tmp_path, query, table, key):
     rows = spark.read.parquet(f"/root/testdata/sf0.1/{table}.parquet").limit(15_000)
     more = rows.crossJoin(spark.range(4).withColumnRenamed("id", "copy"))
