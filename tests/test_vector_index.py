@@ -116,3 +116,34 @@ def test_empty(spark, tmp_path):
     index = VectorIndex.build(rows, str(tmp_path / "none"))
     assert index.nearest([1.0], 3).count() == 0
     assert index.best_per_row(rows.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), 1).count() == 0
+
+
+def test_a_vector_is_sent_once_to_each_group_of_lists(clusters):
+    _, rows, index = clusters
+    asked = rows.filter("id % 50 = 0").select(F.col("id").alias("key"), F.col("id").alias("unlike"), "vec", F.lit(-1.0).alias("reached"))
+    sent = index._requests(asked, ["bigint", "bigint", "bigint"])
+    assert sent.count() == 120 == sent.select("key", "group").distinct().count()  # 80 lists, but one group
+    assert {len(r["lists"]) for r in sent.select("lists").collect()} == {int((index.n > 0).sum())}
+
+
+@pytest.mark.parametrize("group, asking", [(50, 32), (700, 10_000)])
+def test_join_over_many_groups_and_parts(clusters, monkeypatch, group, asking):
+    monkeypatch.setattr("folioforge.operators.vector_index.GROUP", group)
+    monkeypatch.setattr("folioforge.operators.vector_index.ASKED", asking)
+    vectors, rows, index = clusters
+    got = {}
+    for r in index.best_per_row(rows.filter("id % 50 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), 3, unlike="qid").collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["id"]))
+    assert {q: [i for _, i in sorted(found)] for q, found in got.items()} == {q: exact(vectors, vectors[q], 3, q) for q in range(0, 6000, 50)}
+
+
+def test_copies_are_not_paired_with_each_other(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    vectors = np.repeat(rng.normal(size=(4, 8)), [3000, 5, 1, 1], axis=0)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "id long, vec array<double>")
+    index = VectorIndex.build(rows, str(tmp_path / "copies"), lists=3)
+    asked = rows.filter("id % 50 = 0 or id > 2995").select(F.col("id").alias("key"), F.col("id").alias("unlike"), "vec", F.lit(-1.0).alias("reached"))
+    met = index._met(index._requests(asked, ["bigint"] * 3), 3, ["bigint"] * 3, True, 1, None)
+    assert met.count() == 3 * asked.count()
+    got = {(r["qid"], r["rank"]): r["id"] for r in index.best_per_row(asked.select(F.col("key").alias("qid"), F.col("vec").alias("qvec")), 3, unlike="qid").collect()}
+    assert [got[2950, n] for n in (1, 2, 3)] == [0, 1, 2] and [got[0, n] for n in (1, 2, 3)] == [1, 2, 3] and [got[3001, n] for n in (1, 2, 3)] == [3000, 3002, 3003]
