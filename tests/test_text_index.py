@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import stemming
 from folioforge.operators import search, text_index
+from folioforge.operators import text_index
 from folioforge.operators.text_index import TextIndex, TrigramIndex
 from folioforge.sources import tables as S
 
@@ -124,3 +125,27 @@ def test_empty_tables(spark, tmp_path):
     index = TextIndex.build(none, str(tmp_path / "i"))
     assert index.ranked("a river").count() == 0 and index.best("a river", 3).count() == 0
     assert TrigramIndex.build(none, str(tmp_path / "t")).containing(none, "abc").count() == 0
+
+
+def test_trigram_blocks_of_long_and_many_texts(spark, tmp_path, monkeypatch):
+    """Blocks come in several pieces where a task may hold little; every text is found all the same, and none twice."""
+    monkeypatch.setattr(text_index, "GRAMS", 40)
+    monkeypatch.setattr(text_index, "PIECE", 7)
+    texts = ["the Naïve ΣΊΣΥΦΟΣ 😀🎉x and İstanbul", "aaaa", "ab", "", None, "the the the", *(f"text {k} of some words" for k in range(60))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    index = TrigramIndex.build(rows, str(tmp_path / "g"))
+    for q in ("the", "😀🎉x", "naïve", "aaa", "of some", "xt 7 ", "nothing"):
+        want = sorted(k for k, t in enumerate(texts) if t and q in t.lower())
+        found = sorted(r["id"] for r in index.candidates(q).collect())
+        assert set(want) <= set(found) and len(found) == len(set(found)), q
+        assert sorted(r["id"] for r in index.containing(rows, q).collect()) == want, q
+    assert text_index.grams("abcdefghijabcdefghij").tolist() == sorted(ord(a) << 42 | ord(b) << 21 | ord(c) for a, b, c in {("abcdefghij" * 2)[k : k + 3] for k in range(10)})
+
+
+def test_trigrams_are_not_exploded(spark, tmp_path):
+    """A range's blocks are made where its texts are; before, a row of every text and trigram was sorted in the JVM."""
+    seen = []
+    rows = spark.createDataFrame([(k, f"words of text {k}") for k in range(50)], "id long, text string")
+    made = text_index.partial_grams(rows.selectExpr("id", "text", "0 as range").toArrow().to_batches())
+    seen.extend(made)
+    assert len(seen) == 1 and seen[0].num_rows < 200 and max(len(x) for x in seen[0].column(2).to_pylist()) == 50
