@@ -32,6 +32,8 @@ from folioforge.sources.scratch import file_system, write_files
 
 #: Deltas that a table has before the change that adds one more compacts it.
 DELTAS = 32
+#: Rows that a task puts together at once, and the most tasks of a change or a reading.
+ROWS, TASKS = 500_000, 4096
 
 
 class Conflict(Exception):
@@ -94,8 +96,9 @@ class KeptTable:
                 return False
             raise
 
-    def _commit(self, delta: dict | None, replaces: list[str] = (), stream: tuple[str, int] | None = None) -> bool:
-        """Adds a delta to the last snapshot, whichever that is; False if the stream's batch is in it already."""
+    def _commit(self, delta: dict | None, rows: int, replaces: list[str] = (), stream: tuple[str, int] | None = None) -> bool:
+        """Adds a delta of at most `rows` rows to the last snapshot, whichever that is; False if the stream's batch is in
+        it already."""
         while True:
             state = self.snapshot()
             if stream and state["streams"].get(stream[0], -1) >= stream[1]:
@@ -106,17 +109,22 @@ class KeptTable:
             number = state["number"] + 1
             kept = [d for d in state["deltas"] if d["name"] not in replaces]
             since = min((d["since"] for d in state["deltas"] if d["name"] in replaces), default=number)
-            fresh = {"number": number, "deltas": [*kept, *([delta | {"since": since}] if delta else [])], "streams": state["streams"] | (dict([stream]) if stream else {})}
+            fresh = {"number": number, "deltas": [*kept, *([delta | {"since": since, "rows": rows}] if delta else [])], "streams": state["streams"] | (dict([stream]) if stream else {})}
             if self._create(fresh):
                 return True
 
     # -- changes ------------------------------------------------------------------------------------------------
 
-    def _written(self, rows: DataFrame) -> dict | None:
-        """The delta that rows were written as; None if there are none."""
-        name = uuid.uuid4().hex
+    def _dealt(self, rows: DataFrame, most: int) -> DataFrame:
+        """rows, `most` at most, with their `bucket`; a large one is dealt to several tasks."""
         dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
-        dealt.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/data/{name}")
+        parts = -(-_tasks(most) // self.buckets)
+        return dealt.repartition(self.buckets * parts, "bucket", F.pmod(F.hash(*self.keys), F.lit(parts))) if _tasks(most) > 1 else dealt.repartition("bucket")
+
+    def _written(self, dealt: DataFrame) -> dict | None:
+        """The delta that rows with their bucket were written as; None if there are none."""
+        name = uuid.uuid4().hex
+        dealt.write.partitionBy("bucket").parquet(f"{self.folder}/data/{name}")
         buckets = sorted(int(x.split("=")[1]) for x, _ in self._listed(f"data/{name}") if x.startswith("bucket="))
         return {"name": name, "buckets": buckets} if buckets else None
 
@@ -125,7 +133,8 @@ class KeptTable:
         if stream and self.snapshot()["streams"].get(stream[0], -1) >= stream[1]:
             return False
         ready = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields), F.lit(False).alias("__gone"))
-        done = self._commit(self._written(self._reduced(ready, F.lit(0))), stream=stream)
+        n = rows.count()
+        done = self._commit(self._written(self._dealt(self._reduced(ready, F.lit(0), n), n)), n, stream=stream)
         self.compact(DELTAS)
         return done
 
@@ -134,7 +143,8 @@ class KeptTable:
         if self.rule != "last":
             raise ValueError("rows can only be deleted where the last change counts")
         others = [F.lit(None).cast(f.dataType).alias(f.name) if f.name not in self.keys else F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
-        done = self._commit(self._written(keys.select(*self.keys).distinct().select(*others, F.lit(True).alias("__gone"))))
+        n = keys.count()
+        done = self._commit(self._written(self._dealt(keys.select(*self.keys).distinct().select(*others, F.lit(True).alias("__gone")), n)), n)
         self.compact(DELTAS)
         return done
 
@@ -144,9 +154,10 @@ class KeptTable:
         if len(deltas) <= max(1, most):
             return False
         found = self._merged(deltas, keep_gone=False)
-        name = self._written(found.withColumn("__gone", F.lit(False)))
+        n = sum(d.get("rows", 0) for d in deltas)
+        name = self._written(self._dealt(found.withColumn("__gone", F.lit(False)), n))
         try:
-            return self._commit(name, [d["name"] for d in deltas])
+            return self._commit(name, n, [d["name"] for d in deltas])
         except Conflict:
             return False
 
@@ -184,11 +195,13 @@ class KeptTable:
         rows = self.spark.read.schema(columns).parquet(*paths)
         name = F.regexp_extract(F.col("_metadata.file_path"), r"/data/([0-9a-f]{32})/", 1)
         order = F.create_map(*(F.lit(x) for pair in since.items() for x in pair))[name]
-        merged = self._reduced(rows.withColumn("__since", order), F.col("__since"))
+        merged = self._reduced(rows.withColumn("__since", order), F.col("__since"), sum(d.get("rows", 0) for d in deltas))
         return merged.filter(~F.col("__gone")).drop("__gone") if not keep_gone else merged
 
-    def _reduced(self, rows: DataFrame, since: Column) -> DataFrame:
-        """One row of each key, by the rule."""
+    def _reduced(self, rows: DataFrame, since: Column, most: int) -> DataFrame:
+        """One row of each key, by the rule. Many rows are dealt to tasks by their keys first: what a task puts together
+        is bounded then, however many rows the tasks have that read them."""
+        rows = rows.repartition(_tasks(most), *self.keys) if _tasks(most) > 1 else rows
         kind, _, column = self.rule.partition(":")
         names = [f.name for f in self.schema.fields]
         rest = [c for c in (*names, "__gone") if c not in self.keys]
@@ -206,6 +219,10 @@ class KeptTable:
         return picked.select(*(F.col(c) if c in self.keys else F.col(f"__held.{c}").alias(c) for c in (*names, "__gone")))
 
 
+def _tasks(rows: int) -> int:
+    return max(1, min(TASKS, -(-rows // ROWS)))
+
+
 def pair_counts(pairs: KeptTable) -> DataFrame:
     """(matched, n): distinct sources of each matched item, from a kept table (source, matched, n) of rule `sum:n`."""
     return pairs.read().filter("matched is not null and n > 0").groupBy("matched").agg(F.count("*").alias("n"))

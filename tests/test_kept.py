@@ -178,3 +178,18 @@ def test_a_page_sorts_its_own_rows_only(spark, tmp_path):
         assert [tuple(r) for r in index.slice(start, 20).collect()] == want[start : start + 20]
     assert "offset=" not in index.slice(750, 20)._jdf.queryExecution().executedPlan().toString().lower()
     assert page_index.MOST <= 1000
+
+
+def test_what_a_task_puts_together_is_bounded(spark, table, monkeypatch):
+    """Many rows are dealt by their keys before they are reduced, and buckets to several tasks, as they are written."""
+    monkeypatch.setattr(kept_module, "ROWS", 50)
+    kept = table("sum:v", buckets=2)
+    one = frame(spark, [(k % 400, "a", 1) for k in range(800)]).coalesce(1)
+    assert kept.upsert(one) and kept.upsert(frame(spark, [(k, "a", -2) for k in range(100)]))
+    assert rows(kept.read()) == [(k, "a", 2) for k in range(100, 400)]
+    assert [d["rows"] for d in kept.snapshot()["deltas"]] == [800, 100]
+    sizes = [r["count"] for r in kept.read().groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 60  # of 300, where 4 tasks had about 75
+    first = kept.snapshot()["deltas"][0]["name"]
+    files = spark.read.parquet(f"{kept.folder}/data/{first}").groupBy(F.input_file_name()).count()
+    assert files.count() > 2 and files.agg(F.max("count")).first()[0] < 150
