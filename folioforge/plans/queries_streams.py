@@ -49,8 +49,7 @@ def stream_view_counts(spark, d):
 def stream_recents(spark, d):
     """Each user's last list."""
     views = S.events(spark, d).filter("item is not null").select("user_id", "item", "ts")
-    sent = counters.settled(counters.recents(counters.replayed(views)), "update")
-    last = sent.groupBy("user_id").agg(F.max_by("items", "batch").alias("items"))
+    last = counters.recents_kept(counters.replayed(views)).read()
     return last.select("user_id", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
 
 

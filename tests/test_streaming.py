@@ -43,3 +43,13 @@ def test_recents(spark, tmp_path):
 def test_windows(spark, tmp_path):
     finish(counters.windowed_views(stream(spark, tmp_path, S.events(spark, SF)), "1 day"), "windowed", "append")
     assert spark.table("windowed").columns == ["window", "item", "views"]
+
+
+def test_recents_kept(spark, tmp_path):
+    """Lists of several batches without a call of Python for each user, null and tied times as in the batch form."""
+    e = S.events(spark, SF).filter("user_id < 20 and item is not null").select("user_id", "item", "ts")
+    e = e.union(spark.createDataFrame([(77, k % 4) for k in range(9)], "user_id long, item long").withColumn("ts", F.lit(None).cast("timestamp")))
+    kept = counters.recents_kept(stream(spark, tmp_path, e), 3)
+    want = dml.recents(e, 3).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item"))).alias("l")).collect()
+    assert {r["user_id"]: r["items"] for r in kept.read().collect()} == {r["user_id"]: [x["item"] for x in r["l"]] for r in want}
+    assert kept.snapshot()["streams"] == {"recents": 2}
