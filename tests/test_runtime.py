@@ -124,3 +124,17 @@ def test_encoder_gets_batches_of_real_texts(spark):
     assert got == {1: [1.0, 1.0], 2: None, 3: None, 4: [3.0, 1.0], 5: [2.0, 1.0]}
     (v,) = V.hashed_terms(["One two, one"])
     assert math.isclose(sum(x * x for x in v), 1) and sorted(x for x in v if x)[-1] > 0.8 and V.hashed_terms(["..."]) == [[0.0] * 64]
+
+
+def test_texts_become_python_objects_a_batch_at_a_time(spark):
+    """What a worker holds is an Arrow batch and the vectors as numbers; before, the texts were all objects in pandas, and so was each number."""
+    texts = spark.range(3000).select("id", F.repeat(F.lit("many words "), 1000).alias("text")).coalesce(1)
+
+    def encode(some):
+        import gc
+
+        alive = sum(1 for x in gc.get_objects() if isinstance(x, list) and len(x) == 2 and x[0] == 0.25)
+        return [[0.25, float(alive < 100)] for _ in some]
+
+    got = texts.select(V.embedder(encode, 16)("text").alias("v")).groupBy(F.col("v")[1].alias("few")).count().collect()
+    assert [(r["few"], r["count"]) for r in got] == [(1.0, 3000)]
