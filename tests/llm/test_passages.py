@@ -352,3 +352,37 @@ def test_texts_with_one_hash_are_told_apart(spark, monkeypatch):
 
 def test_empty(spark):
     assert P.classes(odd.empty(spark)).count() == 0
+
+
+def test_only_texts_outside_the_largest_component_meet_a_whole_group(spark):
+    """A group of 300 rows of one component and a few others: pairs with the few, each once, never its square."""
+    rows = [(1, d, 90 << 24 | 60 << 12 | 60, 0 if d < 300 else d) for d in range(304)]
+    groups = spark.createDataFrame(rows, "key long, digest long, at long, root long")
+    for part in (1024, 7):
+        P.PART, before = part, P.PART
+        try:
+            got = sorted((r["a"], r["b"]) for r in P._every_pair(groups, P.LEAST).collect())
+        finally:
+            P.PART = before
+        assert got == [(a, b) for a in range(304) for b in range(max(a + 1, 300), 304)]
+
+
+def test_seeds_tried_before_are_taken_off_row_by_row(spark):
+    """Two texts that share a repeated line meet at thousands of places; comparing their lists with each other took minutes."""
+    pairs = spark.sql("select 1L a, 2L b, transform(sequence(0, 11999), k -> struct(int(k) as i, int(k % 7) as j)) seeds")
+    tried = spark.sql("select 1L a, 2L b, transform(sequence(0, 11997), k -> struct(int(k) as i, int(k % 7) as j)) seeds")
+    plan = P._new(pairs, tried)
+    assert sorted(map(tuple, plan.first()["seeds"])) == [(11998, 0), (11999, 1)]
+    assert "array_except" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert P._new(tried, pairs).isEmpty()
+
+
+def test_pairs_without_enough_in_common_are_not_verified(spark):
+    def near(digest, keys, common=41):
+        return digest, 5, len(keys), common, keys, [k % 65536 - 32768 for k in keys]
+
+    rows = [near(1, list(range(91))), near(2, list(range(50, 141))), near(3, list(range(51, 142))), near(4, list(range(91)), 91), near(5, [k + 65536 for k in range(91)])]
+    table = spark.createDataFrame(rows, "digest long, at long, n int, common int, keys array<long>, marks array<short>")
+    pairs = spark.createDataFrame([(1, k, 5, 5) for k in (2, 2, 3, 4, 5)], "a long, b long, a_at long, b_at long")
+    got = sorted((r["a"], r["b"]) for r in P._alike(pairs, table).collect())
+    assert got == [(1, 2), (1, 4), (1, 5)]  # 41 in common, 40, all; marks that are equal by chance only add pairs
