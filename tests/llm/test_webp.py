@@ -145,3 +145,12 @@ def test_columns(spark):
     odd_media = spark.createDataFrame([(1, b"no image"), (2, None)], "doc_id long, media binary")
     assert [(r["pixels"], r["error"] is None) for r in media.to_pixels(odd_media, strict=False).collect()] == [(None, False), (None, True)]
     assert media.to_media(odd.empty(spark)).count() == 0
+
+
+def test_a_palette_only_where_samples_share_a_pixel(monkeypatch):
+    used, real = [], media.encode
+    monkeypatch.setattr(media, "encode", lambda p, **k: used.append(k["transforms"]) or real(p, **k))
+    for text, palette in (("ab" * 900, True), ("abcdefghijklmnop" * 50, False), ("The quick brown fox jumps over the lazy dog.\n" * 70, False)):
+        p = media.payload_of(text)
+        stored = media.store(p)
+        assert used.pop() == ([GREEN, PALETTE] if palette else [GREEN]) and media.load(stored) == p
